@@ -14,7 +14,7 @@ def hot_keys(df: DataFrame, key: str, parts: int) -> DataFrame:
     At most ``parts`` rows come out, and their slices add up to at most twice that.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("n")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     share = F.col("n") * parts / total
     return counts.where(share > 1).select(key, F.ceil(share).cast("int").alias("_slices"))
 

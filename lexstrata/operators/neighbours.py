@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..session import collect_if_small
+from ..session import collect_if_small, scratch_path
 from .ranking import keep_first
 
 MAX_BROADCAST_QUERIES = 8192
-QUERY_BLOCK = 8192
-ROW_BLOCK = 65536
+# Two equal blocks move the fewest rows for a given cell size.
+QUERY_BLOCK = 32768
+ROW_BLOCK = 32768
 _CELLS = 4_000_000
 
 
@@ -133,10 +134,14 @@ def _candidates(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[i
             if found is not None:
                 yield from found.combine_chunks().to_batches()
 
-        if scan_tasks:
-            lexicon = lexicon.coalesce(scan_tasks)
-        return lexicon.mapInArrow(scan, schema)
+        # Every task hands on a few rows per query, so few long tasks beat many short ones.
+        tasks = scan_tasks or 4 * queries.sparkSession.sparkContext.defaultParallelism
+        return lexicon.coalesce(tasks).mapInArrow(scan, schema)
 
+    # Landed once: the blocks below read the queries, but never compute them again.
+    path = scratch_path(queries.sparkSession, "queries")
+    queries.write.parquet(path)
+    queries = queries.sparkSession.read.parquet(path)
     q_blocks = -(-queries.count() // QUERY_BLOCK)
     l_blocks = max(1, -(-lexicon.count() // ROW_BLOCK))
 
@@ -212,13 +217,12 @@ def similar_words(words: DataFrame, lexicon: DataFrame, n: int = 5, max_broadcas
 
     Words that are not stored give no rows. Result: (word, rank, row_id, similarity).
     """
-    own = first_vectors(lexicon, words).select("word", F.col("row_id").alias("query_id"), "vector")
+    own = first_vectors(lexicon, words).select(F.struct("word", "row_id").alias("query_id"), "vector")
     near = nearest_with_coverage(own, lexicon, n + 1, (), max_broadcast=max_broadcast, scan_tasks=scan_tasks)
-    others = near.where(F.col("row_id") != F.col("query_id"))
+    others = near.where(F.col("row_id") != F.col("query_id.row_id"))
     w = Window.partitionBy("query_id").orderBy("rank")
-    ranked = others.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return ranked.join(own.select("word", "query_id"), "query_id") \
-        .select("word", "rank", "row_id", "similarity")
+    return others.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n) \
+        .select("query_id.word", F.col("_place").alias("rank"), "row_id", "similarity")
 
 
 def query_distances(lexicon: DataFrame, query_vector) -> DataFrame:

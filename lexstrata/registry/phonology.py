@@ -11,6 +11,8 @@ from ..operators import cleaning as cl
 from ..operators import enrichment, joins, neighbours, pooling, prediction, ranking
 from ..plans import consolidation, harvest, projection
 from ..plans import prediction as plan
+from ..session import scratch_path
+from ..sources import files
 from .extraction import MINED_SQL, dedupe_sql
 from .relational import BLANK, PERIOD, REQUEST_CHECK, TRIM
 from .views import query, table, view, with_views
@@ -359,19 +361,42 @@ def _(spark, sf):
     return consolidation.consolidate(view(spark, sf, "lexicon"))
 
 
-@query("job2_latin_merge", with_views("raw entries", f""", {MINED_SQL}, u as (select ipa_phoneme, english_translation,
+def _latin_folder(spark, sf) -> str:
+    """The entries as full files and the raw content as batch files."""
+    folder = scratch_path(spark, "latin")
+    sources = {
+        "Latin_terms_full_1.csv": view(spark, sf, "entries").select(
+            "row_no", "ipa_phoneme", "english_translation", "part_of_speech", "original_characters"),
+        "latin_batch_1.csv": view(spark, sf, "raw").select(
+            "row_no", F.col("original_characters").alias("title"), "original_characters", "ipa_phoneme",
+            "english_translation", "part_of_speech", "raw_content"),
+    }
+    for name, rows in sources.items():
+        ordered = rows.repartitionByRange(4, "row_no").sortWithinPartitions("row_no").drop("row_no")
+        ordered.write.csv(f"{folder}/{name}", header=True, quote='"', escape='"')
+    return folder
+
+
+@query("src3_file_glob", with_views("raw entries", """select 0::int as precedence, original_characters, ipa_phoneme,
+    case when english_translation <> 'None' then english_translation end as english_translation, cast(null as varchar)
+    as raw_content from entries union all select 1, original_characters, ipa_phoneme, english_translation, raw_content
+    from raw"""))
+def _(spark, sf):
+    folder = _latin_folder(spark, sf)
+    columns = ("original_characters", "ipa_phoneme", "english_translation", "raw_content")
+    kinds = cl.stack(files.read_latin_files(spark, folder, "full"), files.read_latin_files(spark, folder, "batch"))
+    return kinds.select(F.col("source_rank").alias("precedence"), *columns)
+
+
+@query("job2_latin_merge", with_views("raw entries", f""", {MINED_SQL}, u as (select ipa_phoneme,
+    case when english_translation <> 'None' then english_translation end as english_translation,
     part_of_speech, original_characters, 0 as k, row_no from entries union all select ipa_phoneme,
     english_translation, part_of_speech, original_characters, 1, row_no from found)
     select ipa_phoneme, english_translation, part_of_speech, original_characters from u qualify
     row_number() over (partition by original_characters order by k, row_no) = 1"""))
 def _(spark, sf):
-    from ..operators.extraction import mine_raw_content
-
-    located = [F.lit("f").alias("file_path"), F.col("row_no").alias("file_row")]
-    full = view(spark, sf, "entries").select("ipa_phoneme", "english_translation", "part_of_speech",
-                                             "original_characters", *located)
-    mined = mine_raw_content(view(spark, sf, "raw").select("*", *located), keep=("file_path", "file_row"))
-    return consolidation.merge_latin(full, mined)
+    folder = _latin_folder(spark, sf)
+    return consolidation.load_latin(spark, folder)
 
 
 @query("job3_latin_clean", with_views("entries", f""", k as (select original_characters, translate(ipa_phoneme, '/[]', '')

@@ -63,7 +63,7 @@ VIEWS = {
           '===Etymology===' || chr(10) || 'From {{{{PIE|' || p_brand || '|x}}}} by [[' || p_name || '|' || p_type || ']].'
           || chr(10) || '===Reconstruction===' || chr(10) || '*' || lower(p_brand) || chr(10) ||
           '===Root===' || chr(10) || 'root line' || chr(10) || '# to ' || p_name || ' <ref name=a>q</ref>'
-          || chr(10) || '# ' || lower(p_type) || chr(10) || '===Derived===' || chr(10) || p_name as content
+          || chr(10) || '# ' || lower(p_type) || chr(10) || chr(10) || '===Derived===' || chr(10) || p_name as content
         from {part}""",
     # marked-up documents, whole texts
     "marked": """

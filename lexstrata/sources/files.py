@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,15 +66,22 @@ def read_pronunciations(spark: SparkSession, path: str, language: str) -> tuple[
 
 
 def read_latin_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """All ``full`` or ``batch`` files of a folder, with their file path.
+    """All ``full`` or ``batch`` files (or file folders) of a folder, with ``file_path`` and ``file_row``.
 
-    A folder without such files gives an empty table.
+    Rows of one file are in its order; files are ordered by path. A folder
+    without such files gives an empty table.
     """
     glob, schema = {
         "full": ("[Ll]atin_terms_full_*.csv", LATIN_FULL_SCHEMA),
         "batch": ("latin_batch_*.csv", LATIN_BATCH_SCHEMA),
     }[kind]
-    raw = _csv(spark, True).schema(schema).csv(folder, pathGlobFilter=glob, enforceSchema=False)
+    try:
+        raw = _csv(spark, True).schema(schema).csv(f"{folder}/{glob}", enforceSchema=False)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).withColumns({
+            "file_path": F.lit(None).cast("string"), "file_row": F.lit(None).cast("long")})
     named = raw.select("*", F.col("_metadata.file_path").alias("file_path"))
     return na_to_null(named).withColumn("file_row", F.monotonically_increasing_id())
 
