@@ -140,14 +140,14 @@ CONSONANT_SHIFTS = (
     ("hw", "w", -300, 0, None),
 )
 
-# Wiki markup removal, in order: (pattern, flags, replacement).
+# Wiki markup removal, in order: (pattern, flags, replacement); then every run of
+# blanks becomes one space.
 MARKUP_STEPS = (
     (r"<ref[^>]*>.*?</ref>", "s", ""),
     (r"<ref[^/]*?/>", "", ""),
     (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "", "$1"),
     (r"\{\{[^}]*\}\}", "", ""),
     (r"'''?|''?", "", ""),
-    (r"\s+", "", " "),
 )
 
 # Root pages.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from .text import (
     col,
+    collapse_blanks,
     empty_to_null,
     find_all,
     first_group,
@@ -25,7 +26,7 @@ def clean_markup(c: Column | str) -> Column:
     out = F.coalesce(col(c), F.lit(""))
     for pat, flags, replacement in fixed.MARKUP_STEPS:
         out = F.regexp_replace(out, pattern(pat, flags), replacement)
-    return strip(out)
+    return strip(collapse_blanks(out))
 
 
 def root_word(title: Column | str) -> Column:
@@ -59,14 +60,19 @@ def raw_section(content: Column | str, name: str) -> Column:
     return strip(first_group(content, pattern(dict(fixed.RAW_SECTIONS)[name], "s")))
 
 
-def language_section(content: Column | str, language: str, mode: str = "first") -> Column:
-    """Text of a language section.
+def section_pattern(language: str, mode: str = "first") -> str:
+    """Pattern of a language section.
 
     ``first`` ends at the next heading of any level, so it keeps only what comes
     before the first sub-heading; ``full`` ends at the next same-level heading.
     """
     text = {"first": fixed.SECTION_FIRST, "full": fixed.SECTION_FULL}[mode]
-    return first_group(content, pattern(text.replace("{language}", re.escape(language)), "s"))
+    return pattern(text.replace("{language}", re.escape(language)), "s")
+
+
+def language_section(content: Column | str, language: str, mode: str = "first") -> Column:
+    """Text of a language section; null when the page has none."""
+    return first_group(content, section_pattern(language, mode))
 
 
 def term_ipa(section: Column | str) -> Column:

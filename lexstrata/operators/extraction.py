@@ -43,7 +43,10 @@ def extract_terms(pages: DataFrame, language: str, section_mode: str = "first",
     """
     pos = fixed.TERM_POS.get(language, fixed.TERM_POS["Latin"])
     with_pos = language == "Latin" if with_pos is None else with_pos
-    found = pages.select(*keep, "title", wt.language_section("content", language, section_mode).alias("raw_content"))
+    # Filtering on the page, not on the cut-out section, keeps the cut from being made twice.
+    section = wt.section_pattern(language, section_mode)
+    found = pages.where(F.col("content").rlike(section)).select(
+        *keep, "title", F.regexp_extract("content", section, 1).alias("raw_content"))
     columns = [
         F.col("title"),
         F.col("title").alias("original_characters"),
@@ -52,7 +55,7 @@ def extract_terms(pages: DataFrame, language: str, section_mode: str = "first",
     ]
     if with_pos:
         columns.append(wt.term_pos("raw_content", pos).alias("part_of_speech"))
-    return found.where(F.col("raw_content").isNotNull()).select(*keep, *columns, "raw_content")
+    return found.select(*keep, *columns, "raw_content")
 
 
 def mine_raw_content(batches: DataFrame, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

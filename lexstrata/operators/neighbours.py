@@ -1,10 +1,15 @@
 """Exact nearest vectors for many queries at once.
 
-Every task reads its share of the lexicon in Arrow batches, multiplies it with
-the whole set of query vectors and keeps only the few rows per query that can
-still be in the answer; one shuffle of those rows finishes the ranking. No pair
-table is ever built. Query sets of a checked size are broadcast; larger ones are
-cut into blocks, and each (query block, lexicon block) cell is one bounded task.
+No pair table is ever built: every task multiplies two blocks of vectors and
+keeps only the few rows per query that can still be in the answer, and one
+shuffle of those rows finishes the ranking. The sizes decide how blocks meet:
+
+* a lexicon within the byte budget is broadcast and the queries are read in
+  place, each task finishing its own queries;
+* else a query set within the budget is broadcast and the lexicon is read in
+  place, each task keeping its best rows per query;
+* else both are cut into blocks and each (query block, lexicon block) cell is
+  one bounded task.
 
 Distances are compared at 9 decimals, ties going to the lower row id, so results
 do not depend on how the sums were ordered. Vectors that are null, of another
@@ -21,13 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..session import collect_if_small, scratch_path
+from ..session import collect_if_small, scratch_path, shuffle_partitions
 from .ranking import keep_first
 
-MAX_BROADCAST_QUERIES = 8192
+BROADCAST_BYTES = 64 << 20
 # Two equal blocks move the fewest rows for a given cell size.
-QUERY_BLOCK = 32768
-ROW_BLOCK = 32768
+BLOCK_BYTES = 128 << 20
 _CELLS = 4_000_000
 
 
@@ -110,40 +114,62 @@ class _Best:
         return pa.table({**columns, **{n: rows.column(n) for n in self.keep}})
 
 
+def _dimension(lexicon: DataFrame) -> int:
+    row = lexicon.select(F.size("vector").alias("n")).where(F.col("n") > 0).first()
+    return row["n"] if row else 1
+
+
 def _candidates(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, ...], keep: list[str],
-                max_broadcast: int, scan_tasks: int | None) -> DataFrame:
+                budget: int, scan_tasks: int | None) -> DataFrame:
     """(query_id, row_id, time_period, distance, kept columns) rows that can be in an answer."""
+    spark = queries.sparkSession
     types = {f.name: f.dataType.simpleString() for f in lexicon.schema.fields}
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = ", ".join([f"query_id {kind}, row_id bigint, time_period int, distance double"]
                        + [f"{n} {types[n]}" for n in keep])
-    small = collect_if_small(queries, max_broadcast)
-    if small is not None:
-        at, units = _unit_rows(small.column("vector"), None)
-        ids = small.column("query_id").combine_chunks().take(pa.array(at))
-        shared = queries.sparkSession.sparkContext.broadcast((ids, units))
+    row_bytes = 8 * _dimension(lexicon)
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, units = shared.value
-            if not len(units):
-                return
-            best = _Best(query_ids, units, k, periods, keep)
+    def answer(query_ids: pa.Array, units: np.ndarray, tables: Iterator[pa.Table]) -> list[pa.RecordBatch]:
+        best = _Best(query_ids, units, k, periods, keep)
+        for t in tables:
+            best.add(t)
+        found = best.result()
+        return [] if found is None else found.combine_chunks().to_batches()
+
+    stored = collect_if_small(lexicon, budget // row_bytes)
+    if stored is not None:
+        shared = spark.sparkContext.broadcast(stored)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                best.add(pa.Table.from_batches([b]))
-            found = best.result()
-            if found is not None:
-                yield from found.combine_chunks().to_batches()
+                at, units = _unit_rows(b.column("vector"), None)
+                if len(at):
+                    yield from answer(b.column("query_id").take(pa.array(at)), units, iter([shared.value]))
+
+        # A query costs far more to answer than to move, so the few bytes of a
+        # small query set must not end up in one task.
+        return queries.repartition(shuffle_partitions(spark), "query_id").mapInArrow(ask, schema)
+
+    asked = collect_if_small(queries, budget // row_bytes)
+    if asked is not None:
+        at, units = _unit_rows(asked.column("vector"), None)
+        sent = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks().take(pa.array(at)), units))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, units = sent.value
+            if len(units):
+                yield from answer(query_ids, units, (pa.Table.from_batches([b]) for b in batches))
 
         # Every task hands on a few rows per query, so few long tasks beat many short ones.
-        tasks = scan_tasks or 4 * queries.sparkSession.sparkContext.defaultParallelism
-        return lexicon.coalesce(tasks).mapInArrow(scan, schema)
+        return lexicon.coalesce(scan_tasks or 4 * spark.sparkContext.defaultParallelism).mapInArrow(scan, schema)
 
     # Landed once: the blocks below read the queries, but never compute them again.
-    path = scratch_path(queries.sparkSession, "queries")
+    path = scratch_path(spark, "queries")
     queries.write.parquet(path)
-    queries = queries.sparkSession.read.parquet(path)
-    q_blocks = -(-queries.count() // QUERY_BLOCK)
-    l_blocks = max(1, -(-lexicon.count() // ROW_BLOCK))
+    queries = spark.read.parquet(path)
+    block_rows = max(1, BLOCK_BYTES // row_bytes)
+    q_blocks = max(1, -(-queries.count() // block_rows))
+    l_blocks = max(1, -(-lexicon.count() // block_rows))
 
     def block(column: str, n: int):
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
@@ -155,19 +181,14 @@ def _candidates(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[i
     right = lexicon.select("*", spread(q_blocks).alias("_q"), block("row_id", l_blocks).alias("_l"))
 
     def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        found = None
+        found: list[pa.RecordBatch] = []
         if lt.num_rows and rt.num_rows:
             at, units = _unit_rows(lt.column("vector"), None)
             if len(at):
-                query_ids = lt.column("query_id").combine_chunks().take(pa.array(at))
-                best = _Best(query_ids, units, k, periods, keep)
-                best.add(rt)
-                found = best.result()
-        if found is None:
-            fields = [lt.schema.field("query_id"), pa.field("row_id", pa.int64()), pa.field("time_period", pa.int32()),
-                      pa.field("distance", pa.float64()), *[rt.schema.field(n) for n in keep]]
-            found = pa.schema(fields).empty_table()
-        return found
+                found = answer(lt.column("query_id").combine_chunks().take(pa.array(at)), units, iter([rt]))
+        fields = [lt.schema.field("query_id"), pa.field("row_id", pa.int64()), pa.field("time_period", pa.int32()),
+                  pa.field("distance", pa.float64()), *[rt.schema.field(n) for n in keep]]
+        return pa.Table.from_batches(found) if found else pa.schema(fields).empty_table()
 
     return left.groupBy("_q", "_l").cogroup(right.groupBy("_q", "_l")).applyInArrow(cell, schema)
 
@@ -175,7 +196,7 @@ def _candidates(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[i
 def nearest_with_coverage(queries: DataFrame, lexicon: DataFrame, top_n: int = 10,
                           periods: tuple[int, ...] = fixed.ANCHOR_PERIODS,
                           min_similarity: float | None = None, keep: tuple[str, ...] = (),
-                          max_broadcast: int = MAX_BROADCAST_QUERIES,
+                          budget: int = BROADCAST_BYTES,
                           scan_tasks: int | None = None) -> DataFrame:
     """Nearest lexicon rows of every query, with each anchor period covered.
 
@@ -188,7 +209,7 @@ def nearest_with_coverage(queries: DataFrame, lexicon: DataFrame, top_n: int = 1
     """
     lexicon = lexicon.select(F.col("row_id").cast("bigint"), F.col("time_period").cast("int"), "vector", *keep)
     found = _candidates(queries.select("query_id", "vector"), lexicon, top_n + len(periods), periods, list(keep),
-                        max_broadcast, scan_tasks)
+                        budget, scan_tasks)
     # One exchange on the query serves every window below.
     found = found.repartition("query_id")
     best = Window.partitionBy("query_id", "time_period").orderBy("distance", "row_id")
@@ -211,14 +232,14 @@ def first_vectors(lexicon: DataFrame, words: DataFrame | None = None) -> DataFra
     return keep_first(lexicon, ["word"], ["row_id"])
 
 
-def similar_words(words: DataFrame, lexicon: DataFrame, n: int = 5, max_broadcast: int = MAX_BROADCAST_QUERIES,
+def similar_words(words: DataFrame, lexicon: DataFrame, n: int = 5, budget: int = BROADCAST_BYTES,
                   scan_tasks: int | None = None) -> DataFrame:
     """The n stored rows most similar to each stored word, the word's own row left out.
 
     Words that are not stored give no rows. Result: (word, rank, row_id, similarity).
     """
     own = first_vectors(lexicon, words).select(F.struct("word", "row_id").alias("query_id"), "vector")
-    near = nearest_with_coverage(own, lexicon, n + 1, (), max_broadcast=max_broadcast, scan_tasks=scan_tasks)
+    near = nearest_with_coverage(own, lexicon, n + 1, (), budget=budget, scan_tasks=scan_tasks)
     others = near.where(F.col("row_id") != F.col("query_id.row_id"))
     w = Window.partitionBy("query_id").orderBy("rank")
     return others.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n) \

@@ -14,7 +14,7 @@ def collect_forms(neighbours: DataFrame, key: str = "query_id") -> DataFrame:
     """One row per query with its ranked neighbours; a list is as long as the search's top n."""
     columns = [c for c in neighbours.columns if c not in (key, "rank")]
     entry = F.struct("rank", *columns)
-    return neighbours.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("forms"))
+    return neighbours.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("forms"))
 
 
 def attested_forms(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -27,7 +27,7 @@ def attested_forms(df: DataFrame, key: str, order: str) -> DataFrame:
         F.min(F.struct(F.col(order).alias("rank"), F.col("phonetic_representation"))).alias("f"))
     entry = F.struct(F.col("f.rank").alias("rank"), "time_period",
                      F.col("f.phonetic_representation").alias("phonetic_representation"))
-    return first.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("forms"))
+    return first.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("forms"))
 
 
 def nearest_in_time(events: DataFrame, attested: DataFrame, key: str, order: str, spread: str,

@@ -29,7 +29,7 @@ def batch_bodies(placed: DataFrame) -> DataFrame:
         F.lit(f"\n\n{fixed.REPLY_SEPARATOR}\n"),
     )
     packed = placed.groupBy("batch").agg(
-        F.array_sort(F.collect_list(F.struct("place", text.alias("text")))).alias("parts"))
+        F.sort_array(F.collect_list(F.struct("place", text.alias("text")))).alias("parts"))
     return packed.select("batch", F.size("parts").alias("entries"),
                          F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("body"))
 

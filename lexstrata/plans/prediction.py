@@ -133,13 +133,13 @@ def assemble(token_rows: DataFrame, predictions: DataFrame) -> DataFrame:
     joined = lookup(keyed, answers, "_key", "request_id")
     word = F.struct("word_pos", "word", "ipa", "confidence", "matches")
     packed = joined.groupBy("request_id", "language", "time_period", "original_text").agg(
-        F.array_sort(F.collect_list(word)).alias("ws"))
+        F.sort_array(F.collect_list(word)).alias("ws"))
     total = F.aggregate("ws", F.lit(0.0), lambda acc, w: acc + w["confidence"])
     pool = F.flatten(F.transform("ws", lambda w: F.transform(w["matches"], lambda m: F.struct(
         m["distance"].alias("distance"), w["word_pos"].alias("pos"), m["rank"].alias("rank"),
         m["word"].alias("word"), m["time_period"].alias("time_period"), m["ipa"].alias("ipa"),
         w["word"].alias("original_word")))))
-    best = F.transform(F.slice(F.array_sort(pool), 1, MATCHES_PER_REQUEST), lambda m: F.struct(
+    best = F.transform(F.slice(F.sort_array(pool), 1, MATCHES_PER_REQUEST), lambda m: F.struct(
         m["word"].alias("word"), m["time_period"].alias("time_period"), m["ipa"].alias("ipa"),
         m["distance"].alias("distance"), m["original_word"].alias("original_word")))
     return _row(
@@ -178,7 +178,7 @@ def timeline(neighbours: DataFrame) -> DataFrame:
 
     ``neighbours``: (query_id, forms). The present may appear twice.
     """
-    past = F.array_sort(F.array_distinct(F.transform("forms", lambda f: f["time_period"])))
+    past = F.sort_array(F.array_distinct(F.transform("forms", lambda f: f["time_period"])))
     times = F.concat(past, F.array(*[F.lit(t) for t in fixed.FUTURE_TIMELINE]).cast("array<int>"))
     steps = neighbours.select("*", F.posexplode(times).alias("step", "target_time"))
     era = F.when(F.col("target_time") > 0, F.lit("FUTURE")).otherwise(F.lit("PAST"))

@@ -383,16 +383,15 @@ _WORD_LISTS = f"""w as (select doc_id, string_split_regex(trim(lower(text), {TRI
 
 
 @query("set3_ordered_distinct", f"""with {_WORD_LISTS}, u as (select doc_id, unnest(ws) as word,
-    unnest(generate_series(1, len(ws))) as pos from w), f as (select doc_id, word, min(pos) as pos from u group by all)
-    select doc_id, string_agg(word, '; ' order by pos) as words from f group by 1""")
+    unnest(generate_series(1, len(ws))) as pos from w), f as (select doc_id, word, min(pos) as pos from u group by all),
+    j as (select doc_id, string_agg(word, '; ' order by pos) as words from f group by 1)
+    select doc_id, words from documents left join j using (doc_id)""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", text.words("text").alias("ws"))
-    return docs.select("doc_id", text.join_distinct(F.col("ws")).alias("words")).where(F.col("words").isNotNull())
+    return table(spark, sf, "documents").select("doc_id", text.join_distinct(text.words("text")).alias("words"))
 
 
-@query("set4_sorted_distinct", f"""with {_WORD_LISTS} select doc_id,
-    array_to_string(list_sort(list_distinct(ws)), '; ') as words from w""")
+@query("set4_sorted_distinct", f"""with {_WORD_LISTS}, j as (select doc_id,
+    array_to_string(list_sort(list_distinct(ws)), '; ') as words from w)
+    select doc_id, words from documents left join j using (doc_id)""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", text.words("text").alias("ws"))
-    return docs.select("doc_id", text.join_sorted_distinct(F.col("ws")).alias("words")) \
-        .where(F.col("words").isNotNull())
+    return table(spark, sf, "documents").select("doc_id", text.join_sorted_distinct(text.words("text")).alias("words"))

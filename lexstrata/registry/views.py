@@ -6,6 +6,7 @@ and gives ``varchar`` a length. Braces are doubled because the text is formatted
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
-_NL = " || chr(10) || "
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 VIEWS = {
     # dirty multi-language lexicon: blanks, missing values, repeated words
@@ -107,8 +108,21 @@ _SPARK = {"first": "0", "join_open": "listagg(", "join_close": ", '---') within
 _DUCK = {"first": "1", "join_open": "string_agg(", "join_close": ", '---' order by p_partkey)"}
 
 
+SPREAD_BELOW = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.
+
+    A text table in one small file is a single task however many cores there
+    are, so its rows are dealt out. Past the size limit files have splits enough
+    and nothing is moved.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in TEXT_TABLES and os.path.isfile(path) and 4 << 20 < os.path.getsize(path) < SPREAD_BELOW:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
