@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..session import collect_if_small, scratch_path, shuffle_partitions
+from ..session import collect_if_small, land, shuffle_partitions
 from .ranking import keep_first
 
 BROADCAST_BYTES = 64 << 20
@@ -150,6 +150,8 @@ def _candidates(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[i
         # small query set must not end up in one task.
         return queries.repartition(shuffle_partitions(spark), "query_id").mapInArrow(ask, schema)
 
+    # The upstream work is done once, for the size check and all that follows.
+    queries = land(queries, "queries")
     asked = collect_if_small(queries, budget // row_bytes)
     if asked is not None:
         at, units = _unit_rows(asked.column("vector"), None)
@@ -163,10 +165,6 @@ def _candidates(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[i
         # Every task hands on a few rows per query, so few long tasks beat many short ones.
         return lexicon.coalesce(scan_tasks or 4 * spark.sparkContext.defaultParallelism).mapInArrow(scan, schema)
 
-    # Landed once: the blocks below read the queries, but never compute them again.
-    path = scratch_path(spark, "queries")
-    queries.write.parquet(path)
-    queries = spark.read.parquet(path)
     block_rows = max(1, BLOCK_BYTES // row_bytes)
     q_blocks = max(1, -(-queries.count() // block_rows))
     l_blocks = max(1, -(-lexicon.count() // block_rows))

@@ -60,7 +60,7 @@ def with_position(df: DataFrame, order: str, out: str = "position", slices: int
     """
     if not isinstance(df.schema[order].dataType, T.NumericType):
         raise TypeError(f"{order} must be numeric")
-    slices = slices or shuffle_partitions(df.sparkSession)
+    slices = slices or 4 * shuffle_partitions(df.sparkSession)
     points = [i / slices for i in range(1, slices)]
     cuts = sorted(set(df.approxQuantile(order, points, 0.2 / slices))) if points else [0.0]
     bounds = [-float("inf"), *cuts, float("inf")]

@@ -34,8 +34,8 @@ def validate(requests: DataFrame) -> DataFrame:
 
 
 def tokens(requests: DataFrame) -> DataFrame:
-    """(request columns, word_pos, word) rows of the cleaned text."""
-    return requests.select("*", F.posexplode(words("original_text")).alias("word_pos", "word"))
+    """(request_id, time_period, word_pos, word) rows; the text itself stays behind."""
+    return requests.select("request_id", "time_period", F.posexplode(words("original_text")).alias("word_pos", "word"))
 
 
 def word_neighbours(word_vectors: DataFrame, lexicon: DataFrame, top_n: int = 10, **search) -> DataFrame:
@@ -120,20 +120,21 @@ def _spoken_dialect(dialect: Column, said: Column) -> Column:
     return F.when(dialect, kept).otherwise(_spoken(said))
 
 
-def assemble(token_rows: DataFrame, predictions: DataFrame) -> DataFrame:
+def assemble(requests: DataFrame, token_rows: DataFrame, predictions: DataFrame) -> DataFrame:
     """Word predictions back into requests, words in order.
 
     A list is as long as its request's own text. The average is summed in word
-    order, so it is the same on every run.
+    order, so it is the same on every run. Texts meet the result by request id
+    instead of travelling with every word.
     """
-    pairs = token_rows.withColumn("target_time", F.col("time_period"))
-    keyed = pairs.withColumn("_key", F.concat_ws("\x01", "word", F.col("target_time").cast("string")))
-    answers = predictions.withColumn("_key", F.concat_ws("\x01", "word", F.col("target_time").cast("string"))) \
-        .drop("word", "target_time")
-    joined = lookup(keyed, answers, "_key", "request_id")
+    def key(time: str) -> Column:
+        return F.concat_ws("\x01", "word", F.col(time).cast("string"))
+
+    answers = predictions.withColumn("_key", key("target_time")).drop("word", "target_time")
+    joined = lookup(token_rows.withColumn("_key", key("time_period")), answers, "_key", "request_id")
     word = F.struct("word_pos", "word", "ipa", "confidence", "matches")
-    packed = joined.groupBy("request_id", "language", "time_period", "original_text").agg(
-        F.sort_array(F.collect_list(word)).alias("ws"))
+    packed = joined.groupBy("request_id").agg(F.sort_array(F.collect_list(word)).alias("ws"))
+    packed = requests.select("request_id", "language", "time_period", "original_text").join(packed, "request_id")
     total = F.aggregate("ws", F.lit(0.0), lambda acc, w: acc + w["confidence"])
     pool = F.flatten(F.transform("ws", lambda w: F.transform(w["matches"], lambda m: F.struct(
         m["distance"].alias("distance"), w["word_pos"].alias("pos"), m["rank"].alias("rank"),
@@ -165,10 +166,11 @@ def predict_requests(requests: DataFrame, lexicon: DataFrame, word_vectors, top_
     checked = validate(requests)
     good, bad = checked.where(F.col("error").isNull()), checked.where(F.col("error").isNotNull())
     direct = F.col("language").isin(*fixed.MODERN_LABELS, fixed.DIALECT_LABEL)
-    token_rows = tokens(good.where(~direct))
+    spoken_requests = good.where(~direct)
+    token_rows = tokens(spoken_requests)
     pairs = token_rows.select("word", F.col("time_period").alias("target_time")).distinct()
     forms = word_neighbours(word_vectors(pairs.select("word").distinct()), lexicon, top_n, **search)
-    spoken = assemble(token_rows, predict_words(pairs, forms))
+    spoken = assemble(spoken_requests, token_rows, predict_words(pairs, forms))
     errors = _row(bad, error=F.col("error"), nearest_matches=F.lit(None).cast(MATCH_TYPE))
     return passthrough(good.where(direct)).unionByName(spoken).unionByName(errors)
 

@@ -43,8 +43,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def collect_if_small(df: DataFrame, max_rows: int) -> pa.Table | None:
     """All rows when there are at most ``max_rows``, else None.
 
-    Never moves more than ``max_rows + 1`` rows to the driver, so the check of
-    the bound and the fetch are one job.
+    Counting first costs little on a stored table and keeps a large one off the
+    driver altogether.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    return df.toArrow() if df.count() <= max_rows else None
+
+
+def land(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once under the shared folder, for jobs that read them more than once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -42,9 +42,11 @@ def run_increments(spark: SparkSession, source: str, schema: T.StructType, trans
         if quarantine is None:
             append_batch(out, target, batch_id)
             return
+        out.persist()    # both writes read it
         failed = F.coalesce(F.col("status"), F.lit("")) == "failed"
         append_batch(out.where(~failed), target, batch_id)
         append_batch(out.where(failed), quarantine, batch_id)
+        out.unpersist()
 
     return run_available(spark, source, schema, handle, checkpoint, fmt, files_per_batch)
 
