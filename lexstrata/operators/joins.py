@@ -25,10 +25,17 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column | str, ho
 
     A key with more than its share of rows is cut into slices by ``spread`` (any
     column that varies inside a key) and its one right row is copied per slice,
-    so no task gets more than about 1/parts of the left rows.
+    so no task gets more than about 1/parts of the left rows. The keys are
+    counted first, by a job over the key column alone; without a hot one this is
+    a plain join.
     """
-    parts = parts or 4 * shuffle_partitions(left.sparkSession)
-    hot = F.broadcast(hot_keys(left, key, parts))
+    spark = left.sparkSession
+    parts = parts or 4 * shuffle_partitions(spark)
+    found = hot_keys(left, key, parts)
+    rows = found.collect()    # at most ``parts`` rows
+    if not rows:
+        return left.join(right, key, how)
+    hot = F.broadcast(spark.createDataFrame(rows, found.schema))
     spread = F.col(spread) if isinstance(spread, str) else spread
     slice_no = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_slices")), F.lit(0)).cast("int")
     sliced = left.join(hot, key, "left").withColumn("_slice", slice_no).drop("_slices")
