@@ -99,13 +99,32 @@ class _Best:
         rows = fresh if self.rows is None else pa.concat_tables([self.rows, fresh])
         self.rows, self.pool = rows.take(pa.array(used)), pool
 
-    def result(self) -> pa.Table | None:
+    def _order(self, top_n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Final order of the pool (anchors by period, then by distance) and the ranks kept."""
+        q, ids, per, dist, _ = self.pool    # sorted by query, distance, id
+        place = np.full(len(q), len(self.periods))
+        for n, p in enumerate(self.periods):
+            at = np.flatnonzero(per == p)
+            place[at[np.diff(q[at], prepend=-1) != 0]] = n
+        order = np.lexsort((ids, dist, place, q))
+        q, place = q[order], place[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        kept = (rank <= top_n) | (place < len(self.periods))
+        return order[kept], rank[kept]
+
+    def result(self, top_n: int | None = None) -> pa.Table | None:
+        """The pool; with ``top_n`` the finished answer with its ``rank``."""
         if self.rows is None:
             return None
+        columns = {}
+        if top_n is not None:
+            order, rank = self._order(top_n)
+            self.pool = [c[order] for c in self.pool]
+            columns["rank"] = pa.array(rank.astype(np.int32))
         q, ids, per, dist, slot = self.pool
         none = np.isnan(per)
         columns = {
-            "query_id": self.query_ids.take(pa.array(q)),
+            "query_id": self.query_ids.take(pa.array(q)), **columns,
             "row_id": pa.array(ids),
             "time_period": pa.array(np.where(none, 0, per).astype(np.int32), mask=none),
             "distance": pa.array(dist),
@@ -119,21 +138,23 @@ def _dimension(lexicon: DataFrame) -> int:
     return row["n"] if row else 1
 
 
-def _candidates(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, ...], keep: list[str],
-                budget: int, scan_tasks: int | None) -> DataFrame:
-    """(query_id, row_id, time_period, distance, kept columns) rows that can be in an answer."""
+def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[int, ...], keep: list[str],
+            budget: int, scan_tasks: int | None) -> DataFrame:
+    """The answer with its ``rank``, or rows without one that can still be in the answer."""
     spark = queries.sparkSession
     types = {f.name: f.dataType.simpleString() for f in lexicon.schema.fields}
     kind = queries.schema["query_id"].dataType.simpleString()
-    schema = ", ".join([f"query_id {kind}, row_id bigint, time_period int, distance double"]
-                       + [f"{n} {types[n]}" for n in keep])
+    rest = ", ".join(["row_id bigint, time_period int, distance double"] + [f"{n} {types[n]}" for n in keep])
+    schema = f"query_id {kind}, {rest}"
     row_bytes = 8 * _dimension(lexicon)
+    k = top_n + len(periods)
 
-    def answer(query_ids: pa.Array, units: np.ndarray, tables: Iterator[pa.Table]) -> list[pa.RecordBatch]:
+    def answer(query_ids: pa.Array, units: np.ndarray, tables: Iterator[pa.Table],
+               last: int | None = None) -> list[pa.RecordBatch]:
         best = _Best(query_ids, units, k, periods, keep)
         for t in tables:
             best.add(t)
-        found = best.result()
+        found = best.result(last)
         return [] if found is None else found.combine_chunks().to_batches()
 
     stored = collect_if_small(lexicon, budget // row_bytes)
@@ -144,11 +165,12 @@ def _candidates(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[i
             for b in batches:
                 at, units = _unit_rows(b.column("vector"), None)
                 if len(at):
-                    yield from answer(b.column("query_id").take(pa.array(at)), units, iter([shared.value]))
+                    yield from answer(b.column("query_id").take(pa.array(at)), units, iter([shared.value]), top_n)
 
         # A query costs far more to answer than to move, so the few bytes of a
         # small query set must not end up in one task.
-        return queries.repartition(shuffle_partitions(spark), "query_id").mapInArrow(ask, schema)
+        return queries.repartition(shuffle_partitions(spark), "query_id").mapInArrow(
+            ask, f"query_id {kind}, rank int, {rest}")
 
     # The upstream work is done once, for the size check and all that follows.
     queries = land(queries, "queries")
@@ -206,8 +228,15 @@ def nearest_with_coverage(queries: DataFrame, lexicon: DataFrame, top_n: int = 1
     even when there are more of them than ``top_n``.
     """
     lexicon = lexicon.select(F.col("row_id").cast("bigint"), F.col("time_period").cast("int"), "vector", *keep)
-    found = _candidates(queries.select("query_id", "vector"), lexicon, top_n + len(periods), periods, list(keep),
-                        budget, scan_tasks)
+    found = _search(queries.select("query_id", "vector"), lexicon, top_n, periods, list(keep), budget, scan_tasks)
+    if "rank" not in found.columns:
+        found = _rank(found, top_n, periods)
+    out = found.select("query_id", "rank", "row_id", "time_period", "distance",
+                       (F.lit(1.0) - F.col("distance")).alias("similarity"), *keep)
+    return out if min_similarity is None else out.where(F.col("similarity") >= min_similarity)
+
+
+def _rank(found: DataFrame, top_n: int, periods: tuple[int, ...]) -> DataFrame:
     # One exchange on the query serves every window below.
     found = found.repartition("query_id")
     best = Window.partitionBy("query_id", "time_period").orderBy("distance", "row_id")
@@ -216,11 +245,8 @@ def nearest_with_coverage(queries: DataFrame, lexicon: DataFrame, top_n: int = 1
     ranked = found.withColumn("_anchor", F.coalesce(anchor, F.lit(False)))
     whole = Window.partitionBy("query_id").orderBy(
         F.desc("_anchor"), F.when(F.col("_anchor"), order), "distance", "row_id")
-    ranked = ranked.withColumn("rank", F.row_number().over(whole)) \
-        .where((F.col("rank") <= top_n) | F.col("_anchor"))
-    out = ranked.select("query_id", "rank", "row_id", "time_period", "distance",
-                        (F.lit(1.0) - F.col("distance")).alias("similarity"), *keep)
-    return out if min_similarity is None else out.where(F.col("similarity") >= min_similarity)
+    ranked = ranked.withColumn("rank", F.row_number().over(whole))
+    return ranked.where((F.col("rank") <= top_n) | F.col("_anchor"))
 
 
 def first_vectors(lexicon: DataFrame, words: DataFrame | None = None) -> DataFrame:

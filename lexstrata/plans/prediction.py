@@ -38,16 +38,23 @@ def tokens(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", "time_period", F.posexplode(words("original_text")).alias("word_pos", "word"))
 
 
+def vocabulary(token_rows: DataFrame) -> DataFrame:
+    """(word, times): each word once, with the few times it is asked for."""
+    return token_rows.groupBy("word").agg(F.collect_set("time_period").alias("times"))
+
+
 def word_neighbours(word_vectors: DataFrame, lexicon: DataFrame, top_n: int = 10, **search) -> DataFrame:
-    """(word, forms): the ranked neighbours of each word with their lexicon columns.
+    """The ranked neighbours of each word, with their lexicon columns, as ``forms``.
 
-    ``word_vectors``: (word, vector), one row per word. ``lexicon``: (row_id, word,
-    time_period, phonetic_representation, vector).
+    ``word_vectors``: (word, vector, ...), one row per word; its other columns are
+    handed through. ``lexicon``: (row_id, word, time_period,
+    phonetic_representation, vector).
     """
-    queries = word_vectors.select(F.col("word").alias("query_id"), "vector")
+    ids = [c for c in word_vectors.columns if c != "vector"]
+    queries = word_vectors.select(F.struct(*ids).alias("query_id"), "vector")
     named = lexicon.withColumnRenamed("word", "form")
     near = nn.nearest_with_coverage(queries, named, top_n, keep=("form", "phonetic_representation"), **search)
-    return collect_forms(near.drop("similarity")).withColumnRenamed("query_id", "word")
+    return collect_forms(near.drop("similarity")).select("query_id.*", "forms")
 
 
 def confidence(forms: Column | str) -> Column:
@@ -57,16 +64,14 @@ def confidence(forms: Column | str) -> Column:
     return F.coalesce(F.lit(1.0) - least, F.lit(0.0))
 
 
-def predict_words(pairs: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """(word, target_time) pairs with ipa, confidence and the word's first matches."""
-    joined = pairs.join(neighbours, "word", "left")
-    first = F.transform(
-        F.slice(F.coalesce("forms", F.array().cast(neighbours.schema["forms"].dataType)), 1, MATCHES_PER_WORD),
-        lambda f: F.struct(f["distance"].alias("distance"), f["rank"].alias("rank"), f["form"].alias("word"),
-                           f["time_period"].alias("time_period"), f["phonetic_representation"].alias("ipa")))
-    return with_requested_form(joined).select(
-        "word", "target_time", F.coalesce("ipa", F.lit(fixed.UNKNOWN_PREDICTION)).alias("ipa"),
-        confidence("forms").alias("confidence"), first.alias("matches"))
+def predict_words(neighbours: DataFrame) -> DataFrame:
+    """(word, target_time) rows of (word, times, forms), with ipa, confidence and the word's first matches."""
+    first = F.transform(F.slice("forms", 1, MATCHES_PER_WORD), lambda f: F.struct(
+        f["distance"].alias("distance"), f["rank"].alias("rank"), f["form"].alias("word"),
+        f["time_period"].alias("time_period"), f["phonetic_representation"].alias("ipa")))
+    pairs = neighbours.select("word", "forms", F.explode("times").alias("target_time"))
+    return with_requested_form(pairs).select(
+        "word", "target_time", "ipa", confidence("forms").alias("confidence"), first.alias("matches"))
 
 
 def _spoken(text: Column, word_type: str = WORD_TYPE) -> Column:
@@ -132,7 +137,11 @@ def assemble(requests: DataFrame, token_rows: DataFrame, predictions: DataFrame)
 
     answers = predictions.withColumn("_key", key("target_time")).drop("word", "target_time")
     joined = lookup(token_rows.withColumn("_key", key("time_period")), answers, "_key", "request_id")
-    word = F.struct("word_pos", "word", "ipa", "confidence", "matches")
+    # A word without a vector or without neighbours has no answer.
+    word = F.struct(
+        "word_pos", "word", F.coalesce("ipa", F.lit(fixed.UNKNOWN_PREDICTION)).alias("ipa"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("matches", F.array().cast(answers.schema["matches"].dataType)).alias("matches"))
     packed = joined.groupBy("request_id").agg(F.sort_array(F.collect_list(word)).alias("ws"))
     packed = requests.select("request_id", "language", "time_period", "original_text").join(packed, "request_id")
     total = F.aggregate("ws", F.lit(0.0), lambda acc, w: acc + w["confidence"])
@@ -157,8 +166,9 @@ def assemble(requests: DataFrame, token_rows: DataFrame, predictions: DataFrame)
 def predict_requests(requests: DataFrame, lexicon: DataFrame, word_vectors, top_n: int = 10, **search) -> DataFrame:
     """Answer a table of requests (request_id, language, user_input[, dialect_text, dialect_ipa]).
 
-    ``word_vectors`` is a function from a table of distinct words to (word, vector).
-    Every distinct word is searched once, every distinct (word, time) predicted once.
+    ``word_vectors`` is a function that adds a ``vector`` to a table with a ``word``
+    column of distinct words. Every distinct word is searched once, every distinct
+    (word, time) predicted once.
     """
     for name in ("dialect_text", "dialect_ipa"):
         if name not in requests.columns:
@@ -168,9 +178,8 @@ def predict_requests(requests: DataFrame, lexicon: DataFrame, word_vectors, top_
     direct = F.col("language").isin(*fixed.MODERN_LABELS, fixed.DIALECT_LABEL)
     spoken_requests = good.where(~direct)
     token_rows = tokens(spoken_requests)
-    pairs = token_rows.select("word", F.col("time_period").alias("target_time")).distinct()
-    forms = word_neighbours(word_vectors(pairs.select("word").distinct()), lexicon, top_n, **search)
-    spoken = assemble(spoken_requests, token_rows, predict_words(pairs, forms))
+    forms = word_neighbours(word_vectors(vocabulary(token_rows)), lexicon, top_n, **search)
+    spoken = assemble(spoken_requests, token_rows, predict_words(forms))
     errors = _row(bad, error=F.col("error"), nearest_matches=F.lit(None).cast(MATCH_TYPE))
     return passthrough(good.where(direct)).unionByName(spoken).unionByName(errors)
 

@@ -427,7 +427,7 @@ def word_vectors(vectors):
     def of(words):
         n = vectors.agg(F.count("*")).scalar()
         keyed = words.withColumn("row_id", ((F.length("word") * 37 + F.ascii("word")) % n).cast("long"))
-        return keyed.join(vectors.select("row_id", "vector"), "row_id").select("word", "vector")
+        return keyed.join(vectors.select("row_id", "vector"), "row_id").drop("row_id")
 
     return of
 
