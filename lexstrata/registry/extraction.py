@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, wikitext
-from ..functions.replies import prompt_sections, reply_segments
+from ..functions.replies import prompt_sections, reply_record, reply_segments
 from ..operators import cleaning as cl
 from ..operators import extraction as ex
+from ..operators import quality
 from ..operators.replies import reply_rows
-from ..functions.replies import reply_record
 from ..session import scratch_path
 from ..sources import files, tables
 from ..streaming import incremental as inc
@@ -356,20 +356,16 @@ def _statuses(requests):
 
 @query("agg9_outcome_counts", f"select status, count(*) as words from ({_STATUS_SQL}) group by 1")
 def _(spark, sf):
-    from ..operators.quality import outcome_counts
-
-    return outcome_counts(_statuses(view(spark, sf, "requests")))
+    return quality.outcome_counts(_statuses(view(spark, sf, "requests")))
 
 
 @query("agg9_first_failures", """select l_orderkey * 10 + l_linenumber as row_no, 'failed' as status,
     'high discount' as error from lineitem where l_discount >= 0.09 order by 1 limit 10""")
 def _(spark, sf):
-    from ..operators.quality import first_failures
-
     rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"),
                                                "l_discount")
     marked = inc.with_status(rows, F.col("l_discount") < 0.09, F.lit("high discount"))
-    return first_failures(marked.drop("l_discount"), "row_no")
+    return quality.first_failures(marked.drop("l_discount"), "row_no")
 
 
 @query("stm1_incremental_run", f"""select doc_id, lang, trim(text, {TRIM}) as text from documents""")

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lexstrata import fixed
 from lexstrata.functions.vectors import cosine_similarity
