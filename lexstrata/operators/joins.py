@@ -44,11 +44,18 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column | str, ho
     return sliced.join(copied, [key, "_slice"], how).drop("_slice")
 
 
-def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is not in the table of finished work."""
-    return df.join(done.select(*keys).distinct(), keys, "left_anti")
+def not_done(df: DataFrame, done: DataFrame, key: str, spread: str | None = None) -> DataFrame:
+    """Rows whose key is not in the table of finished work.
+
+    ``spread`` names a column that varies inside a key, for keys that may be hot.
+    """
+    keys = done.select(key).distinct()
+    if spread is None:
+        return df.join(keys, key, "left_anti")
+    return lookup(df, keys.withColumn("_done", F.lit(True)), key, spread).where(F.col("_done").isNull()).drop("_done")
 
 
-def chosen(df: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key was chosen."""
-    return df.join(picks.select(*keys).distinct(), keys, "left_semi")
+def chosen(df: DataFrame, picks: DataFrame, key: str, spread: str | None = None) -> DataFrame:
+    """Rows whose key was chosen; ``spread`` as above."""
+    keys = picks.select(key).distinct()
+    return df.join(keys, key, "left_semi") if spread is None else lookup(df, keys, key, spread, "inner")

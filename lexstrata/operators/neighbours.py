@@ -158,7 +158,7 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
         found = best.result(last)
         return [] if found is None else found.combine_chunks().to_batches()
 
-    stored = collect_if_small(lexicon, budget // row_bytes)
+    stored = collect_if_small(lexicon, budget, "vector", row_bytes)
     if stored is not None:
         shared = spark.sparkContext.broadcast(stored)
 
@@ -175,7 +175,7 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
 
     # The upstream work is done once, for the size check and all that follows.
     queries = land(queries, "queries")
-    asked = collect_if_small(queries, budget // row_bytes)
+    asked = collect_if_small(queries, budget, "vector", row_bytes)
     if asked is not None:
         at, units = _unit_rows(asked.column("vector"), None)
         sent = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks().take(pa.array(at)), units))

@@ -151,14 +151,14 @@ def _(spark, sf):
     row_id from near) select row_id, word from e where row_id not in (select row_id from chosen)"""))
 def _(spark, sf):
     rows = view(spark, sf, "vectors").select("row_id", "word")
-    return joins.not_done(rows, _nearest(spark, sf, 4), ["row_id"])
+    return joins.not_done(rows, _nearest(spark, sf, 4), "row_id")
 
 
 @query("jon5_chosen", with_views("vectors", f""", {VEC}, {SELF}, {near_sql('q', 4)}, chosen as (select distinct
     row_id from near) select row_id, word, time_period from e where row_id in (select row_id from chosen)"""))
 def _(spark, sf):
     rows = view(spark, sf, "vectors").select("row_id", "word", "time_period")
-    return joins.chosen(rows, _nearest(spark, sf, 4), ["row_id"])
+    return joins.chosen(rows, _nearest(spark, sf, 4), "row_id")
 
 
 @query("jon9_own_vector", with_views("vectors", """select english_translation as word, row_id,

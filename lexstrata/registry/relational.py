@@ -253,7 +253,7 @@ def _(spark, sf):
 
 @query("jon8_resume", "select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
 def _(spark, sf):
-    return joins.not_done(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), ["doc_id"])
+    return joins.not_done(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id")
 
 
 # ---- aggregates

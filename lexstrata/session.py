@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -40,13 +41,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def collect_if_small(df: DataFrame, max_rows: int) -> pa.Table | None:
-    """All rows when there are at most ``max_rows``, else None.
+def collect_if_small(df: DataFrame, budget: int, vector: str, row_bytes: int) -> pa.Table | None:
+    """All rows when their vectors and other columns are within ``budget`` bytes, else None.
 
-    Counting first costs little on a stored table and keeps a large one off the
-    driver altogether.
+    Rows are counted first: that costs little on a stored table and keeps a large
+    one off the driver. Only a table that passes is measured and fetched.
     """
-    return df.toArrow() if df.count() <= max_rows else None
+    if df.count() * row_bytes > budget:
+        return None
+    others = F.octet_length(F.to_json(F.struct(*[c for c in df.columns if c != vector])))
+    size = df.agg(F.sum(F.greatest(F.size(vector), F.lit(0)) * 8 + others).alias("n")).first()["n"]
+    return df.toArrow() if (size or 0) <= budget else None
 
 
 def land(df: DataFrame, name: str) -> DataFrame:

@@ -30,12 +30,12 @@ def save_table(df: DataFrame, path: str, raw_path: str | None = None, fmt: str =
     """Write the table (and its raw copy). An empty table writes nothing: 'no data'."""
     if df.isEmpty():
         return "no data"
-    for target in filter(None, (path, raw_path)):
-        writer = df.write.mode("overwrite")
-        if fmt == "csv":
-            writer.csv(target, header=True, quote='"', escape='"')
-        else:
-            writer.format(fmt).save(target)
+    options = {"header": True, "quote": '"', "escape": '"'} if fmt == "csv" else {}
+    df.write.mode("overwrite").options(**options).format(fmt).save(path)
+    if raw_path is not None:
+        # The copy is made from the written table where that loses nothing.
+        source = df.sparkSession.read.parquet(path) if fmt == "parquet" else df
+        source.write.mode("overwrite").options(**options).format(fmt).save(raw_path)
     return "saved"
 
 

@@ -6,6 +6,7 @@ import pytest
 from lexstrata import fixed
 from lexstrata.functions.vectors import cosine_similarity
 from lexstrata.operators import neighbours as nn
+from lexstrata.session import collect_if_small
 
 LEX = "row_id long, time_period int, vector array<double>, word string"
 
@@ -59,7 +60,7 @@ def test_brute_force(spark, way, monkeypatch):
     queries = [(f"q{i}", rng.normal(size=6).tolist()) for i in range(60)] + [("tie", [1.0] + [0.0] * 5)]
     lex = spark.createDataFrame(rows, LEX).repartition(5)
     qdf = spark.createDataFrame(queries, "query_id string, vector array<double>").repartition(3)
-    budget = {"lexicon broadcast": 1 << 20, "queries broadcast": 100 * 48, "blocks": 10 * 48}[way]
+    budget = {"lexicon broadcast": 1 << 20, "queries broadcast": 61 * 90, "blocks": 10 * 48}[way]
     monkeypatch.setattr(nn, "BLOCK_BYTES", 70 * 48)
     for top_n in (1, 7):
         near = nn.nearest_with_coverage(qdf, lex, top_n, keep=("word",), budget=budget)
@@ -89,3 +90,10 @@ def test_cosine_of_nothing(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0]), ([3.0, 4.0], [3.0, 4.0]), (None, [1.0])],
                                "a array<double>, b array<double>")
     assert [r[0] for r in df.select(cosine_similarity("a", "b")).collect()] == [None, pytest.approx(1.0), None]
+
+
+def test_size_check_counts_every_column(spark):
+    df = spark.createDataFrame([(1, [1.0] * 4, "x" * 100)], "row_id long, vector array<double>, word string")
+    assert collect_if_small(df, 200, "vector", 32).num_rows == 1
+    assert collect_if_small(df, 100, "vector", 32) is None     # the word is over
+    assert collect_if_small(df, 30, "vector", 32) is None      # the vector is over

@@ -103,6 +103,15 @@ def test_lookup_slices_hot_keys(spark):
     assert joins.lookup(left, right, "k", "id", "inner").count() == sum(r[2] is not None for r in expected)
 
 
+def test_anti_and_semi_with_a_hot_key(spark):
+    df = spark.range(2000).withColumn("k", F.when(F.col("id") < 900, F.lit(-1)).when(F.col("id") < 910, F.lit(None))
+                                      .otherwise(F.col("id")))
+    done = spark.range(1000, 1500).select(F.col("id").alias("k")).union(spark.range(2).select(F.lit(-1).alias("k")))
+    for spread in (None, "id"):
+        assert joins.not_done(df, done, "k", spread).count() == 2000 - 900 - 500
+        assert joins.chosen(df, done, "k", spread).count() == 900 + 500
+
+
 def test_coverage_of_nothing(spark):
     empty = spark.createDataFrame([], "a string")
     assert rows(quality.column_coverage(empty)) == [("a", 0, None)]
@@ -247,7 +256,7 @@ def test_increments_equal_batch_and_resume(spark, tmp_path):
     assert rows(done.unionByName(bad), "id") == rows(whole, "id")
     assert rows(quality.outcome_counts(whole), "status") == [("failed", 8), ("processed", 72)]
     assert [r["id"] for r in quality.first_failures(whole, "id", 3).collect()] == [0, 10, 20]
-    left = joins.not_done(spark.read.parquet(p("in")), done, ["id"])
+    left = joins.not_done(spark.read.parquet(p("in")), done, "id")
     assert left.count() == 8
 
 
