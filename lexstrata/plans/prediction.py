@@ -80,7 +80,7 @@ def _spoken(text: Column, word_type: str = WORD_TYPE) -> Column:
 
 
 _SHAPE = ("request_id", "language", "time_period", "original_text", "predicted_text", "ipa_text",
-          "confidence_score", "is_modern", "is_toronto", "word_predictions", "nearest_matches", "error")
+          "confidence_score", "is_modern", "is_toronto", "explanation", "word_predictions", "nearest_matches", "error")
 
 
 def _row(df: DataFrame, **columns: Column) -> DataFrame:
@@ -90,6 +90,7 @@ def _row(df: DataFrame, **columns: Column) -> DataFrame:
         "confidence_score": F.lit(None).cast("double"),
         "is_modern": F.lit(False),
         "is_toronto": F.lit(False),
+        "explanation": F.lit(None).cast("string"),
         "word_predictions": F.lit(None).cast(WORD_TYPE),
         "nearest_matches": F.array().cast(MATCH_TYPE),
     }
@@ -112,6 +113,7 @@ def passthrough(valid: DataFrame) -> DataFrame:
         confidence_score=F.when(~failed, F.lit(1.0)),
         is_modern=~failed,
         is_toronto=dialect & ~failed,
+        explanation=F.when(dialect, F.get(F.split("dialect_text", "\n"), F.lit(0))),
         word_predictions=_spoken_dialect(dialect, said),
         error=F.when(failed, F.lit("Toronto translation failed")),
     )

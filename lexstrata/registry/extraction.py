@@ -296,11 +296,15 @@ def _(spark, sf):
     return files.read_pages(spark, path)
 
 
+def _never():
+    raise RuntimeError("a landed table must not be built again")
+
+
 @query("src5_read_or_build", "select page_id, url from pages")
 def _(spark, sf):
     path = scratch_path(spark, "src5")
     tables.read_or_build(spark, path, lambda: table(spark, sf, "pages").select("page_id", "url"))
-    return tables.read_or_build(spark, path, lambda: table(spark, sf, "pages").limit(0))
+    return tables.read_or_build(spark, path, _never)
 
 
 @query("src6_save_table", with_views("lexicon", """select word, english_translation, language,

@@ -215,10 +215,25 @@ def _(spark, sf):
     return projection.reduce_dimensions(view(spark, sf, "vectors").select("row_id", "vector"), 3).drop("vector")
 
 
-@query("udf1_embed")
+def letter_counts(batches):
+    """A stand-in model that SQL can repeat: length and two letter counts."""
+    for texts in batches:
+        yield texts.map(lambda t: [float(len(t)), float(t.count("e")), float(t.count("t"))])
+
+
+def _counts_sql(x: str) -> str:
+    return (f"length({x})::double as v1, (length({x}) - length(replace({x}, 'e', '')))::double as v2, "
+            f"(length({x}) - length(replace({x}, 't', '')))::double as v3")
+
+
+def _counts(df, *columns):
+    return df.select(*columns, *[F.get("vector", F.lit(i)).cast("double").alias(f"v{i + 1}") for i in range(3)])
+
+
+@query("udf1_embed", f"select doc_id, {_counts_sql('text')} from documents")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return enrichment.embed(docs, "text", enrichment.ngram_vectors(64), "doc_id").select("doc_id", "vector")
+    return _counts(enrichment.embed(docs, "text", letter_counts, "doc_id"), "doc_id")
 
 
 # ---------------------------------------------------------------- phonetics
@@ -411,11 +426,11 @@ def _(spark, sf):
     return consolidation.clean_latin(view(spark, sf, "entries"))
 
 
-@query("job4_enrich")
+@query("job4_enrich", with_views("lexicon", f"""select row_no, word, english_translation,
+    {_counts_sql('english_translation')} from lexicon where trim(english_translation) <> ''"""))
 def _(spark, sf):
     lexicon = cl.blanks_to_null(view(spark, sf, "lexicon"))
-    return consolidation.enrich(lexicon, enrichment.ngram_vectors(32), "row_no").select(
-        "row_no", "word", "english_translation", "vector")
+    return _counts(consolidation.enrich(lexicon, letter_counts, "row_no"), "row_no", "word", "english_translation")
 
 
 @query("job5_clean_basic", f"""select distinct trim(text, {TRIM}) as text, lang from documents""")

@@ -98,10 +98,10 @@ VIEWS = {
     # replies: one body per batch of 20, with a segment only for larger parts
     "replies": """
         select cast(floor(p_partkey / 20) as bigint) as batch,
-          {join_open}'IPA_Phoneme: [/' || lower(p_brand) || '/]' || chr(10) || 'english_translation: null' || chr(10)
+          {join_open}case when p_size > 5 then 'IPA_Phoneme: [/' || lower(p_brand) || '/]' || chr(10) || 'english_translation: null' || chr(10)
           || ' english_translation: ' || case p_size % 4 when 0 then '...' when 1 then 'None' else p_name || ': x' end
-          || chr(10) || 'part_of_speech:' || case when p_size % 3 = 0 then '' else ' [noun]' end{join_close} as reply
-        from {part} where p_size > 5 group by 1""",
+          || chr(10) || 'part_of_speech:' || case when p_size % 3 = 0 then '' else ' [noun]' end end{join_close} as reply
+        from {part} group by 1""",
 }
 
 _SPARK = {"first": "0", "join_open": "listagg(", "join_close": ", '---') within group (order by p_partkey)"}

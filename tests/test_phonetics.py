@@ -105,7 +105,7 @@ def _lexicon(spark):
 def test_predict_requests(spark):
     requests = spark.createDataFrame([
         (1, "PIE", " A b A ", None), (2, "future_english_1000", "b", None), (3, "us_english", "Hi  You", None),
-        (4, "klingon", "a", None), (5, "PIE", " \t", None), (6, None, "a", None), (7, "toronto_english", "Hi", "Yo Fam"),
+        (4, "klingon", "a", None), (5, "PIE", " \t", None), (6, None, "a", None), (7, "toronto_english", "Hi", "Yo\nFam"),
         (8, "toronto_english", "Hi", None), (9, "PIE", "", None), (10, "PIE", "a unheard", None),
     ], "request_id long, language string, user_input string, dialect_text string")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, vector array<double>")
@@ -123,7 +123,8 @@ def test_predict_requests(spark):
     assert out[4]["error"] == "Unsupported language selection: klingon"
     assert out[5]["error"] == "Empty input text"
     assert out[6]["error"] == out[9]["error"] == "Missing required fields"
-    assert (out[7]["predicted_text"], out[7]["is_toronto"]) == ("Yo Fam", True)
+    assert (out[7]["predicted_text"], out[7]["explanation"], out[7]["is_toronto"]) == ("Yo\nFam", "Yo", True)
+    assert [w["original"] for w in out[7]["word_predictions"]] == ["Yo", "Fam"]
     assert out[8]["error"] == "Toronto translation failed"
     assert (out[10]["predicted_text"], out[10]["confidence_score"]) == ("/p/ /???/", pytest.approx(0.5))
 
