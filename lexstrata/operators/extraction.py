@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -80,6 +81,7 @@ class _Outline(HTMLParser):
 
     Elements nest as they are opened: an end tag closes up to its latest open
     element and is ignored without one, so unclosed elements hold what follows.
+    The page's text is kept once; an element is the stretch since its start.
     """
 
     VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,28 +90,30 @@ class _Outline(HTMLParser):
     def __init__(self, heading: str | None, levels: tuple[str, ...]):
         super().__init__(convert_charrefs=True)
         self.heading, self.levels = heading, levels
-        self.open: list[list] = []       # [tag, text pieces, is target candidate]
-        self.depth_of_section: int | None = None
+        self.open: list[dict] = []
+        self.count: Counter = Counter()
+        self.text: list[str] = []
+        self.level: int | None = None           # open elements around the heading found
         self.section: list[str] | None = None
         self.done = False
         self.ipa: dict[str, str] = {}
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
-        sibling = self.depth_of_section == len(self.open) and not self.done
+        sibling = self.level == len(self.open) and not self.done
         if sibling and tag.startswith("h"):
             self.done = True
         kinds = []
-        if tag == "span":
-            if "IPA" in (attrs.get("class") or "").split():
-                kinds.append("class")
-            if attrs.get("lang") == "en-IPA":
-                kinds.append("lang")
-        self.open.append([tag, [], sibling and not self.done, [k for k in kinds if k not in self.ipa], 0])
-        for k in self.open[-1][3]:
-            self.ipa[k] = ""
-        if len(self.open) > 1:
-            self.open[-2][4] += 1
+        if tag == "span" and "IPA" in (attrs.get("class") or "").split():
+            kinds.append("class")
+        if tag == "span" and attrs.get("lang") == "en-IPA":
+            kinds.append("lang")
+        kinds = [k for k in kinds if k not in self.ipa]
+        self.ipa.update(dict.fromkeys(kinds, ""))
+        self._child()
+        self.open.append({"tag": tag, "start": len(self.text), "hidden": [], "in": sibling and not self.done,
+                          "kinds": kinds, "children": 0})
+        self.count[tag] += 1
         if tag in self.VOID:
             self._close()
 
@@ -119,32 +123,37 @@ class _Outline(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if any(e[0] == tag for e in self.open):
-            while self.open[-1][0] != tag:
+        if self.count[tag]:
+            while self.open[-1]["tag"] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data):
-        hidden = next((i for i, e in enumerate(self.open) if e[0] in self.HIDDEN), None)
-        for i, e in enumerate(self.open):
-            if hidden is None or i >= hidden:
-                e[1].append(data)
-            if i == len(self.open) - 1:
-                e[4] += 1
+        self._child()
+        if self.open and self.open[-1]["tag"] in self.HIDDEN:
+            self.open[-1]["hidden"].append(data)
+        else:
+            self.text.append(data)
+
+    def _child(self):
+        if self.open:
+            self.open[-1]["children"] += 1
 
     def _close(self):
-        tag, pieces, in_section, kinds, children = self.open.pop()
-        text = "".join(pieces)
-        for k in kinds:
-            self.ipa[k] = text.strip()
+        e = self.open.pop()
+        self.count[e["tag"]] -= 1
         depth = len(self.open)
-        if in_section:
-            self.section.append(text.strip())
-        elif self.depth_of_section is not None and depth < self.depth_of_section:
+        if not e["in"] and self.level is not None and depth < self.level:
             self.done = True
-        if self.section is None and tag in self.levels and children <= 1 \
-                and (self.heading is None or text == self.heading):
-            self.section, self.depth_of_section = [], depth
+        heading = self.section is None and e["tag"] in self.levels and e["children"] <= 1
+        if not (e["in"] or e["kinds"] or heading):
+            return
+        text = "".join(e["hidden"] if e["tag"] in self.HIDDEN else self.text[e["start"]:])
+        self.ipa.update(dict.fromkeys(e["kinds"], text.strip()))
+        if e["in"]:
+            self.section.append(text.strip())
+        elif heading and (self.heading is None or text == self.heading):
+            self.section, self.level = [], depth
 
     def finish(self) -> "_Outline":
         self.close()

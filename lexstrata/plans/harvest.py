@@ -11,15 +11,17 @@ from ..operators.extraction import extract_terms
 from ..operators.quality import success_rates
 from ..operators.ranking import with_position
 from ..operators.replies import batch_bodies, batch_entries, parse_replies
+from ..session import land
 
 
 def harvest(pages: DataFrame, language: str, reply_fn: Callable[[str], str | None], batch_size: int = 20,
             order: str = "page_id") -> DataFrame:
     """Extract terms, batch them, ask for each batch and parse the replies.
 
-    ``pages``: (page_id, title, content). Batches are numbered in page order.
+    ``pages``: (page_id, title, content). Batches are numbered in page order. The
+    extracted terms are landed, because numbering and joining read them again.
     """
-    terms = extract_terms(pages, language, keep=(order,))
+    terms = land(extract_terms(pages, language, keep=(order,)), "terms")
     placed = batch_entries(with_position(terms, order), batch_size)
     return parse_replies(placed, ask(batch_bodies(placed), reply_fn))
 
