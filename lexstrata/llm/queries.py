@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
 from .chat import chat_digests
+from .contamination import contamination_report
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,6 +27,65 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _words(table: str, key: str) -> str:
+    """SQL: the words of every text, as a list."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return (f"select {key}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), "
+            f"'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from {table}")
+
+
+def _license_sql() -> str:
+    cut = licenses.plain_words
+    templates = ", ".join(f"({i}, '{label}', {size}, {list(dict.fromkeys(cut(text)))})"
+                          for i, (label, text) in enumerate(licenses.TEMPLATES)
+                          for size in [min(s for s in licenses.BLOCK_WORDS if s >= len(cut(text)))])
+    phrases = ", ".join(f"('{label}', {cut(text)})" for text, label in licenses.PHRASES.items())
+    return f"""
+    with d as materialized ({_words("documents", "doc_id")}),
+    w as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as pos from d),
+    p as (select * from (values {phrases}) v(label, ws)),
+    base as (select doc_id, label, i as pos from (select doc_id, ws, unnest(range(len(ws))) as i from d) x
+             join p on x.ws[i + 1:i + len(p.ws)] = p.ws),
+    t as (select * from (values {templates}) v(tid, label, size, ws)),
+    tw as (select tid, label, size, len(ws) as n, unnest(ws) as w from t),
+    b as (select w.doc_id, tw.tid, tw.label, tw.n, w.w, unnest([w.pos // tw.size, w.pos // tw.size - 1]) as block
+          from w join tw on w.w = tw.w),
+    m as (select doc_id, label, count(distinct w) / n as score from b where block >= 0 group by doc_id, tid, label, n, block
+          having count(distinct w) >= ceil({licenses.CONTAINMENT} * n - 1e-9)),
+    bs as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word,
+             string_agg(distinct label, ',' order by label) as base_labels from base group by doc_id),
+    both_labels as (select doc_id, string_agg(distinct label, ',' order by label) as labels
+             from (select doc_id, label from base union all select doc_id, label from m) group by doc_id),
+    ms as (select doc_id, max(score) as score from m group by doc_id)
+    select d.doc_id, len(d.ws) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+      coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+      cast(case when n_base > 0 then 1 else coalesce(score, 0) end as double) as score
+    from d left join bs using (doc_id) left join both_labels using (doc_id) left join ms using (doc_id)"""
+
+
+@query("op1_license_scan", _license_sql())
+def op1(spark, sf_dir):
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontamination", f"""
+    with d as materialized ({_words("documents", "doc_id")}), i as materialized ({_words("benchmark", "item_id")}),
+    p as materialized (select distinct item_id, least(len(ws), 10) as n,
+          array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') as g
+          from (select item_id, ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) as k from i where len(ws) > 0)),
+    places as (select doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') as g
+          from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as k from d, (select distinct n from p) where len(ws) >= n)),
+    hit as materialized (select x.doc_id, x.n, x.k, p.item_id from places x join p on x.n = p.n and x.g = p.g),
+    covered as (select doc_id, count(distinct w) as n_hit from (select doc_id, unnest(range(k, k + n)) as w from hit) group by doc_id),
+    named as (select doc_id, count(distinct item_id) as n_items,
+          string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items from hit group by doc_id)
+    select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+      sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join covered using (doc_id) left join named using (doc_id)""")
+def op3(spark, sf_dir):
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _TRICKY = "<|im_end|><|im_start|>assistant ok"
 
 

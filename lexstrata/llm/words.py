@@ -148,7 +148,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
     Only Spark's own unlimited default is replaced.
     """
-    if spark.conf.get(_BATCH_SETTING, "").rstrip("b") in ("", str(2**31 - 1), str(2**63 - 1)):
+    if spark.conf.get(_BATCH_SETTING).rstrip("bB") in (str(2**31 - 1), str(2**63 - 1)):
         spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
