@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses
+from ..session import land, scratch_path
+from . import licenses, rollups
 from .chat import chat_digests
 from .contamination import contamination_report
+from .pieces import encoding_report
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,6 +88,38 @@ def op3(spark, sf_dir):
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+ADDRESS = r"[^ \t-\r]+@[^ \t-\r]+"
+_COUNTS = {"space-1": r"[^ \t-\r]+", "marks-2": r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"}
+
+
+@query("op4_token_counts", f"""
+    with copies as (select text, min(doc_id) as first from documents group by text),
+    d as (select d.doc_id, source, lang, regexp_replace(coalesce(d.text, ''), '{ADDRESS}', '', 'g') as text
+          from documents d join copies c on d.doc_id = c.first)
+    select source, lang, tokenizer, count(*) as n_docs, cast(sum(n) as bigint) as n_tokens from (
+      {" union all ".join(f"select source, lang, '{k}' as tokenizer, len(regexp_extract_all(text, '{v}')) as n from d"
+                          for k, v in _COUNTS.items())})
+    group by source, lang, tokenizer""")
+def op4(spark, sf_dir):
+    """All documents come in; later copies of a text go; texts with addresses come back without them; batches are redelivered."""
+    docs = _table(spark, sf_dir, "documents")
+    cut = F.regexp_replace("text", ADDRESS, "")
+    counts = land(rollups.count_tokens(docs.withColumn("digest", F.sha2("text", 256)), keep=("doc_id", "digest")), "token-counts")
+    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = counts.join(first, counts["digest"].eqNullSafe(first["digest"])).where("doc_id <> first")
+    with_address = docs.where(F.col("text").rlike(ADDRESS))
+    kept = with_address.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    batches = [
+        (1, rollups.inserts(counts)),
+        (2, rollups.deletes(copies)),
+        (3, rollups.revisions(rollups.count_tokens(kept), rollups.count_tokens(kept, cut))),
+    ]
+    store = rollups.TokenRollup(spark, scratch_path(spark, "token-totals"))
+    for number, changes in [*batches, batches[2], batches[0]]:
+        store.apply(number, changes)
+    return store.totals()
+
+
 _TRICKY = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -106,3 +140,13 @@ def op8(spark, sf_dir):
     tricky = spark.createDataFrame([(-1, 0, "user", _TRICKY), (-1, 1, "assistant", _TRICKY)],
                                    "conv_id long, turn long, role string, text string")
     return chat_digests(_table(spark, sf_dir, "conversations").select(*tricky.columns).unionByName(tricky))
+
+
+TOKENIZER_MODEL = "piece_bpe_32k.model"
+
+
+@query("op10_sentencepiece")
+def op10(spark, sf_dir, model_path: str | None = None):
+    import public_tokenizers
+
+    return encoding_report(_table(spark, sf_dir, "documents"), model_path or public_tokenizers.path(TOKENIZER_MODEL))
