@@ -9,6 +9,7 @@ from ..session import land, scratch_path
 from . import licenses, rollups
 from .chat import chat_digests
 from .contamination import contamination_report
+from .language import language_report
 from .pieces import encoding_report
 
 QUERIES: dict = {}
@@ -142,6 +143,11 @@ def op8(spark, sf_dir):
     return chat_digests(_table(spark, sf_dir, "conversations").select(*tricky.columns).unionByName(tricky))
 
 
+@query("op5_language_id")
+def op5(spark, sf_dir):
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
 TOKENIZER_MODEL = "piece_bpe_32k.model"
 
 
