@@ -10,6 +10,7 @@ from . import licenses, rollups
 from .chat import chat_digests
 from .contamination import contamination_report
 from .language import language_report
+from .personal import personal_report
 from .pieces import encoding_report
 
 QUERIES: dict = {}
@@ -148,6 +149,11 @@ def op5(spark, sf_dir):
     return language_report(_table(spark, sf_dir, "documents"))
 
 
+@query("op6_personal_data")
+def op6(spark, sf_dir):
+    return personal_report(_table(spark, sf_dir, "documents"))
+
+
 TOKENIZER_MODEL = "piece_bpe_32k.model"
 
 
