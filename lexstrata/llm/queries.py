@@ -9,6 +9,7 @@ from ..session import land, scratch_path
 from . import licenses, rollups
 from .chat import chat_digests
 from .contamination import contamination_report
+from .jaccard import near_duplicates
 from .language import language_report
 from .personal import personal_report
 from .pieces import encoding_report
@@ -154,6 +155,11 @@ def op6(spark, sf_dir):
     return personal_report(_table(spark, sf_dir, "documents"))
 
 
+@query("op2_ngram_jaccard")
+def op2(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 TOKENIZER_MODEL = "piece_bpe_32k.model"
 
 
