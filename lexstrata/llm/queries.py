@@ -13,6 +13,7 @@ from .jaccard import near_duplicates
 from .language import language_report
 from .personal import personal_report
 from .pieces import encoding_report
+from .repeats import remove_repeats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -160,6 +161,20 @@ def op2(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@query("op7_substring_dedup", """
+    with d as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+    w as materialized (select doc_id, k, md5(array_to_string(ws[k:k + 34], ' ')) as g
+          from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as k from d where len(ws) >= 35)),
+    twice as (select g from w group by g having count(*) > 1),
+    gone as (select distinct doc_id, unnest(range(k, k + 35)) as i from w join twice using (g)),
+    words as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from d),
+    kept as (select doc_id, string_agg(w, ' ' order by i) as t, count(*) as n from words anti join gone using (doc_id, i) group by doc_id)
+    select d.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+    from d left join kept using (doc_id)""")
+def op7(spark, sf_dir):
+    return remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
 TOKENIZER_MODEL = "piece_bpe_32k.model"
 
 
