@@ -11,6 +11,7 @@ from .chat import chat_digests
 from .contamination import contamination_report
 from .jaccard import near_duplicates
 from .language import language_report
+from .neighbours import nearest
 from .personal import personal_report
 from .pieces import encoding_report
 from .repeats import remove_repeats
@@ -175,6 +176,11 @@ def op7(spark, sf_dir):
     return remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
 
 
+@query("op9_nearest_neighbours")
+def op9(spark, sf_dir):
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 TOKENIZER_MODEL = "piece_bpe_32k.model"
 
 
