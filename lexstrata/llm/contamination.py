@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import saved
 from .words import ALNUM, LOWER, WordReader, mapped, mix
 
 WINDOW = 10
@@ -175,12 +176,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     waiting = ([], [])
     for part in _parts(benchmark, item, item_text):
         if waiting[0]:
-            out = searched(out, *waiting, last=False).checkpoint()
+            out = saved(searched(out, *waiting, last=False))
         waiting = part
     out = searched(out, *waiting, last=True)
     return out.select(F.col("_key").alias(key), "n_words", "hits", "items")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+               window: int = WINDOW) -> DataFrame:
+    """The rows that no pattern of the benchmark occurs in, all columns as they are."""
+    spark, at = docs.sparkSession, docs.columns.index(text)
+
+    def clean(df: DataFrame, ids: list, texts: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, texts))
+
+        def run(state, rows: pa.RecordBatch) -> pa.RecordBatch:
+            reader, items = state
+            keep = np.ones(len(rows), bool)
+            for block in reader.blocks(rows.column(at)):
+                places = np.array([place for place, _, _ in items.occurrences(block)], np.int64)
+                keep[block.first + np.searchsorted(block.bounds, places, "right") - 1] = False
+            return rows.filter(pa.array(keep))
+
+        return mapped(df, run, df.schema, lambda: (WordReader(ALNUM, LOWER), _Items(*shared.value, window)))
+
+    for number, part in enumerate(_parts(benchmark, item, item_text)):
+        docs = clean(saved(docs) if number else docs, *part)
+    return docs
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = find_contamination(docs, benchmark)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])

@@ -251,37 +251,51 @@ def _has_letter(block: Block, row: int) -> bool:
     return any(97 <= b <= 122 for b in text) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def _predicted(model: Model, block: Block) -> tuple[list[str], list[float], pa.Array]:
+    """Language, score and segments of each text of a block."""
+    n = block.last - block.first
+    if not model.labels or not len(block.starts):
+        return [UNKNOWN] * n, [0.0] * n, pa.array([[]] * n, _SEGMENT_TYPE)
+    found = marginals(word_scores(model, block), *chains(block.bounds), model.transitions, model.start)
+    means = _sums(block.docs, found, n) / np.maximum(np.diff(block.bounds), 1)[:, None]
+    plain = np.array([_has_letter(block, i) for i in range(n)])
+    names = [model.labels[b] if ok else UNKNOWN for b, ok in zip(means.argmax(axis=1), plain)]
+    scores = np.where(plain, np.minimum(means.max(axis=1), 1.0), 0.0).tolist()
+    return names, scores, _segments(found.argmax(axis=1), block.bounds, model.labels)
+
+
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key, lang_pred, score`` and ``segments``, the stretches of words of one language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n_labels = len(model.labels)
 
     def run(state, rows: pa.RecordBatch) -> pa.RecordBatch:
         reader, model = state
-        names, scores, segments = [], [], []
-        for block in reader.blocks(rows.column(1)):
-            n = block.last - block.first
-            if not n_labels or not len(block.starts):
-                names += [UNKNOWN] * n
-                scores += [0.0] * n
-                segments.append(pa.array([[]] * n, _SEGMENT_TYPE))
-                continue
-            found = marginals(word_scores(model, block), *chains(block.bounds), model.transitions, model.start)
-            means = _sums(block.docs, found, n) / np.maximum(np.diff(block.bounds), 1)[:, None]
-            best = means.argmax(axis=1)
-            plain = np.array([_has_letter(block, i) for i in range(n)])
-            names += [model.labels[b] if ok else UNKNOWN for b, ok in zip(best, plain)]
-            scores += np.where(plain, np.minimum(means.max(axis=1), 1.0), 0.0).tolist()
-            segments.append(_segments(found.argmax(axis=1), block.bounds, model.labels))
-        joined = pa.concat_arrays(segments) if segments else pa.array([], _SEGMENT_TYPE)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), joined],
-                                          names=[key, "lang_pred", "score", "segments"])
+        parts = [_predicted(model, block) for block in reader.blocks(rows.column(1))]
+        segments = pa.concat_arrays([s for _, _, s in parts]) if parts else pa.array([], _SEGMENT_TYPE)
+        return pa.RecordBatch.from_arrays(
+            [rows.column(0), pa.array([x for names, _, _ in parts for x in names], pa.string()),
+             pa.array([x for _, scores, _ in parts for x in scores], pa.float64()), segments],
+            names=[key, "lang_pred", "score", "segments"])
 
     kind = docs.schema[key].dataType.simpleString()
     return mapped(docs.select(key, text), run, f"`{key}` {kind}, lang_pred string, score double, segments {_SEGMENTS}",
                   lambda: (WordReader(LETTER, LOWER), shared.value))
 
 
+def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows whose text has a language with at least this score, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(state, rows: pa.RecordBatch) -> pa.RecordBatch:
+        reader, model = state
+        keep = [name != UNKNOWN and score >= least
+                for block in reader.blocks(rows.column(at)) for name, score in zip(*_predicted(model, block)[:2])]
+        return rows.filter(pa.array(keep, pa.bool_()))
+
+    return mapped(docs, run, docs.schema, lambda: (WordReader(LETTER, LOWER), shared.value))
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 

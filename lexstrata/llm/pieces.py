@@ -233,3 +233,26 @@ def encoding_report(docs: DataFrame, model_path: str, key: str = "doc_id", text:
     return mapped(docs.select(key, text), run,
                   f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
                   lambda: (Encoder(model.value), Decoder(model.value)))
+
+
+def tokenized(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """The rows with ``n_tokens, ids`` in place of the text, and ``decodes``: whether the ids give the text back.
+
+    Space marks in a text come back as spaces.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+    others = [f for f in docs.schema if f.name != text]
+    at = docs.columns.index(text)
+
+    def run(state: tuple[Encoder, Decoder], rows: pa.RecordBatch) -> pa.RecordBatch:
+        encoder, decoder = state
+        texts = [t or "" for t in rows.column(at).to_pylist()]
+        ids = [encoder.encode(t) for t in texts]
+        same = [decoder.decode(i) == t.replace(SPACE_MARK, " ") for i, t in zip(ids, texts)]
+        kept = [i for i in range(rows.num_columns) if i != at]
+        columns = [rows.column(i) for i in kept] + [pa.array([len(i) for i in ids], pa.int64()),
+                                                    pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(same)]
+        return pa.RecordBatch.from_arrays(columns, names=[f.name for f in others] + ["n_tokens", "ids", "decodes"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["n_tokens long", "ids array<int>", "decodes boolean"])
+    return mapped(docs, run, schema, lambda: (Encoder(model.value), Decoder(model.value)))
