@@ -70,11 +70,6 @@ def section_pattern(language: str, mode: str = "first") -> str:
     return pattern(text.replace("{language}", re.escape(language)), "s")
 
 
-def language_section(content: Column | str, language: str, mode: str = "first") -> Column:
-    """Text of a language section; null when the page has none."""
-    return first_group(content, section_pattern(language, mode))
-
-
 def term_ipa(section: Column | str) -> Column:
     return first_group(section, pattern(fixed.TERM_IPA))
 

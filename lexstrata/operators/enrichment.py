@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -18,16 +19,54 @@ EmbedFn = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 def embed(df: DataFrame, column: str, fn: EmbedFn, spread: str, out: str = "vector") -> DataFrame:
     """Add a vector per text from an iterator function over batches of texts.
 
-    The model runs once per distinct text; a text it fails on gets null.
+    The model runs once per distinct text. A text it fails on gets null and the
+    reason as ``<out>_error``: a batch that raises is tried again text by text.
+    Texts are counted and joined by digest and length; the text itself moves once,
+    to the model.
     """
-    model = F.pandas_udf(_typed(fn), "array<float>")
-    vectors = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn(out, model(column))
-    return lookup(df, vectors, column, spread)
-
-
-def _typed(fn: EmbedFn):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from fn(batches)
+    text = F.col(column)
+    keyed = df.withColumn("_digest", F.when(text.isNotNull(), F.concat(F.sha2(text, 256), F.length(text).cast("string"))))
+    model = F.pandas_udf(_isolated(fn), "vector array<float>, error string")
+    distinct = keyed.where(text.isNotNull()).select("_digest", text.alias("_text")).dropDuplicates(["_digest"])
+    vectors = distinct.select("_digest", model("_text").alias("_v")) \
+        .select("_digest", F.col("_v.vector").alias(out), F.col("_v.error").alias(f"{out}_error"))
+    return lookup(keyed, vectors, "_digest", spread).drop("_digest")
+
+
+def _isolated(fn: EmbedFn):
+    """The hook with failures turned into rows. The function is started once and started again only after a failure."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        waiting: deque = deque()
+
+        def feed():
+            while True:
+                yield waiting.popleft()
+
+        def told(texts: pd.Series, running) -> tuple[list, object]:
+            waiting.append(texts)
+            found = list(next(running))
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+            return found, running
+
+        def one(text: str) -> tuple[object, str | None]:
+            try:
+                found = list(next(iter(fn(iter([pd.Series([text])])))))
+                return found[0], None
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
+
+        running = None
+        for texts in batches:
+            try:
+                vectors, running = told(texts, running or iter(fn(feed())))
+                errors = [None] * len(texts)
+            except Exception:
+                running = None
+                waiting.clear()
+                vectors, errors = zip(*[one(t) for t in texts])
+            yield pd.DataFrame({"vector": pd.Series(list(vectors), dtype=object),
+                                "error": pd.Series(list(errors), dtype=object)})
 
     return run
 
@@ -50,18 +89,21 @@ def ngram_vectors(dim: int = 64, n: int = 3) -> EmbedFn:
 
 
 def ask(batches: DataFrame, reply_fn: Callable[[str], str | None]) -> DataFrame:
-    """Send each batch body to a reply function: (batch, body) -> (batch, reply).
+    """Send each batch body to a reply function: (batch, body) -> (batch, reply, error).
 
-    A failing call gives a null reply and the run goes on.
+    A failing call gives a null reply with the reason, and the run goes on.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            replies = []
+            replies, errors = [], []
             for body in frame["body"]:
                 try:
                     replies.append(reply_fn(body))
-                except Exception:
+                    errors.append("no reply" if replies[-1] is None else None)
+                except Exception as e:
                     replies.append(None)
-            yield pd.DataFrame({"batch": frame["batch"], "reply": pd.Series(replies, dtype=object)})
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"batch": frame["batch"], "reply": pd.Series(replies, dtype=object),
+                                "error": pd.Series(errors, dtype=object)})
 
-    return batches.select("batch", "body").mapInPandas(run, "batch bigint, reply string")
+    return batches.select("batch", "body").mapInPandas(run, "batch bigint, reply string, error string")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -98,6 +98,11 @@ class _Outline(HTMLParser):
         self.done = False
         self.ipa: dict[str, str] = {}
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` is a comment up to the next ``>``, as browsers read it."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         sibling = self.level == len(self.open) and not self.done
@@ -162,23 +167,34 @@ class _Outline(HTMLParser):
         return self
 
 
-def _read_page(html: str | None, heading: str | None, levels: tuple[str, ...]) -> tuple[str | None, str | None]:
+def _read_page(html: str | None, heading: str | None, levels: tuple[str, ...]) -> tuple[str | None, str | None, str | None]:
+    """Pronunciation, section and what went wrong; one page never ends the run."""
     if html is None:
-        return None, None
-    page = _Outline(heading, levels)
-    page.feed(html)
-    page.finish()
+        return None, None, None
+    try:
+        page = _Outline(heading, levels)
+        page.feed(html)
+        page.finish()
+    except Exception as e:
+        return None, None, f"{type(e).__name__}: {e}"
     ipa = page.ipa.get("class", page.ipa.get("lang"))
-    return ipa, None if page.section is None else " ".join(page.section)
+    return ipa, None if page.section is None else " ".join(page.section), None
+
+
+def may_hold(html: Column, levels: tuple[str, ...]) -> Column:
+    """False only for pages that hold neither a pronunciation nor a heading of these levels."""
+    tags = "|".join(levels)
+    return html.contains("IPA") | html.rlike("(?i)<span[^>]*&") | html.rlike(f"(?i)<(?:{tags})")
 
 
 def extract_html(pages: DataFrame, page_id: str = "page_id", html: str = "html",
                  heading: str | None = "Etymology", levels: tuple[str, ...] = ("h3", "h4")) -> DataFrame:
-    """Pronunciation and the text after one heading, per HTML page.
+    """Pronunciation, the text after one heading and an error, per HTML page.
 
     The heading is the first of ``levels`` whose whole text is ``heading`` (None:
     the first with plain text). Its text is that of the elements after it, on its
-    own level, up to the next whose name starts with ``h``.
+    own level, up to the next whose name starts with ``h``. Only pages that may hold
+    one of the two are handed to the parser; the others stay where they are.
     """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,8 +203,10 @@ def extract_html(pages: DataFrame, page_id: str = "page_id", html: str = "html",
                 page_id: batch["page_id"],
                 "ipa": pd.Series([f[0] for f in found], dtype=object),
                 "section_text": pd.Series([f[1] for f in found], dtype=object),
+                "error": pd.Series([f[2] for f in found], dtype=object),
             })
 
-    source = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html"))
+    kept = F.when(may_hold(F.col(html), levels), F.col(html))    # a null page reads as nothing found
+    source = pages.select(F.col(page_id).alias("page_id"), kept.alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
-    return source.mapInPandas(read, f"{page_id} {kind}, ipa string, section_text string")
+    return source.mapInPandas(read, f"{page_id} {kind}, ipa string, section_text string, error string")

@@ -9,11 +9,11 @@ from ..session import shuffle_partitions
 
 
 def hot_keys(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """Keys holding more than 1/parts of the rows, with the slices each needs.
+    """Keys holding more than 1/parts of the rows, null among them, with the slices each needs.
 
     At most ``parts`` rows come out, and their slices add up to at most twice that.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     share = F.col("n") * parts / total
     return counts.where(share > 1).select(key, F.ceil(share).cast("int").alias("_slices"))
@@ -25,9 +25,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column | str, ho
 
     A key with more than its share of rows is cut into slices by ``spread`` (any
     column that varies inside a key) and its one right row is copied per slice,
-    so no task gets more than about 1/parts of the left rows. The keys are
-    counted first, by a job over the key column alone; without a hot one this is
-    a plain join.
+    so no task gets more than about 1/parts of the left rows. Rows without a key
+    meet nothing and are sliced likewise. The keys are counted first, by a job
+    over the key column alone; without a hot one this is a plain join.
     """
     spark = left.sparkSession
     parts = parts or 4 * shuffle_partitions(spark)
@@ -35,9 +35,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column | str, ho
     rows = found.collect()    # at most ``parts`` rows
     if not rows:
         return left.join(right, key, how)
-    hot = F.broadcast(spark.createDataFrame(rows, found.schema))
+    hot = F.broadcast(spark.createDataFrame([r for r in rows if r[key] is not None], found.schema))
     spread = F.col(spread) if isinstance(spread, str) else spread
-    slice_no = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_slices")), F.lit(0)).cast("int")
+    slices = F.when(F.col(key).isNull(), F.lit(parts)).otherwise(F.col("_slices"))
+    slice_no = F.coalesce(F.pmod(F.xxhash64(spread), slices), F.lit(0)).cast("int")
     sliced = left.join(hot, key, "left").withColumn("_slice", slice_no).drop("_slices")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
     copied = right.join(hot, key, "left").withColumn("_slice", copies).drop("_slices")

@@ -12,8 +12,10 @@ shuffle of those rows finishes the ranking. The sizes decide how blocks meet:
   one bounded task.
 
 Distances are compared at 9 decimals, ties going to the lower row id, so results
-do not depend on how the sums were ordered. Vectors that are null, of another
-length, or without length have no distance and are never chosen.
+do not depend on how the sums were ordered. One vector length holds for the whole
+search: that of most lexicon rows, unless given. Vectors that are null, of another
+length, or without length have no distance: such rows are never chosen and such
+queries get no answer, whatever stands beside them.
 """
 
 from __future__ import annotations
@@ -36,18 +38,15 @@ BLOCK_BYTES = 128 << 20
 _CELLS = 4_000_000
 
 
-def _unit_rows(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Usable positions and their unit vectors."""
+def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the usable vectors of this length, and their unit vectors."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.list_(pa.float64()))
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
     lengths = np.nan_to_num(lengths.astype(float), nan=-1)
-    if dim is None:
-        usable = lengths[lengths > 0]
-        dim = int(usable[0]) if len(usable) else 0
-    at = np.flatnonzero(lengths == dim) if dim else np.empty(0, dtype=np.int64)
+    at = np.flatnonzero(lengths == dim)
     if not len(at):
-        return at, np.empty((0, dim or 0))
+        return at, np.empty((0, dim))
     rows = column if len(at) == len(column) else column.take(pa.array(at))
     flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), dim)
     norms = np.sqrt((flat * flat).sum(axis=1))
@@ -135,23 +134,26 @@ class _Best:
 
 
 def _dimension(lexicon: DataFrame) -> int:
-    row = lexicon.select(F.size("vector").alias("n")).where(F.col("n") > 0).first()
+    """The length of most vectors; of equally frequent ones the longest."""
+    sizes = lexicon.select(F.size("vector").alias("n")).where(F.col("n") > 0).groupBy("n").agg(F.count("*").alias("rows"))
+    row = sizes.orderBy(F.desc("rows"), F.desc("n")).first()
     return row["n"] if row else 1
 
 
 def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[int, ...], keep: list[str],
-            budget: int, scan_tasks: int | None) -> DataFrame:
+            budget: int, scan_tasks: int | None, dim: int | None) -> DataFrame:
     """The answer with its ``rank``, or rows without one that can still be in the answer."""
     spark = queries.sparkSession
     types = {f.name: f.dataType.simpleString() for f in lexicon.schema.fields}
     kind = queries.schema["query_id"].dataType.simpleString()
     rest = ", ".join(["row_id bigint, time_period int, distance double"] + [f"{n} {types[n]}" for n in keep])
     schema = f"query_id {kind}, {rest}"
-    row_bytes = 8 * _dimension(lexicon)
+    dim = dim or _dimension(lexicon)
+    row_bytes = 8 * dim
     k = top_n + len(periods)
 
     def answer(query_ids: pa.Array, units: np.ndarray, tables: Iterator[pa.Table],
-               last: int | None = None) -> list[pa.RecordBatch]:
+               last: int | None = None, keep: list[str] = keep) -> list[pa.RecordBatch]:
         best = _Best(query_ids, units, k, periods, keep)
         for t in tables:
             best.add(t)
@@ -164,7 +166,7 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at, units = _unit_rows(b.column("vector"), None)
+                at, units = _unit_rows(b.column("vector"), dim)
                 if len(at):
                     yield from answer(b.column("query_id").take(pa.array(at)), units, iter([shared.value]), top_n)
 
@@ -177,7 +179,7 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
     queries = land(queries, "queries")
     asked = collect_if_small(queries, budget, "vector", row_bytes)
     if asked is not None:
-        at, units = _unit_rows(asked.column("vector"), None)
+        at, units = _unit_rows(asked.column("vector"), dim)
         sent = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks().take(pa.array(at)), units))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +187,9 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
             if len(units):
                 yield from answer(query_ids, units, (pa.Table.from_batches([b]) for b in batches))
 
-        # Every task hands on a few rows per query, so few long tasks beat many short ones.
-        return lexicon.coalesce(scan_tasks or 4 * spark.sparkContext.defaultParallelism).mapInArrow(scan, schema)
+        # Every task hands on a few rows per query, so fewer, longer tasks may pay; that is the caller's choice.
+        read = lexicon.coalesce(scan_tasks) if scan_tasks else lexicon
+        return read.mapInArrow(scan, schema)
 
     block_rows = max(1, BLOCK_BYTES // row_bytes)
     q_blocks = max(1, -(-queries.count() // block_rows))
@@ -199,26 +202,28 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     left = queries.select("query_id", "vector", block("query_id", q_blocks).alias("_q"), spread(l_blocks).alias("_l"))
-    right = lexicon.select("*", spread(q_blocks).alias("_q"), block("row_id", l_blocks).alias("_l"))
+    # Every copy of a row carries its vector alone; the kept columns join the few winners later.
+    right = lexicon.select("row_id", "time_period", "vector", spread(q_blocks).alias("_q"), block("row_id", l_blocks).alias("_l"))
 
     def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
         found: list[pa.RecordBatch] = []
         if lt.num_rows and rt.num_rows:
-            at, units = _unit_rows(lt.column("vector"), None)
+            at, units = _unit_rows(lt.column("vector"), dim)
             if len(at):
-                found = answer(lt.column("query_id").combine_chunks().take(pa.array(at)), units, iter([rt]))
+                found = answer(lt.column("query_id").combine_chunks().take(pa.array(at)), units, iter([rt]), keep=[])
         fields = [lt.schema.field("query_id"), pa.field("row_id", pa.int64()), pa.field("time_period", pa.int32()),
-                  pa.field("distance", pa.float64()), *[rt.schema.field(n) for n in keep]]
+                  pa.field("distance", pa.float64())]
         return pa.Table.from_batches(found) if found else pa.schema(fields).empty_table()
 
-    return left.groupBy("_q", "_l").cogroup(right.groupBy("_q", "_l")).applyInArrow(cell, schema)
+    return left.groupBy("_q", "_l").cogroup(right.groupBy("_q", "_l")).applyInArrow(
+        cell, f"query_id {kind}, row_id bigint, time_period int, distance double")
 
 
 def nearest_with_coverage(queries: DataFrame, lexicon: DataFrame, top_n: int = 10,
                           periods: tuple[int, ...] = fixed.ANCHOR_PERIODS,
                           min_similarity: float | None = None, keep: tuple[str, ...] = (),
                           budget: int = BROADCAST_BYTES,
-                          scan_tasks: int | None = None) -> DataFrame:
+                          scan_tasks: int | None = None, dim: int | None = None) -> DataFrame:
     """Nearest lexicon rows of every query, with each anchor period covered.
 
     ``queries``: (query_id, vector). ``lexicon``: (row_id bigint, time_period int,
@@ -229,9 +234,12 @@ def nearest_with_coverage(queries: DataFrame, lexicon: DataFrame, top_n: int = 1
     even when there are more of them than ``top_n``.
     """
     lexicon = lexicon.select(F.col("row_id").cast("bigint"), F.col("time_period").cast("int"), "vector", *keep)
-    found = _search(queries.select("query_id", "vector"), lexicon, top_n, periods, list(keep), budget, scan_tasks)
+    found = _search(queries.select("query_id", "vector"), lexicon, top_n, periods, list(keep), budget, scan_tasks, dim)
     if "rank" not in found.columns:
         found = _rank(found, top_n, periods)
+    missing = [c for c in keep if c not in found.columns]
+    if missing:
+        found = found.join(lexicon.select("row_id", *missing), "row_id")
     out = found.select("query_id", "rank", "row_id", "time_period", "distance",
                        (F.lit(1.0) - F.col("distance")).alias("similarity"), *keep)
     return out if min_similarity is None else out.where(F.col("similarity") >= min_similarity)
@@ -251,20 +259,22 @@ def _rank(found: DataFrame, top_n: int, periods: tuple[int, ...]) -> DataFrame:
 
 
 def first_vectors(lexicon: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """The first stored row of each word (of ``words`` only, when given)."""
-    if words is not None:
-        lexicon = lexicon.join(words.select("word").distinct(), "word", "left_semi")
-    return keep_first(lexicon, ["word"], ["row_id"])
+    """The first stored row of each word (of ``words`` only, when given).
+
+    Rows are cut to one per word first, so a word that is stored very often meets the words once.
+    """
+    first = keep_first(lexicon, ["word"], ["row_id"])
+    return first if words is None else first.join(words.select("word").distinct(), "word", "left_semi")
 
 
 def similar_words(words: DataFrame, lexicon: DataFrame, n: int = 5, budget: int = BROADCAST_BYTES,
-                  scan_tasks: int | None = None) -> DataFrame:
+                  scan_tasks: int | None = None, dim: int | None = None) -> DataFrame:
     """The n stored rows most similar to each stored word, the word's own row left out.
 
     Words that are not stored give no rows. Result: (word, rank, row_id, similarity).
     """
     own = first_vectors(lexicon, words).select(F.struct("word", "row_id").alias("query_id"), "vector")
-    near = nearest_with_coverage(own, lexicon, n + 1, (), budget=budget, scan_tasks=scan_tasks)
+    near = nearest_with_coverage(own, lexicon, n + 1, (), budget=budget, scan_tasks=scan_tasks, dim=dim)
     others = near.where(F.col("row_id") != F.col("query_id.row_id"))
     w = Window.partitionBy("query_id").orderBy("rank")
     return others.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n) \

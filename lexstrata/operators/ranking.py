@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shuffle_partitions
+from ..session import land, shuffle_partitions
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -25,11 +25,6 @@ def keep_smallest(df: DataFrame, keys: list[str], columns: list[str] | None = No
     return keep_first(df, keys, [F.asc_nulls_last(c) for c in columns or df.columns])
 
 
-def top_n_per(df: DataFrame, keys: list[str], order: list[Column | str], n: int, out: str = "rank") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
-
-
 def sort_nulls_last(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*[F.asc_nulls_last(c) for c in columns])
 
@@ -44,7 +39,7 @@ def first_n(df: DataFrame, n: int | None, *order: str) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int | None, row_id: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows without replacement, the same ones on every run."""
+    """Exactly n rows without replacement, the same ones on every run; 0 and None give all rows."""
     if not n:
         return df
     key = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed))))
@@ -52,20 +47,22 @@ def sample_n(df: DataFrame, n: int | None, row_id: str, seed: int = 42) -> DataF
 
 
 def with_position(df: DataFrame, order: str, out: str = "position", slices: int | None = None) -> DataFrame:
-    """Dense global positions 0, 1, 2, ... in the order of a unique number column.
+    """Dense global positions 0, 1, 2, ... in the order of a unique column.
 
-    The range is cut at approximate quantiles of the column, rows are numbered
-    inside each slice and the slice's offset is added, so no task sees the whole
-    table. Only the cuts and one offset per slice leave the tasks.
+    The range of a number is cut at approximate quantiles; rows of any other kind
+    are dealt out by range and landed, so that their slices stay as they are. Rows
+    are numbered inside each slice and the slice's offset is added, so no task sees
+    the whole table. Only the cuts and one offset per slice leave the tasks.
     """
-    if not isinstance(df.schema[order].dataType, T.NumericType):
-        raise TypeError(f"{order} must be numeric")
     slices = slices or 4 * shuffle_partitions(df.sparkSession)
-    points = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(df.approxQuantile(order, points, 0.2 / slices))) if points else [0.0]
-    bounds = [-float("inf"), *cuts, float("inf")]
-    sliced = Bucketizer(splits=bounds, inputCol="_at", outputCol="_slice") \
-        .transform(df.withColumn("_at", F.col(order).cast("double"))).drop("_at")
+    if isinstance(df.schema[order].dataType, T.NumericType):
+        points = [i / slices for i in range(1, slices)]
+        cuts = sorted(set(df.approxQuantile(order, points, 0.2 / slices))) if points else []
+        bounds = [-float("inf"), *(cuts or [0.0]), float("inf")]
+        sliced = Bucketizer(splits=bounds, inputCol="_at", outputCol="_slice") \
+            .transform(df.withColumn("_at", F.col(order).cast("double"))).drop("_at")
+    else:
+        sliced = land(df.repartitionByRange(slices, order).withColumn("_slice", F.spark_partition_id()), "positions")
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("n"))
     offsets = counts.withColumn(
         "before", F.coalesce(F.sum("n").over(

@@ -21,12 +21,16 @@ def batch_entries(entries: DataFrame, size: int = 20, content: Column | str = "r
     })
 
 
-def batch_bodies(placed: DataFrame) -> DataFrame:
-    """One body per batch: its entries in order, each closed by a separator line."""
+def batch_bodies(placed: DataFrame, kind: str = "term") -> DataFrame:
+    """One body per batch: its entries in order, each closed by a separator line.
+
+    Terms have their content under a line of its own; a root's blocks follow the title.
+    """
+    heading, gap = {"term": ("\nContent:\n", "\n\n"), "root": ("\n", "\n")}[kind]
     text = F.concat(
         F.lit("Entry "), (F.col("place") + 1).cast("string"), F.lit(":\nTitle: "),
-        F.coalesce(F.col("title"), F.lit("")), F.lit("\nContent:\n"), F.col("_content"),
-        F.lit(f"\n\n{fixed.REPLY_SEPARATOR}\n"),
+        F.coalesce(F.col("title"), F.lit("")), F.lit(heading), F.col("_content"),
+        F.lit(f"{gap}{fixed.REPLY_SEPARATOR}\n"),
     )
     packed = placed.groupBy("batch").agg(
         F.sort_array(F.collect_list(F.struct("place", text.alias("text")))).alias("parts"))
@@ -45,7 +49,13 @@ def parse_replies(placed: DataFrame, replies: DataFrame,
     """Entries joined to their reply segments by place; whichever side is shorter ends a batch.
 
     ``original`` gives ``original_characters`` from the title (default: the title, stripped).
+    Where replies carry an ``error``, the entries of failed batches come too, with
+    that error and no values.
     """
     original = strip(F.coalesce(F.col("title"), F.lit(""))) if original is None else original
     joined = placed.select("batch", "place", "title").join(reply_rows(replies), ["batch", "place"])
-    return joined.select("batch", "place", *reply_record("segment", original, fields))
+    found = joined.select("batch", "place", *reply_record("segment", original, fields))
+    if "error" not in replies.columns:
+        return found
+    failed = placed.select("batch", "place").join(replies.where(F.col("reply").isNull()).select("batch", "error"), "batch")
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)

@@ -11,6 +11,7 @@ from ..operators import neighbours as nn
 from ..operators.cleaning import literal_map
 from ..operators.joins import lookup
 from ..operators.prediction import collect_forms, with_form_at, with_requested_form
+from ..session import land
 
 MATCHES_PER_WORD = 3
 MATCHES_PER_REQUEST = 5
@@ -170,16 +171,17 @@ def predict_requests(requests: DataFrame, lexicon: DataFrame, word_vectors, top_
 
     ``word_vectors`` is a function that adds a ``vector`` to a table with a ``word``
     column of distinct words. Every distinct word is searched once, every distinct
-    (word, time) predicted once.
+    (word, time) predicted once. The checked requests and their words are landed,
+    as several branches read them.
     """
     for name in ("dialect_text", "dialect_ipa"):
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast("string"))
-    checked = validate(requests)
+    checked = land(validate(requests), "requests")
     good, bad = checked.where(F.col("error").isNull()), checked.where(F.col("error").isNotNull())
     direct = F.col("language").isin(*fixed.MODERN_LABELS, fixed.DIALECT_LABEL)
     spoken_requests = good.where(~direct)
-    token_rows = tokens(spoken_requests)
+    token_rows = land(tokens(spoken_requests), "tokens")
     forms = word_neighbours(word_vectors(vocabulary(token_rows)), lexicon, top_n, **search)
     spoken = assemble(spoken_requests, token_rows, predict_words(forms))
     errors = _row(bad, error=F.col("error"), nearest_matches=F.lit(None).cast(MATCH_TYPE))

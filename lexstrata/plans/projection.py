@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,15 @@ def reduce_dimensions(df: DataFrame, k: int = 3, vector: str = "vector") -> Data
     """Add k coordinates (x1..xk) from the principal components.
 
     Fitting is one pass of partial covariance sums; coordinates differ from
-    those of a neighbourhood-graph projection.
+    those of a neighbourhood-graph projection. Rows without a vector stay, with null
+    coordinates, and take no part in the fit.
     """
-    ready = df.where(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(ready)
-    out = model.transform(ready).withColumn("_p", vector_to_array("_p"))
-    return out.select(*df.columns, *[F.get("_p", F.lit(i)).alias(f"x{i + 1}") for i in range(k)])
+    ready = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    axes = PCA(k=k, inputCol="_v", outputCol="_p").fit(ready).pc.toArray()
+    names = [f"x{i + 1}" for i in range(k)]
+
+    def along(axis) -> Column:
+        weights = F.array(*[F.lit(float(w)) for w in axis])
+        return F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+    return df.select("*", *[along(axes[:, i]).alias(n) for i, n in enumerate(names)])

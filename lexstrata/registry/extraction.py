@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import text, wikitext
 from ..functions.replies import prompt_sections, reply_record, reply_segments
 from ..operators import cleaning as cl
 from ..operators import extraction as ex
 from ..operators import quality
 from ..operators.replies import reply_rows
+from ..plans.harvest import harvest
 from ..session import scratch_path
 from ..sources import files, tables
 from ..streaming import incremental as inc
@@ -126,6 +128,16 @@ def _(spark, sf):
     return rows.select("batch", "place", *reply_record("segment", F.col("batch").cast("string")))
 
 
+@query("str9_root_reply", with_views("replies", f""", {REPLY_FIELDS}, d as (select batch, place, arg_max(trim(value, {TRIM}), n)
+    filter (field = 'part_of_speech') as description from seg left join good using (batch, place) group by all)
+    select batch, place, ipa_phoneme, english_translation, d.description, cast(batch as varchar) as original_characters
+    from rec join d using (batch, place)"""))
+def _(spark, sf):
+    replies = view(spark, sf, "replies").withColumn("reply", F.replace("reply", F.lit("part_of_speech"), F.lit("Description")))
+    return reply_rows(replies).select("batch", "place", *reply_record(
+        "segment", F.col("batch").cast("string"), fixed.REPLY_FIELDS_ROOT))
+
+
 @query("str10_reply_segments", with_views("replies", f""", {REPLY_FIELDS} select batch, place, segment from seg"""))
 def _(spark, sf):
     replies = view(spark, sf, "replies")
@@ -242,11 +254,32 @@ def _(spark, sf):
     return ex.extract_html(spark.sql(_SPOKEN_PAGES, pages=table(spark, sf, "pages"))).select("page_id", "ipa")
 
 
+@query("str20_odd_markup", """select page_id, case when contains(html, '<h1>') then '/' || page_id || '&/' end as ipa,
+    cast(null as varchar) as error from pages""")
+def _(spark, sf):
+    pages = spark.sql(_SPOKEN_PAGES, pages=table(spark, sf, "pages"))
+    odd = pages.withColumn("html", F.concat(F.lit("<![foo[bar]]><![endif]--><!-- x"), F.lit(" -->"), "html", F.lit("<![cut")))
+    return ex.extract_html(odd).select("page_id", "ipa", "error")
+
+
 @query("str21_html_section")
 def _(spark, sf):
     return ex.extract_html(table(spark, sf, "pages"), heading=None, levels=("h1",)).select("page_id", "section_text")
 
 
+# whole texts, escaped, between headings, siblings and nested and unclosed elements
+_SECTION_PAGES = """select doc_id as page_id, '<h3>Noun</h3><p>not this</p><div><h2>Etymology</h2><h3>Etymology</h3><p>'
+    || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</p><div>in <b>' || lang || '<i> &amp; </b>' || source
+    || '</div><h3>Noun</h3><p>nor this</p></div>' as html from {documents}"""
+
+
+@query("str21_wrapped_sections", f"""select doc_id as page_id, trim(text, {TRIM}) || ' in ' || lang || ' & ' || source
+    as section_text, cast(null as varchar) as error from documents""")
+def _(spark, sf):
+    return ex.extract_html(spark.sql(_SECTION_PAGES, documents=table(spark, sf, "documents"))) \
+        .select("page_id", "section_text", "error")
+
+
 MINED_SQL = ("mined as (select row_no, original_characters, ipa_phoneme as o1, english_translation as o2, "
              f"{_MINE_IPA} as n1, {_MINE_TRANS} as n2, {_MINE_POS} as n3 from raw), "
              "found as (select row_no, concat_ws('; ', n1, o1) as ipa_phoneme, concat_ws('; ', n2, o2) "
@@ -261,13 +294,18 @@ def _(spark, sf):
 # ---- sources and sinks (written under the session's shared folder, then read back)
 
 @query("src1_csv_scan", with_views("entries", """select original_characters, ipa_phoneme,
-    case when english_translation <> 'None' then english_translation end as english_translation, part_of_speech
-    from entries"""))
+    case when english_translation <> 'None' then english_translation end as english_translation,
+    case when row_no % 3 < 2 then part_of_speech end as part_of_speech from entries"""))
 def _(spark, sf):
     path = scratch_path(spark, "src1")
-    tables.save_table(cl.canonical_columns(view(spark, sf, "entries")), path, fmt="csv")
-    return files.read_csv(spark, path, files.LATIN_FULL_SCHEMA).select(
-        "original_characters", "ipa_phoneme", "english_translation", "part_of_speech")
+    entries = view(spark, sf, "entries")
+    layouts = (("original_characters", "ipa_phoneme", "english_translation", "part_of_speech"),
+               ("part_of_speech", "english_translation", "row_no", "ipa_phoneme", "original_characters"),
+               ("english_translation", "original_characters", "ipa_phoneme"))
+    for i, columns in enumerate(layouts):    # files of other column orders, one without a part of speech
+        tables.save_table(entries.where(F.col("row_no") % 3 == i).select(*columns), f"{path}/{i}", fmt="csv")
+    whole_lines = files.read_csv(spark, [f"{path}/{i}" for i in range(3)], files.LATIN_FULL_SCHEMA, multi_line=False)
+    return whole_lines.select("original_characters", "ipa_phoneme", "english_translation", "part_of_speech")
 
 
 @query("src2_pronunciation_scan", """select p_name as word, 'US English' as language,
@@ -282,28 +320,40 @@ def _(spark, sf):
     return files.read_pronunciations(spark, path, "US English")[0]
 
 
-@query("src4_api_pages", with_views("terms", """select page_id, title, content from terms
-    where title not like 's%'"""))
-def _(spark, sf):
+def _landed_replies(spark, sf, name):
+    """Terms as API replies, one JSON document per line, and as many that are cut off."""
     pages = view(spark, sf, "terms")
     revision = F.array(F.struct(F.struct(F.struct(F.col("content").alias("*")).alias("main")).alias("slots")))
     none = F.slice(revision, 1, 0)
     page = F.struct(F.col("page_id").alias("pageid"), "title",
                     F.when(F.col("title").startswith("s"), none).otherwise(revision).alias("revisions"))
     reply = F.struct(F.struct(F.create_map(F.col("page_id").cast("string"), page).alias("pages")).alias("query"))
-    path = scratch_path(spark, "src4")
-    pages.select(F.to_json(reply).alias("value")).write.text(path)
+    path = scratch_path(spark, name)
+    cut = F.concat(F.lit('{"query": {"pages": {"'), F.col("page_id").cast("string"))
+    pages.select(F.to_json(reply).alias("value")).unionByName(pages.select(cut.alias("value"))).write.text(path)
     return files.read_pages(spark, path)
 
 
+@query("src4_api_pages", with_views("terms", """select page_id, title, content from terms
+    where title not like 's%'"""))
+def _(spark, sf):
+    return _landed_replies(spark, sf, "src4")[0]
+
+
+@query("src4_rejected_documents", """select '{"query": {"pages": {"' || p_partkey as document,
+    'not a JSON document' as error from part""")
+def _(spark, sf):
+    return _landed_replies(spark, sf, "src4")[1]
+
+
 def _never():
     raise RuntimeError("a landed table must not be built again")
 
 
-@query("src5_read_or_build", "select page_id, url from pages")
+@query("src5_read_or_build", "select page_id, url, html from pages")
 def _(spark, sf):
     path = scratch_path(spark, "src5")
-    tables.read_or_build(spark, path, lambda: table(spark, sf, "pages").select("page_id", "url"))
+    tables.read_or_build(spark, path, lambda: table(spark, sf, "pages").select("page_id", "url", "html"))
     return tables.read_or_build(spark, path, _never)
 
 
@@ -316,21 +366,24 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/raw")
 
 
-@query("src7_land_batch", """select page_id, url, 'latin' as language, cast(7 as bigint) as batch_id from pages""")
+@query("src7_land_batch", """select page_id, url, html, 'latin' as language, cast(7 as bigint) as batch_id from pages""")
 def _(spark, sf):
     path = scratch_path(spark, "src7")
     for _ in range(2):    # landing the same batch again replaces it
-        tables.land_batch(table(spark, sf, "pages").select("page_id", "url"), path, 7, "latin")
+        tables.land_batch(table(spark, sf, "pages").select("page_id", "url", "html"), path, 7, "latin")
     landed = spark.read.parquet(path)
-    return landed.select("page_id", "url", "language", F.col("batch_id").cast("long").alias("batch_id"))
+    return landed.select("page_id", "url", "html", "language", F.col("batch_id").cast("long").alias("batch_id"))
 
 
-@query("src9_compact_chunks", "select vec_id, label from embeddings")
+@query("src9_compact_chunks", """select vec_id, label, len(embedding)::int as n, embedding[1]::double as x1,
+    embedding[64]::double as x64 from embeddings""")
 def _(spark, sf):
     path = scratch_path(spark, "src9")
-    tables.save_chunks(table(spark, sf, "embeddings").select("vec_id", "label"), f"{path}/chunks", "vec_id", 64)
+    tables.save_chunks(table(spark, sf, "embeddings"), f"{path}/chunks", "vec_id", 64)
     tables.compact_chunks(spark, f"{path}/chunks", f"{path}/all")
-    return spark.read.parquet(f"{path}/all")
+    return spark.read.parquet(f"{path}/all").select(
+        "vec_id", "label", F.size("embedding").alias("n"), F.get("embedding", F.lit(0)).cast("double").alias("x1"),
+        F.get("embedding", F.lit(63)).cast("double").alias("x64"))
 
 
 @query("src10_parse_vectors", """select l_orderkey, l_linenumber, l_quantity > 2 as vector_ok,
@@ -393,6 +446,24 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/out").drop("batch_id")
 
 
+def echo_reply(body: str) -> str:
+    """A stand-in for the reply service: the title as the meaning."""
+    titles = [line[7:] for line in body.split("\n") if line.startswith("Title: ")]
+    return "---".join(f"ipa_phoneme: [/x/]\nenglish_translation: {t}\npart_of_speech: null" for t in titles)
+
+
+@query("stm2_incremental_harvest", """select 'x' as ipa_phoneme, p_name as english_translation,
+    cast(null as varchar) as part_of_speech, p_name as original_characters, cast(null as varchar) as error from part""")
+def _(spark, sf):
+    path = scratch_path(spark, "stm2h")
+    terms = view(spark, sf, "terms")
+    terms.repartitionByRange(3, "page_id").write.parquet(f"{path}/in")
+    for _ in range(2):    # the second run finds nothing new
+        inc.run_increments(spark, f"{path}/in", terms.schema, lambda b: harvest(b, "Latin", echo_reply),
+                           f"{path}/out", f"{path}/progress", files_per_batch=1)
+    return spark.read.parquet(f"{path}/out").drop("batch_id", "batch", "place")
+
+
 @query("stm3_failure_isolation", _STATUS_SQL)
 def _(spark, sf):
     path = scratch_path(spark, "stm3")

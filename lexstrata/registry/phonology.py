@@ -14,7 +14,7 @@ from ..plans import consolidation, harvest, projection
 from ..plans import prediction as plan
 from ..session import scratch_path
 from ..sources import files
-from .extraction import MINED_SQL, dedupe_sql
+from .extraction import MINED_SQL, dedupe_sql, echo_reply
 from .relational import BLANK, PERIOD, REQUEST_CHECK, TRIM
 from .views import query, table, view, with_views
 
@@ -133,6 +133,18 @@ def _(spark, sf):
         F.round("similarity", 6).alias("similarity"))
 
 
+@query("win1_odd_queries", with_views("vectors", f""", {VEC}, {SELF}, {near_sql('q', 5)}
+    select query_id, rank, row_id, round(distance, 6) as distance from near"""))
+def _(spark, sf):
+    """Queries that have no answer, placed before all others, change nothing for them."""
+    vectors = view(spark, sf, "vectors")
+    odd = spark.createDataFrame([(-1, [1.0]), (-2, []), (-3, None), (-4, [0.0] * 64), (-5, [1.0] * 65)],
+                                "query_id long, vector array<float>")
+    queries = odd.unionByName(_queries(vectors).select(F.col("query_id").cast("long").alias("query_id"), "vector"))
+    near = neighbours.nearest_with_coverage(queries.coalesce(1), vectors, 5)
+    return near.select("query_id", "rank", "row_id", F.round("distance", 6).alias("distance"))
+
+
 @query("win1_coverage_beats_n", with_views("vectors", f""", {VEC}, {SELF}, {near_sql('q', 2)}
     select query_id, rank, row_id, time_period, round(distance, 6) as distance from near"""))
 def _(spark, sf):
@@ -202,12 +214,16 @@ def _(spark, sf):
         F.round(F.get("vector", F.lit(63)).cast("double"), 6).alias("x64"))
 
 
-@query("src8_chunks", """select vec_id, cast(floor(rn / 64) + 1 as bigint) as chunk_number,
+@query("src8_chunks", """select vec_id, x1, x64, cast(floor(rn / 64) + 1 as bigint) as chunk_number,
     cast(ceil(total / 64.0) as bigint) as total_chunks,
     count(*) over (partition by floor(rn / 64)) as words_in_chunk
-    from (select vec_id, row_number() over (order by vec_id) - 1 as rn, count(*) over () as total from embeddings)""")
+    from (select vec_id, embedding[1]::double as x1, embedding[64]::double as x64,
+    row_number() over (order by vec_id) - 1 as rn, count(*) over () as total from embeddings)""")
 def _(spark, sf):
-    return ranking.with_chunks(table(spark, sf, "embeddings").select("vec_id"), 64, "vec_id")
+    chunks = ranking.with_chunks(table(spark, sf, "embeddings").select("vec_id", "embedding"), 64, "vec_id")
+    return chunks.select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x1"),
+                         F.get("embedding", F.lit(63)).cast("double").alias("x64"),
+                         "chunk_number", "total_chunks", "words_in_chunk")
 
 
 @query("vec9_projection")
@@ -215,6 +231,20 @@ def _(spark, sf):
     return projection.reduce_dimensions(view(spark, sf, "vectors").select("row_id", "vector"), 3).drop("vector")
 
 
+@query("vec9_projection_variance", """with x as (select vec_id, unnest(embedding)::double as v,
+    unnest(range(len(embedding))) as dim from embeddings), t as (select sum(s) as total from (select var_samp(v) as s
+    from x group by dim)) select (select count(*) + 1 from embeddings) as n_rows, 1::bigint as n_without,
+    round(total, 3) as total_variance, 0.0::double as largest_covariance from t""")
+def _(spark, sf):
+    """All coordinates together keep the variance, none varies with another, and a row without a vector stays."""
+    vectors = view(spark, sf, "vectors").select("row_id", "vector")
+    whole = projection.reduce_dimensions(vectors.unionByName(vectors.limit(1).withColumn("vector", F.lit(None).cast("array<float>"))), 64)
+    total = sum((F.var_samp(f"x{i}") for i in range(2, 65)), F.var_samp("x1"))
+    pairs = [F.abs(F.covar_samp(f"x{i}", f"x{j}")) for i in range(1, 7) for j in range(1, i)]
+    return whole.agg(F.count("*").alias("n_rows"), F.count_if(F.col("x1").isNull()).alias("n_without"),
+                     F.round(total, 3).alias("total_variance"), F.round(F.greatest(*pairs), 6).alias("largest_covariance"))
+
+
 def letter_counts(batches):
     """A stand-in model that SQL can repeat: length and two letter counts."""
     for texts in batches:
@@ -236,6 +266,23 @@ def _(spark, sf):
     return _counts(enrichment.embed(docs, "text", letter_counts, "doc_id"), "doc_id")
 
 
+def picky_counts(batches):
+    """The same, but it refuses a batch that holds a text whose length is a multiple of seven."""
+    for texts in batches:
+        if any(len(t) % 7 == 0 for t in texts):
+            raise ValueError("cannot read this")
+        yield texts.map(lambda t: [float(len(t)), float(t.count("e")), float(t.count("t"))])
+
+
+@query("udf1_failing_model", f"""select doc_id, case when length(text) % 7 <> 0 then v1 end as v1,
+    case when length(text) % 7 <> 0 then v2 end as v2, case when length(text) % 7 <> 0 then v3 end as v3,
+    case when length(text) % 7 = 0 then 'ValueError: cannot read this' end as error
+    from (select doc_id, text, {_counts_sql('text')} from documents)""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return _counts(enrichment.embed(docs, "text", picky_counts, "doc_id"), "doc_id", F.col("vector_error").alias("error"))
+
+
 # ---------------------------------------------------------------- phonetics
 
 # every phone of every stored pronunciation
@@ -374,7 +421,13 @@ def _(spark, sf):
     and trim(word) <> '' and trim(phonetic_representation) <> '' qualify row_number() over
     (partition by word, language order by source_rank, row_no) = 1"""))
 def _(spark, sf):
-    return consolidation.consolidate(view(spark, sf, "lexicon"))
+    lexicon = view(spark, sf, "lexicon")
+    own = ("row_no", "word", "english_translation", "language", "phonetic_representation")
+    roots, old_english = (lexicon.where(F.col("language") == name).select(
+        "row_no", F.col("word").alias("original_characters"), F.col("phonetic_representation").alias("ipa_phoneme"),
+        "english_translation", F.lit("left out").alias("description")) for name in ("PIE", "Old English"))
+    us, uk = (lexicon.where(F.col("language") == name).select(*own) for name in ("US English", "UK English"))
+    return consolidation.consolidate_files(roots, old_english, us, uk)
 
 
 def _latin_folder(spark, sf) -> str:
@@ -383,9 +436,11 @@ def _latin_folder(spark, sf) -> str:
     sources = {
         "Latin_terms_full_1.csv": view(spark, sf, "entries").select(
             "row_no", "ipa_phoneme", "english_translation", "part_of_speech", "original_characters"),
-        "latin_batch_1.csv": view(spark, sf, "raw").select(
+        "latin_batch_1.csv": view(spark, sf, "raw").where("row_no % 2 = 0").select(
             "row_no", F.col("original_characters").alias("title"), "original_characters", "ipa_phoneme",
             "english_translation", "part_of_speech", "raw_content"),
+        "latin_batch_2.csv": view(spark, sf, "raw").where("row_no % 2 <> 0").select(    # no part of speech, another order
+            "row_no", "raw_content", "english_translation", "ipa_phoneme", "original_characters"),
     }
     for name, rows in sources.items():
         ordered = rows.repartitionByRange(4, "row_no").sortWithinPartitions("row_no").drop("row_no")
@@ -513,7 +568,9 @@ def _(spark, sf):
     select chk.request_id, chk.language, chk.time_period, chk.original_text,
     case when chk.error is not null then null when chk.language in ('us_english', 'british_english')
       then chk.original_text when chk.language = 'toronto_english' then 'Yo ' || r.user_input
-      else spoken.predicted_text end as predicted_text,
+      else spoken.predicted_text end as predicted_text, cast(null as varchar) as ipa_text,
+    case when chk.error is null and chk.language = 'toronto_english' then split_part('Yo ' || r.user_input, chr(10), 1)
+      end as explanation,
     case when chk.error is not null then null when chk.language in ('us_english', 'british_english', 'toronto_english')
       then 1.0::double else spoken.confidence_score end as confidence_score,
     chk.error is null and chk.language in ('us_english', 'british_english', 'toronto_english') as is_modern,
@@ -521,10 +578,22 @@ def _(spark, sf):
     from chk join requests r using (request_id) left join spoken using (request_id)"""))
 def _(spark, sf):
     return _answers(spark, sf).select(
-        "request_id", "language", "time_period", "original_text", "predicted_text",
+        "request_id", "language", "time_period", "original_text", "predicted_text", "ipa_text", "explanation",
         F.round("confidence_score", 6).alias("confidence_score"), "is_modern", "is_toronto", "error")
 
 
+@query("job6_word_predictions", with_views("vectors requests", f"""{_PREDICT}, direct as (select chk.request_id,
+    string_split_regex(trim(case when chk.language = 'toronto_english' then 'Yo ' || r.user_input else chk.original_text
+      end, {TRIM}), '{BLANK}+') as ws from chk join requests r using (request_id) where chk.error is null
+      and chk.language in ('us_english', 'british_english', 'toronto_english'))
+    select request_id, cast(pos as int) as pos, word as original, ipa, round(confidence, 6) as confidence from said
+    union all select request_id, cast(unnest(generate_series(0, len(ws) - 1)) as int), unnest(ws), unnest(ws), 1.0::double
+    from direct"""))
+def _(spark, sf):
+    found = _answers(spark, sf).select("request_id", F.posexplode("word_predictions").alias("pos", "w"))
+    return found.select("request_id", "pos", "w.original", "w.ipa", F.round("w.confidence", 6).alias("confidence"))
+
+
 @query("job7_timeline", with_views("vectors", f""", {PHONES}, {VEC}, {SELF}, {near_sql('q')},
     past as (select query_id, time_period as t, row_number() over (partition by query_id order by time_period) - 1
       as step from (select distinct query_id, time_period from near)),
@@ -539,15 +608,9 @@ def _(spark, sf):
     return plan.timeline(_forms(spark, sf))
 
 
-def echo_reply(body: str) -> str:
-    """A stand-in for the reply service: the title as the meaning."""
-    titles = [line[7:] for line in body.split("\n") if line.startswith("Title: ")]
-    return "---".join(f"ipa_phoneme: [/x/]\nenglish_translation: {t}\npart_of_speech: null" for t in titles)
-
-
 _HARVEST = """with r as (select p_name, row_number() over (order by p_partkey) - 1 as rn from part)
     select cast(floor(rn / 20) as bigint) as batch, cast(rn % 20 as int) as place, 'x' as ipa_phoneme,
-    p_name as english_translation, cast(null as varchar) as part_of_speech, p_name as original_characters from r"""
+    p_name as english_translation, cast(null as varchar) as part_of_speech, p_name as original_characters, cast(null as varchar) as error from r"""
 
 
 @query("job8_harvest", _HARVEST)
@@ -555,9 +618,51 @@ def _(spark, sf):
     return harvest.harvest(view(spark, sf, "terms"), "Latin", echo_reply)
 
 
+def failing_reply(body: str) -> str:
+    """No answer to a batch whose first title has an odd number of letters."""
+    if len(body.split("\n")[1]) % 2:
+        raise TimeoutError("no answer")
+    return echo_reply(body)
+
+
+@query("job8_failed_batches", """with r as (select p_name, row_number() over (order by p_partkey) - 1 as rn from part),
+    e as (select rn // 20 as batch, cast(rn % 20 as int) as place, p_name, first(length('Title: ' || p_name) order by rn)
+    over (partition by rn // 20 order by rn) % 2 = 1 as failed from r)
+    select cast(batch as bigint) as batch, place, case when not failed then 'x' end as ipa_phoneme,
+    case when not failed then p_name end as english_translation, cast(null as varchar) as part_of_speech,
+    case when not failed then p_name end as original_characters,
+    case when failed then 'TimeoutError: no answer' end as error from e""")
+def _(spark, sf):
+    path = scratch_path(spark, "replies")
+    for _ in range(2):    # the second run asks for the failed batches again
+        parsed = harvest.harvest(view(spark, sf, "terms"), "Latin", failing_reply, replies=path)
+        parsed.count()
+    return parsed
+
+
+def root_reply(body: str) -> str:
+    """A stand-in for the reply service: a root's title and the length of its sections."""
+    entries = [e.split("\n", 2) for e in body.split("\n---\n")[:-1]]
+    return "---".join(f"ipa_phoneme: [x]\nenglish_translation: {e[1][7:]}\ndescription: {len(e[2].strip())}" for e in entries)
+
+
+@query("job8_root_harvest", with_views("roots", """, r as (select title, trim(replace(title, 'Reconstruction:Proto-Indo-European/', ''))
+    as word, content, row_number() over (order by page_id) - 1 as rn from roots where title not like 'Category:%'),
+    s as (select *, split_part(split_part(content, '===Etymology===' || chr(10), 2), chr(10) || '===', 1) as etymology,
+      split_part(split_part(content, '===Reconstruction===' || chr(10), 2), chr(10) || '===', 1) as reconstruction,
+      split_part(split_part(content, '===Root===' || chr(10), 2), chr(10) || '===', 1) as root from r)
+    select cast(rn // 20 as bigint) as batch, cast(rn % 20 as int) as place, 'x' as ipa_phoneme,
+    trim(title) as english_translation, cast(length('Root Section:') + length('Etymology Section:')
+    + length('Reconstruction Section:') + length(trim(root, ' ' || chr(10))) + length(trim(etymology, ' ' || chr(10)))
+    + length(trim(reconstruction, ' ' || chr(10))) + 7 as varchar) as description, word as original_characters,
+    cast(null as varchar) as error from s"""))
+def _(spark, sf):
+    return harvest.harvest_roots(view(spark, sf, "roots"), root_reply)
+
+
 @query("udf2_ask", """select cast(floor(p_partkey / 20) as bigint) as batch, string_agg('ipa_phoneme: [/x/]' || chr(10)
     || 'english_translation: ' || p_name || chr(10) || 'part_of_speech: null', '---' order by p_partkey) as reply
     from part group by 1""")
 def _(spark, sf):
     entries = table(spark, sf, "part").selectExpr("p_partkey as position", "p_name as title", "p_type as raw_content")
-    return enrichment.ask(batch_bodies(batch_entries(entries, 20)), echo_reply)
+    return enrichment.ask(batch_bodies(batch_entries(entries, 20)), echo_reply).drop("error")

@@ -147,6 +147,13 @@ def _(spark, sf):
         .select("page_id", "title", "raw_content")
 
 
+@query("flt8_has_fields", with_views("entries", "select row_no, true as complete, false as partial from entries"))
+def _(spark, sf):
+    entries = view(spark, sf, "entries")
+    complete = cl.has_fields(entries.withColumnRenamed("part_of_speech", "description"))
+    return entries.select("row_no", F.lit(complete).alias("complete"), F.lit(cl.has_fields(entries)).alias("partial"))
+
+
 @query("flt9_check_fields", with_views("raw", """select row_no, original_characters, cast(null as varchar) as
     ipa_phoneme, cast(null as varchar) as english_translation, cast(null as varchar) as description, true as valid
     from raw"""))
@@ -311,6 +318,13 @@ def _(spark, sf):
     return batch_bodies(batch_entries(table(spark, sf, "part").selectExpr(*_ENTRIES), 20))
 
 
+@query("agg10_root_bodies", """select cast(floor(p_partkey / 20) as bigint) as batch, count(*)::int as entries,
+    string_agg('Entry ' || (p_partkey % 20 + 1) || ':' || chr(10) || 'Title: ' || p_name || chr(10) || p_type || chr(10)
+    || '---' || chr(10), '' order by p_partkey) as body from part group by 1""")
+def _(spark, sf):
+    return batch_bodies(batch_entries(table(spark, sf, "part").selectExpr(*_ENTRIES), 20), "root")
+
+
 @query("agg11_group_sizes", with_views("lexicon", f"""select language, {PERIOD} as time_period, count(*) as entries
     from lexicon group by all"""))
 def _(spark, sf):

@@ -6,7 +6,6 @@ and gives ``varchar`` a length. Braces are doubled because the text is formatted
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
-TEXT_TABLES = ("documents", "pages", "conversations")
-
 VIEWS = {
     # dirty multi-language lexicon: blanks, missing values, repeated words
     "lexicon": """
@@ -82,14 +79,15 @@ VIEWS = {
           || '{{{{head|la|adj}}}} | pos = Prop N ' || chr(10) || 'meaning "' || lang || '"' || chr(10)
           || '* IPA(key): /' || lang || '.' || source || '/ pronunciation: ' || source || '.' as raw_content
         from {documents}""",
-    # requests: every turn; only user turns have input
+    # requests: the text of every turn, and one blank one for every ten
     "requests": """
         select conv_id * 1000 + turn as request_id,
           case conv_id % 8 when 0 then 'PIE' when 1 then 'old_english' when 2 then 'us_english'
             when 3 then 'british_english' when 4 then 'future_english_1000'
             when 5 then 'future_english_2000' when 6 then 'toronto_english' else 'klingon' end as language,
-          case when role = 'user' then text else '   ' end as user_input
-        from {conversations}""",
+          text as user_input
+        from {conversations}
+        union all select -(conv_id * 1000 + turn) - 1, 'PIE', '   ' from {conversations} where turn % 10 = 0""",
     # token vectors: ten items, one of them wholly masked
     "tokens": """
         select cast(label as bigint) as item_id, vec_id as pos,
@@ -108,21 +106,9 @@ _SPARK = {"first": "0", "join_open": "listagg(", "join_close": ", '---') within
 _DUCK = {"first": "1", "join_open": "string_agg(", "join_close": ", '---' order by p_partkey)"}
 
 
-SPREAD_BELOW = 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.
-
-    A text table in one small file is a single task however many cores there
-    are, so its rows are dealt out. Past the size limit files have splits enough
-    and nothing is moved.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in TEXT_TABLES and os.path.isfile(path) and 4 << 20 < os.path.getsize(path) < SPREAD_BELOW:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

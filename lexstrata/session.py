@@ -24,9 +24,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; set here only where it is unset."""
+    """The shared folder the cluster names; on a single machine it is made where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "local")
+        if not master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lexstrata-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -55,7 +58,12 @@ def collect_if_small(df: DataFrame, budget: int, vector: str, row_bytes: int) ->
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once under the shared folder, for jobs that read them more than once."""
+    """The rows written once under the shared folder, for jobs that read them more than once.
+
+    They stay there as long as results that read them may be used; who owns the
+    session clears the shared folder afterwards (a lifetime rule of the store, or a
+    folder per run).
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

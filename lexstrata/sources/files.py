@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,18 +36,43 @@ def _csv(spark: SparkSession, multi_line: bool):
     return spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
 
 
+def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header line. Only the first line of a file leaves its task."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0") \
+        .groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("header"))
+    files: dict[tuple[str, ...], list[str]] = {}
+    for r in lines.orderBy("file").collect():    # a row per file
+        files.setdefault(tuple(next(csv.reader([r["header"].lstrip("\ufeff")]))), []).append(unquote(r["file"]))
+    return files
+
+
+def _by_name(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool,
+             extra: tuple = ()) -> DataFrame:
+    """CSV files whose columns are taken by each file's own header; absent ones are null.
+
+    Files of one header are read together, so there are as many reads as headers.
+    """
+    parts = []
+    for names, files in _headers(spark, path).items():
+        raw = _csv(spark, multi_line).schema(_texts(*[f"c{i}" for i in range(len(names))])).csv(files)
+        place = {n: i for i, n in reversed(list(enumerate(names)))}    # of equal names the first counts
+        parts.append(raw.select(*[
+            (F.col(f"c{place[f.name]}") if f.name in place else F.lit(None).cast("string")).alias(f.name)
+            for f in schema.fields], *extra))
+    if not parts:
+        return spark.createDataFrame([], _texts(*schema.names))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    """A headed CSV whose missing-value spellings become null.
+    """A headed CSV, of one or more files, whose missing-value spellings become null.
 
-    Columns are read as text, taken by name (absent ones are null) and cast once
-    the missing values are out of the way. Without line breaks inside cells,
-    ``multi_line=False`` lets one large file be read by many tasks.
+    Columns are read as text, taken by each file's own names (absent ones are null)
+    and cast once the missing values are out of the way. Without line breaks inside
+    cells, ``multi_line=False`` lets one large file be read by many tasks.
     """
-    raw = na_to_null(_csv(spark, multi_line).csv(path))
-    return raw.select(*[
-        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType))
-        .alias(f.name) for f in schema.fields
-    ])
+    raw = na_to_null(_by_name(spark, path, schema, multi_line))
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_pronunciations(spark: SparkSession, path: str, language: str) -> tuple[DataFrame, DataFrame]:
@@ -65,25 +94,25 @@ def read_pronunciations(spark: SparkSession, path: str, language: str) -> tuple[
     return rows, lines.where(~whole).select(F.col("value").alias("line"), F.lit("no tab after strip").alias("error"))
 
 
-def read_latin_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+def read_latin_files(spark: SparkSession, folder: str, kind: str, multi_line: bool = True) -> DataFrame:
     """All ``full`` or ``batch`` files (or file folders) of a folder, with ``file_path`` and ``file_row``.
 
-    Rows of one file are in its order; files are ordered by path. A folder
-    without such files gives an empty table.
+    Columns are taken by each file's own header; absent ones are null. Rows of one
+    file are in its order; files are ordered by path. A folder without such files
+    gives an empty table. ``multi_line`` as for ``read_csv``.
     """
     glob, schema = {
         "full": ("[Ll]atin_terms_full_*.csv", LATIN_FULL_SCHEMA),
         "batch": ("latin_batch_*.csv", LATIN_BATCH_SCHEMA),
     }[kind]
+    place = (F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("file_row"))
     try:
-        raw = _csv(spark, True).schema(schema).csv(f"{folder}/{glob}", enforceSchema=False)
+        return na_to_null(_by_name(spark, f"{folder}/{glob}", schema, multi_line, place))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema).withColumns({
             "file_path": F.lit(None).cast("string"), "file_row": F.lit(None).cast("long")})
-    named = raw.select("*", F.col("_metadata.file_path").alias("file_path"))
-    return na_to_null(named).withColumn("file_row", F.monotonically_increasing_id())
 
 
 def pages_from_json(raw: DataFrame) -> DataFrame:
@@ -96,9 +125,17 @@ def pages_from_json(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed API replies, one JSON document per line or per file."""
-    return pages_from_json(spark.read.schema(PAGE_SCHEMA).json(path))
+def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Landed API replies, one JSON document per line or per file: (pages, rejected documents).
+
+    A document that cannot be read is rejected with its text instead of vanishing.
+    """
+    lines = spark.read.text(path)
+    reply = F.from_json("value", PAGE_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    read = lines.where(F.trim("value") != "").select("value", reply.alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    rejected = read.where(bad).select(F.col("value").alias("document"), F.lit("not a JSON document").alias("error"))
+    return pages_from_json(read.where(~bad).select("r.query")), rejected
 
 
 def parse_vectors(df: DataFrame, column: str = "vector") -> DataFrame:

@@ -51,13 +51,13 @@ def land_batch(df: DataFrame, path: str, batch_id: int, language: str) -> None:
 
 
 def save_chunks(df: DataFrame, path: str, order: str, chunk_rows: int = 10_000) -> None:
-    """Write rows with their chunk columns, one folder per chunk.
+    """Write rows with their chunk columns, in files of a chunk's rows at most.
 
-    Chunks are ranges of positions, so a chunk lies in one or two tasks and the
-    write needs no further shuffle.
+    The chunk's number is a column and not a folder, so the number of folders does
+    not grow with the table; files are few per task.
     """
     with_chunks(df, chunk_rows, order).withColumn("saved_at", F.current_timestamp()) \
-        .write.mode("overwrite").partitionBy("chunk_number").parquet(path)
+        .write.mode("overwrite").option("maxRecordsPerFile", max(chunk_rows, 1_000_000)).parquet(path)
 
 
 def compact_chunks(spark: SparkSession, path: str, target: str, files: int | None = None) -> int:

@@ -69,6 +69,25 @@ def test_brute_force(spark, way, monkeypatch):
     assert all(r["word"] == words[r["row_id"]] for r in near.collect())
 
 
+@pytest.mark.parametrize("way, budget", [("lexicon broadcast", 1 << 20), ("queries broadcast", 1200), ("blocks", 100)])
+@pytest.mark.parametrize("parts", [1, 8])
+def test_odd_vectors_stand_beside_good_ones(spark, way, budget, parts, monkeypatch):
+    """Wherever short, empty, null and zero vectors stand, the others are answered as if alone."""
+    monkeypatch.setattr(nn, "BLOCK_BYTES", 70 * 24)
+    rng = np.random.default_rng(1)
+    rows = [(i, 0, rng.normal(size=3).tolist(), "w") for i in range(200)]
+    odd_rows = [(1000 + i, 0, v, "odd") for i, v in enumerate([[1.0], [], None, [0.0] * 3, [1.0] * 5])]
+    good = [(f"q{i}", rng.normal(size=3).tolist()) for i in range(8)]
+    odd = [("a", [1.0]), ("b", []), ("c", None), ("d", [0.0] * 3), ("e", [1.0] * 5)]
+    want = brute(good, rows, 4)
+    for queries in (odd + good, good + odd, odd):
+        lex = spark.createDataFrame(odd_rows + rows, LEX).coalesce(1).repartition(parts)
+        asked = spark.createDataFrame(queries, "query_id string, vector array<double>").coalesce(1)
+        asked = asked if parts == 1 else asked.repartition(parts)
+        got = found(nn.nearest_with_coverage(asked, lex, 4, keep=("word",), budget=budget))
+        assert got == (want if queries is not odd else {})
+
+
 def test_no_queries_and_no_lexicon(spark):
     lex = spark.createDataFrame([(0, 0, [1.0], "a")], LEX)
     none = spark.createDataFrame([], "query_id string, vector array<double>")

@@ -75,8 +75,6 @@ def test_positions_with_gaps_and_clusters(spark):
     got = ranking.with_position(df, "id", slices=7).collect()
     assert sorted((r["id"], r["position"]) for r in got) == [(v, n) for n, v in enumerate(sorted(ids))]
     assert ranking.with_position(df, "id", slices=1).where("position = 0").first()["id"] == 0
-    with pytest.raises(TypeError):
-        ranking.with_position(df.withColumn("s", F.lit("a")), "s")
 
 
 def test_sampling_is_exact_and_repeatable(spark):
@@ -138,8 +136,72 @@ def test_embed_once_per_text_and_null_on_failure(spark):
     assert consolidation.enrich(df, enrichment.ngram_vectors(8), "id").count() == 3
 
 
+def test_embed_goes_on_when_the_model_raises(spark):
+    def model(batches):
+        for texts in batches:
+            if (texts == "bad").any():
+                raise ValueError("no")
+            yield texts.map(lambda t: [float(len(t))])
+
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "bad"), (4, None), (5, "a")], "id int, t string")
+    got = {r["id"]: (r["vector"], r["vector_error"]) for r in enrichment.embed(df, "t", model, "id").collect()}
+    assert got == {1: ([1.0], None), 2: ([2.0], None), 3: (None, "ValueError: no"), 4: (None, None), 5: ([1.0], None)}
+
+
+def test_lookup_spreads_rows_without_a_key(spark):
+    left = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
+    right = spark.range(0, 3000, 4).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    found = joins.lookup(left, right, "k", "id")
+    assert rows(found.select("id", "k", "v"), "id") == rows(left.join(right, "k", "left").select("id", "k", "v"), "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")    # else small parts are joined again
+    try:
+        parts = joins.lookup(left, right, "k", "id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in parts) < 1500
+
+
+def test_positions_of_nothing_and_of_texts(spark):
+    assert ranking.with_position(spark.range(0), "id").count() == 0
+    words = spark.createDataFrame([(w,) for w in "delta alpha charlie bravo".split()], "w string")
+    assert rows(ranking.with_position(words, "w"), "position") == [("alpha", 0), ("bravo", 1), ("charlie", 2), ("delta", 3)]
+
+
+def test_a_shared_folder_is_asked_for_off_one_machine():
+    from lexstrata.session import shared_dir
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "s3a://b/c"
+    assert shared_dir(Session()) == "s3a://b/c"
+
+
 # ---- sources
 
+def test_csv_columns_by_name(spark, tmp_path):
+    for name, text in (("a", "word,english_translation\nw1,m1\n"), ("b", "english_translation,x,word\nm2,,w2\n"), ("c", "word\nw3\n")):
+        (tmp_path / f"{name} 1.csv").write_text(text, encoding="utf8")
+    for multi_line in (True, False):
+        got = files.read_csv(spark, str(tmp_path), files.LEXICON_SCHEMA, multi_line).select("word", "english_translation")
+        assert rows(got, "word") == [("w1", "m1"), ("w2", "m2"), ("w3", None)]
+
+
+def test_a_batch_file_without_part_of_speech(spark, tmp_path):
+    (tmp_path / "latin_batch_1.csv").write_text("title,original_characters,ipa_phoneme,english_translation,raw_content\n"
+                                                "canis,canis,,dog,\n", encoding="utf8")
+    (tmp_path / "latin_batch_2.csv").write_text("raw_content,part_of_speech,original_characters\n,noun,felis\n", encoding="utf8")
+    got = files.read_latin_files(spark, str(tmp_path), "batch")
+    assert rows(got.select("original_characters", "english_translation", "part_of_speech"), "original_characters") == [
+        ("canis", "dog", None), ("felis", None, "noun")]
+
+
 def test_csv_missing_values(spark, tmp_path):
     lines = ["word,english_translation,language,phonetic_representation,time_period"]
     lines += [f'w{i},"{t}",PIE,"a ""b""\nc",-5000' for i, t in enumerate(fixed.NA_TOKENS)] + ["x, NA ,PIE,p,n/a"]
@@ -175,8 +237,10 @@ def test_api_pages(spark, tmp_path):
     (tmp_path / "a.json").write_text(
         '{"query":{"pages":{"1":{"pageid":1,"title":"a","revisions":[{"slots":{"main":{"*":"x"}}},'
         '{"slots":{"main":{"*":"old"}}}]},"2":{"pageid":2,"title":"b"},"3":{"pageid":3,"title":"c","revisions":[]}}}}\n'
-        '{"batchcomplete":""}\n', encoding="utf8")
-    assert rows(files.read_pages(spark, str(tmp_path / "a.json"))) == [(1, "a", "x")]
+        '{"batchcomplete":""}\n{"query":{"pages":{"9"\n\n', encoding="utf8")
+    pages, rejected = files.read_pages(spark, str(tmp_path / "a.json"))
+    assert rows(pages) == [(1, "a", "x")]
+    assert rows(rejected) == [('{"query":{"pages":{"9"', "not a JSON document")]
 
 
 def test_vectors_from_text(spark):
@@ -226,9 +290,37 @@ def test_harvest(spark):
 
     parsed = harvest.harvest(pages, "Latin", reply, batch_size=2)
     # five terms, batches of two, one record per reply, the last batch fails
-    assert rows(parsed.select("batch", "place", "original_characters", "ipa_phoneme"), "batch") == [
-        (0, 0, "t1", "t1"), (1, 0, "t5", "t5")]
-    assert rows(harvest.batch_rates(parsed), "batch") == [(0, 1, 100.0, 100.0), (1, 1, 100.0, 100.0)]
+    assert rows(parsed.select("batch", "place", "original_characters", "ipa_phoneme", "error"), "batch") == [
+        (0, 0, "t1", "t1", None), (1, 0, "t5", "t5", None), (2, 0, None, None, "RuntimeError: service down")]
+    assert rows(harvest.batch_rates(parsed), "batch") == [(0, 1, 100.0, 100.0), (1, 1, 100.0, 100.0), (2, 1, 0.0, 0.0)]
+    assert harvest.harvest(pages.limit(0), "Latin", reply).count() == 0
+    assert harvest.harvest_roots(pages, reply).count() == 0    # no root pages
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    page = "==Latin==\n* IPA: /ka/\n==French==\n"
+    pages = spark.createDataFrame([(i, f"t{i}", page) for i in range(6)], "page_id long, title string, content string")
+    asked, down = str(tmp_path / "asked"), str(tmp_path / "down")
+    os.mkdir(asked)
+    open(down, "w").close()
+
+    def reply(body):
+        first = body.split("\n")[1][7:]
+        with open(f"{asked}/{first}", "a") as f:
+            f.write("x")
+        if first == "t2" and os.path.exists(down):
+            raise RuntimeError("service down")
+        return "ipa_phoneme: a---ipa_phoneme: b"
+
+    def run():
+        parsed = harvest.harvest(pages, "Latin", reply, batch_size=2, replies=str(tmp_path / "replies"))
+        parsed.count()
+        return parsed.where("error is not null").count()
+
+    assert run() == 2
+    os.remove(down)
+    assert run() == 0 and run() == 0
+    assert {n: os.path.getsize(f"{asked}/{n}") for n in os.listdir(asked)} == {"t0": 1, "t2": 2, "t4": 1}
 
 
 def test_increments_equal_batch_and_resume(spark, tmp_path):

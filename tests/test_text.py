@@ -114,14 +114,25 @@ def test_section_modes(spark):
     ("<h3>Etymology</h3><p>a<p>b</p><h3>Noun</h3>", None, "abNoun"),
     ("<h3>Etymology</h3><script>s</script><p>a<style>t</style> &amp; b</p><hr><p>no</p>", None, "s a & b"),
     ("<h3>Etymology 1</h3><p>x</p>", None, None),
+    ("<![foo[bar]]><h3>Etymology</h3><![if x]><p>y</p><![endif]>", None, "y"),
+    ('<SPAN lang="en&#45;IPA">z</SPAN>', "z", None),
 ])
 def test_html(html, ipa, section):
-    assert _read_page(html, "Etymology", ("h3", "h4")) == (ipa, section)
+    assert _read_page(html, "Etymology", ("h3", "h4")) == (ipa, section, None)
 
 
 def test_html_job(spark):
     df = spark.createDataFrame([(1, "<h3>Etymology</h3><p>x</p>"), (2, None)], "page_id bigint, html string")
-    assert [tuple(r) for r in extract_html(df).orderBy("page_id").collect()] == [(1, None, "x"), (2, None, None)]
+    assert [tuple(r) for r in extract_html(df).orderBy("page_id").collect()] == [(1, None, "x", None), (2, None, None, None)]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(["<h3>", "</h3>", "<H4 x>", "Etymology", "<span class='IPA'>", "<span lang='en-&#73;PA'>", "</span>", "a",
+                                          "<p>", "<![x", ">", "&amp;", "<h2>", "IPA"]), max_size=7).map("".join), min_size=20, max_size=60))
+def test_pages_left_out_hold_nothing(spark, pages):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id bigint, html string")
+    got = [tuple(r)[1:] for r in extract_html(df).orderBy("page_id").collect()]
+    assert got == [_read_page(p, "Etymology", ("h3", "h4")) for p in pages]
 
 
 def _words(spark, values):
