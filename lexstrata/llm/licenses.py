@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .words import ALNUM, LOWER, WordReader, batch, mapped
 
-CONTAINMENT = 0.8
+CONTAINMENT = 0.9
 BLOCK_WORDS = (16, 128)
 
 # Phrases and their labels.

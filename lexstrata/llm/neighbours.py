@@ -12,8 +12,9 @@ all rows share is found as one.
 
 Defined results: vectors that are null, empty, zero or hold a null or a number that
 is not finite neither ask nor answer; vectors are compared only with those of their
-own length; equal distances go to the smaller id; a null id takes no part; with fewer
-than ``k`` others all are given; an empty table gives no rows; other columns are
+own length; equal distances go to the smaller id; a null id takes no part; repeated
+rows are one; of several vectors of one id the nearest answers; with fewer than
+``k`` others all are given; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -155,9 +156,9 @@ def distinct_vectors(vectors: DataFrame, key: str, vector: str, k: int) -> DataF
     """``v, ids``: every usable vector once, with its ``k + 1`` smallest ids."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) \
         .where(_usable(F.col("v")) & F.col("id").isNotNull()).select("id", F.transform("v", lambda x: x + 0.0).alias("v"))
-    first = Window.partitionBy("v").orderBy("id")    # the limit keeps k + 1 rows a key in each task before the shuffle
-    return rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1) \
-        .groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    first = Window.partitionBy("v").orderBy("id")    # the limit keeps k + 1 ids a key in each task before the shuffle
+    return rows.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= k + 1) \
+        .groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
 _INDEX = "shard long, dim int, n int, entry int, ids array<array<long>>, vectors binary, nodes array<binary>, links array<binary>"
@@ -223,5 +224,5 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     by = ["shard", "block", "dim"]
     found = sent.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
