@@ -52,15 +52,37 @@ def first_group(c: Column | str, pat: str, group: int = 1) -> Column:
     return F.when(c.rlike(pat), F.regexp_extract(c, pat, group))
 
 
+def opening(text: str) -> str:
+    """The fixed characters that every match of a pattern begins with; '' where unsure."""
+    plain = re.sub(r"\\.|\[(?:\\.|[^\]])*\]", "", text)
+    while "(" in plain and (inner := re.sub(r"\([^()]*\)", "", plain)) != plain:
+        plain = inner
+    if "|" in plain or "(?i" in text:
+        return ""
+    out, at = "", 0
+    while at < len(text):
+        step = 2 if text[at] == "\\" else 1
+        if step == 2 and text[at + 1].isalnum() or step == 1 and text[at] in ".^$*+?{}[]|()":
+            break
+        if text[at + step:at + step + 1] in ("?", "*", "{"):
+            break
+        out += text[at + step - 1]
+        at += step
+    return out
+
+
 def find_all(c: Column | str, patterns: tuple[str, ...], flags: str = "") -> Column:
     """All matches of several fixed patterns, pattern by pattern.
 
-    A match gives its first group, or itself where the pattern has none.
+    A match gives its first group, or itself where the pattern has none. A pattern
+    is run only over texts that hold its opening, which is far quicker to look for.
     """
-    return F.flatten(F.array(*[
-        F.regexp_extract_all(col(c), F.lit(pattern(p, flags)), F.lit(min(re.compile(p).groups, 1)))
-        for p in patterns
-    ]))
+    def found(p: str) -> Column:
+        matches = F.regexp_extract_all(col(c), F.lit(pattern(p, flags)), F.lit(min(re.compile(p).groups, 1)))
+        start = "" if "i" in flags else opening(p)
+        return matches if len(start) < 2 else F.when(F.contains(col(c), F.lit(start)), matches).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[found(p) for p in patterns]))
 
 
 def collapse_blanks(c: Column | str) -> Column:
