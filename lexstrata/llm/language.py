@@ -141,15 +141,24 @@ def sample_lines(docs: DataFrame, eligible: Column, key: str = "doc_id", text: s
                  n_docs: int = SAMPLE_DOCS, n_lines: int = SAMPLE_LINES) -> DataFrame:
     """``lang, line``: a bounded number of lines per language, chosen by hash."""
     labelled = docs.where(eligible & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    best = Window.partitionBy("lang").orderBy("h", "id")
-    picked = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("id")) \
-        .withColumn("r", F.row_number().over(best)).where(F.col("r") <= n_docs).select("id", "lang")
+    picked = _least(labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("id"))
+                    .distinct(), n_docs, "id").select("id", "lang")
     own = labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    own = own.join(F.broadcast(picked.distinct()), ["id", "lang"], "left_semi")    # at most n_docs ids a language
+    own = own.join(F.broadcast(picked), ["id", "lang"], "left_semi")    # at most n_docs ids a language
     lines = own.select("lang", "id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    best = Window.partitionBy("lang").orderBy("h", "id", "line")
-    return lines.withColumn("h", F.xxhash64("id", "line")).withColumn("r", F.row_number().over(best)) \
-        .where(F.col("r") <= n_lines).select("lang", "line")
+    return _least(lines.withColumn("h", F.xxhash64("id", "line")), n_lines, "id", "line").select("lang", "line")
+
+
+def _least(rows: DataFrame, n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows of each language with the least hash ``h``.
+
+    Each language is cut into slices first, so that one with most of the rows is no single task's work.
+    """
+    order = [F.col("h"), *map(F.col, ties)]
+    sliced = rows.withColumn("slice", F.pmod("h", F.lit(64)))
+    for by in (["lang", "slice"], ["lang"]):
+        sliced = sliced.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= n)
+    return sliced.drop("r", "slice")
 
 
 def train(lines: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
