@@ -47,3 +47,10 @@ def test_scans_read_only_what_is_used(spark, key, columns):
                                  "str9_reply_fields", "agg5_mean_pooling"])
 def test_no_python_in_native_work(spark, key):
     assert not re.search(r"EvalPython|MapInArrow|MapInPandas", plan(spark, key))
+
+
+@pytest.mark.parametrize("key", ["udf1_embed", "job4_enrich"])
+def test_texts_are_joined_by_digest(spark, key):
+    text = plan(spark, key)
+    assert "hashpartitioning(_digest" in text
+    assert not re.search(r"hashpartitioning\((?:text|english_translation|_text)", text)
