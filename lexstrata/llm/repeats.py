@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ BEFORE = RUN + 1 + (ROUNDS - 1) * SYMBOL     # words before a place that decide
 AFTER = BEFORE + SYMBOL                      # words from a place on that decide the symbol that starts there
 BROADCAST_IDS = 1_000_000
 _ID = pa.int64()
-_ENTRY = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("start", "<i4"), ("marked", "<i4")])
+_ENTRY = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("id", "<i8"), ("start", "<i4"), ("marked", "<i4")])
+_START = np.dtype([("id", "<i8"), ("start", "<i4")])
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -226,18 +228,27 @@ def _shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "deal").mapInArrow(run, "id long, key long")
 
 
+def _dealt(part: np.ndarray, values: np.ndarray) -> tuple[list, list]:
+    """Parts that have values, and each one's values as bytes."""
+    order = np.argsort(part, kind="stable")
+    part, values = part[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+    return part[first].tolist(), [values[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(part)))]
+
+
+def _by_id(ids: np.ndarray, starts: np.ndarray, parts: int) -> tuple[list, list]:
+    """Window starts dealt by the id of their document."""
+    values = np.empty(len(ids), _START)
+    values["id"], values["start"] = ids, starts
+    return _dealt((mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64), values)
+
+
 def _window_rows(docs: DataFrame, parts: int) -> DataFrame:
-    """``part, id, known, windows`` of ``id, text, keys``: windows with a shared anchor, dealt by their digests."""
-    names = ["part", "id", "known", "windows"]
-    def packed(part: np.ndarray, ids: np.ndarray, values: np.ndarray, known: bool, out: list[list]) -> None:
-        order = np.lexsort((ids, part))
-        part, ids, values = part[order], ids[order], values[order]
-        first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (ids[1:] != ids[:-1])])) if len(part) else []
-        ends = np.append(first[1:], len(part)) if len(part) else []
-        out[0] += part[first].tolist() if len(part) else []
-        out[1] += ids[first].tolist() if len(part) else []
-        out[2] += [known] * len(first)
-        out[3] += [values[a:b].tobytes() for a, b in zip(first, ends)]
+    """``part, known, windows`` of ``id, text, keys``: windows with a shared anchor, dealt by their digests.
+
+    Windows that repeat within the batch are known, and dealt by their document.
+    """
+    names = ["part", "known", "windows"]
 
     def run(state, rows: pa.RecordBatch) -> pa.RecordBatch:
         reader, powers = state
@@ -264,43 +275,41 @@ def _window_rows(docs: DataFrame, parts: int) -> DataFrame:
         sent = again[_first_of_each([w1[again], w2[again]])] if len(again) else again
         at = np.concatenate([np.flatnonzero(~known), sent])
         values = np.empty(len(at), _ENTRY)
-        values["w1"], values["w2"], values["start"] = w1[at], w2[at], starts[at]
-        values["marked"] = known[at]
-        out: list[list] = [[] for _ in names]
-        packed((w1[at] % np.uint64(parts)).astype(np.int64), ids[at], values, False, out)
-        packed((mix(ids[again].view(np.uint64)) % np.uint64(parts)).astype(np.int64), ids[again], starts[again].astype("<i4"), True, out)
-        kinds = [pa.int32(), _ID, pa.bool_(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+        values["w1"], values["w2"], values["id"], values["start"], values["marked"] = w1[at], w2[at], ids[at], starts[at], known[at]
+        part, data = _dealt((w1[at] % np.uint64(parts)).astype(np.int64), values)
+        known_part, known_data = _by_id(ids[again], starts[again], parts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part + known_part, pa.int32()), pa.array([False] * len(part) + [True] * len(known_part)),
+             pa.array(data + known_data, pa.binary())], names=names)
 
-    return mapped(docs, run, "part int, id long, known boolean, windows binary", _state)
+    return mapped(docs, run, "part int, known boolean, windows binary", _state)
 
 
 def _repeated_windows(rows: DataFrame, parts: int) -> DataFrame:
-    """``id, starts`` of the windows that stand more than once; an id may have several rows."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, values = [], []
+    """``id, starts`` of the windows that stand more than once, one row per document."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = []
         for batch in batches:
-            own, known, data = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
-            at = pa.array(np.flatnonzero(known))
-            yield pa.RecordBatch.from_arrays([own.take(at), data.take(at)], names=["id", "starts"])
-            rest = pa.array(np.flatnonzero(~known))
-            parts_of = data.take(rest).to_pylist()
-            ids.append(np.repeat(own.take(rest).to_numpy(), [len(x) // _ENTRY.itemsize for x in parts_of]))
-            values.append(np.frombuffer(b"".join(parts_of), _ENTRY))
-        if not ids:
-            return
-        who, value = np.concatenate(ids), np.concatenate(values)
+            known = batch.column(1)
+            told = batch.filter(known)
+            yield pa.RecordBatch.from_arrays([told.column(0), told.column(2)], names=["part", "starts"])
+            values += batch.filter(pc.invert(known)).column(2).to_pylist()
+        value = np.frombuffer(b"".join(values), _ENTRY)
         marked = value["marked"] == 1
-        found = np.flatnonzero(_repeated([value["w1"], value["w2"]], marked) & ~marked)
-        order = found[np.argsort(who[found], kind="stable")]
-        who, starts = who[order], value["start"][order]
-        if len(who):
-            first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-            ends = np.append(first[1:], len(who))
-            yield pa.RecordBatch.from_arrays([pa.array(who[first]), pa.array([starts[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())],
-                                             names=["id", "starts"])
+        found = value[_repeated([value["w1"], value["w2"]], marked) & ~marked]
+        part, data = _by_id(found["id"], found["start"], parts)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["part", "starts"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), _START)
+        value = value[np.argsort(value["id"], kind="stable")]
+        ids, starts = value["id"], np.ascontiguousarray(value["start"])
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, np.int64)
+        lists = [starts[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(ids)))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first], _ID), pa.array(lists, pa.binary())], names=["id", "starts"])
 
-    return rows.repartition(parts, "part").mapInArrow(run, "id long, starts binary")
+    judged = rows.repartition(parts, "part").mapInArrow(judge, "part int, starts binary")
+    return judged.repartition(parts, "part").mapInArrow(gather, "id long, starts binary")
 
 
 def _kept(rows: pa.RecordBatch, reader: WordReader) -> tuple[list, list, list]:
@@ -310,7 +319,7 @@ def _kept(rows: pa.RecordBatch, reader: WordReader) -> tuple[list, list, list]:
         for row, a, b in block.texts():
             covered = np.zeros(b - a + 1, np.int64)
             if rows.num_columns > 2:
-                starts = np.unique(np.frombuffer(b"".join(rows.column(2)[row].as_py()), "<i4"))
+                starts = np.unique(np.frombuffer(rows.column(2)[row].as_py(), "<i4"))
                 covered[starts] += 1
                 ends, count = np.unique(starts + WINDOW, return_counts=True)
                 covered[ends] -= count
@@ -331,7 +340,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     ids = F.broadcast(keys.select("id")) if few else keys.select("id")
     met = own.join(ids, "id", "left_semi")
     windows = _window_rows(met.join(keys, "id").select("id", "text", "keys"), parts)
-    starts = _repeated_windows(windows, parts).groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    starts = _repeated_windows(windows, parts)
     column = "kept_sha256" if digest else "kept"
 
     def run(reader: WordReader, rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -341,7 +350,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
                                           names=["id", "n_words", "n_removed", column])
 
     schema = f"id long, n_words long, n_removed long, {column} string"
-    cut = mapped(met.join(starts, "id", "left").select("id", "text", F.coalesce("starts", F.array().cast("array<binary>")).alias("starts")),
+    cut = mapped(met.join(starts, "id", "left").select("id", "text", F.coalesce("starts", F.lit(b"")).alias("starts")),
                  run, schema, lambda: WordReader(SPACE))
     rest = mapped(own.join(ids, "id", "left_anti"), run, schema, lambda: WordReader(SPACE))
     return cut.unionByName(rest).withColumnRenamed("id", key)
