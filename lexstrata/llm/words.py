@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 1 << 20
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 SPACE = np.array([b not in (32, 9, 10, 11, 12, 13) for b in range(256)])
@@ -132,13 +132,17 @@ def word_digest(word: bytes) -> int:
 
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
            schema: str, state: Callable[[], object] | None = None) -> DataFrame:
-    """``mapInArrow`` of a function of one batch; ``state`` is made once per task and given first."""
+    """``mapInArrow`` of a function of one batch to one or several; ``state`` is made once per task and given first."""
     bounded_batches(df.sparkSession)
 
     def run(batches):
         held = (state(),) if state else ()
         for batch in batches:
-            yield fn(*held, batch)
+            out = fn(*held, batch)
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            else:
+                yield from out
 
     return df.mapInArrow(run, schema)
 
