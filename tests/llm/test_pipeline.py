@@ -34,7 +34,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
     field = language.learn(docs)
-    known = [r["doc_id"] for r in language.identify(docs, field).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5]
+    known = [r["doc_id"] for r in language.identify(docs, field).collect() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SCORE]
     groups = brute.jaccard_components([(i, rows[i]["text"]) for i in known])
     first = [i for i in known if groups[i][1] == i]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
