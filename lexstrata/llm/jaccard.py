@@ -6,19 +6,20 @@ so two sketches differ in no more chunks than the sets differ in shingles. Sets
 that reach the similarity differ in at most ``d`` shingles, with ``d`` known from the
 sizes; so of the chunks that hold a bit, in one fixed order, the first ``d + 1 + s``
 of both share at least ``s + 1``. Those chunks are the join key; pairs that share
-enough are then counted shingle by shingle. Small sets get a chunk per shingle.
+enough are then counted shingle by shingle. Small sets get a chunk per shingle, and
+there ``d`` counts only the shingles that the partner lacks.
 A set that has no place in a band but whose partner may is sketched in both.
 
 What keeps groups from costing their square, without losing a link:
 
 * equal sets become one class, named by its smallest document;
-* a first, cheap round joins each document to the smallest one that shares some of
-  its least shingles and gives components; afterwards only pairs of two components
-  are of interest, so a large group of copies is one thing;
+* a first, cheap round joins each document to the one that, of those that share some
+  of its least shingles, shares them with most, and gives components; afterwards only
+  pairs of two components are of interest, so a large group of copies is one thing;
 * a chunk held by more than ``HOT`` documents of several components makes no pairs.
   It is counted against each of them, and a document with at most ``s`` such chunks
   still shares another chunk with each partner. Documents with more are joined
-  among themselves over all their chunks, the rarest first.
+  among themselves over their shingles, the rarest first, as many as can decide.
 
 Texts are compared only for pairs that got so far. Ids are integers.
 
@@ -47,16 +48,13 @@ SMALL = 256           # in bands of sets below this size every shingle is a chun
 EDGE = SMALL * 3 // 4    # the smallest set sketched in a band of larger ones
 SPREAD = 0.75         # chunks of a band per shingle of its largest set
 BROADCAST_IDS = 1_000_000
+COMPARED_ROWS = 256
 _ID = pa.int64()
-
-
-def _need(n: int) -> int:
-    """Most shingles in which a set of ``n`` differs from any partner."""
-    return (n + 4 * n // 3) // 7
+_OWNER = np.dtype([("id", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("band", "<i2"), ("chunks", "<i4")])
 
 
 def slack(n: int) -> int:
-    return n // 8 if n >= EDGE else n - _need(n) - 1
+    return n // 8 if n >= EDGE else -(-3 * n // 4) - 1
 
 
 def band_of(n: int) -> int:
@@ -79,8 +77,9 @@ def sketch(shingles: np.ndarray, band: int, spread: float = SPREAD) -> np.ndarra
 
 def kept_chunks(n: int, band: int) -> int:
     """How many chunks of a set go into the join."""
-    largest = min(4 * n // 3, 4 ** (band + 1) - 1)
-    return (n + largest) // 7 + 1 + slack(n)
+    top = 4 ** (band + 1)
+    apart = n - -(-3 * n // 4) if top <= SMALL else (n + min(4 * n // 3, top - 1)) // 7
+    return apart + 1 + slack(n)
 
 
 def bands(n: int) -> list[int]:
@@ -135,7 +134,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a") \
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
-    def run(reader: WordReader, rows: pa.RecordBatch) -> pa.RecordBatch:
+    def compare(reader: WordReader, rows: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(len(rows), bool)
         sides = []
         for column in (2, 3):
@@ -150,13 +149,19 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         at = pa.array(np.flatnonzero(keep))
         return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at)], names=["a", "b"])
 
+    def run(reader: WordReader, rows: pa.RecordBatch):
+        for at in range(0, len(rows), COMPARED_ROWS):
+            yield compare(reader, rows.slice(at, COMPARED_ROWS))
+
     return saved(mapped(both, run, "a long, b long", _reader))
 
 
 def _first_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of each document to the smallest one that shares some of its least shingles."""
+    """Links of each document to the one that shares some of its least shingles, and shares them with most."""
     rows = classes.select("id", "n", F.explode("least").alias("s"))
-    lead = rows.groupBy("s").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1") \
+    rows = rows.join(rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "s")
+    rows = saved(rows.join(rows.groupBy("id").agg(F.sum("c").alias("w")), "id"))
+    lead = rows.groupBy("s").agg(F.max_by(F.struct("id", "n"), F.struct("w", -F.col("id"))).alias("lead")) \
         .select("s", F.col("lead.id").alias("b"), F.col("lead.n").alias("nb"))
     pairs = rows.join(lead, "s").where("id <> b and 4 * least(n, nb) >= 3 * greatest(n, nb)") \
         .groupBy("id", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")) \
@@ -165,33 +170,40 @@ def _first_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sketch_rows(docs: DataFrame, parts: int, spread: float) -> DataFrame:
-    """Chunks of ``id, comp, text`` rows, dealt into parts: one row per document, band and part."""
-    names = ["part", "band", "id", "comp", "n", "chunks"]
+    """Chunks of ``id, comp, text`` rows, dealt into parts: one row per block of texts and part.
 
-    def run(reader: WordReader, rows: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in names]
+    ``owners`` tells, for each document that has chunks there, whose they are and how many.
+    """
+    def run(reader: WordReader, rows: pa.RecordBatch):
         ids, comps = rows.column(0).to_pylist(), rows.column(1).to_pylist()
         for block in reader.blocks(rows.column(2)):
+            owners, chunks, whose = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for row, own in block_sets(block):
                 n = len(own)
                 for band in bands(n):
                     size = kept_chunks(n, band)
-                    chunks = sketch(own, band, spread)[:size]
-                    if len(chunks) < min(size, n):
-                        raise ValueError(f"a set of {n} shingles fills only {len(chunks)} chunks; raise spread")
-                    part = (mix(chunks, 31) % np.uint64(parts)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    part, chunks = part[order], chunks[order]
-                    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                    ends = np.append(first[1:], len(part))
-                    out[0] += part[first].tolist()
-                    out[5] += [chunks[x:y].tobytes() for x, y in zip(first, ends)]
-                    for column, value in zip(out[1:5], (band, ids[row], comps[row], n)):
-                        column += [value] * len(first)
-        kinds = [pa.int32(), pa.int32(), _ID, _ID, pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-
-    return mapped(docs.select("id", "comp", "text"), run, "part int, band int, id long, comp long, n int, chunks binary", _reader)
+                    held = sketch(own, band, spread)[:size]
+                    if len(held) < min(size, n):
+                        raise ValueError(f"a set of {n} shingles fills only {len(held)} chunks; raise spread")
+                    chunks.append(held)
+                    whose.append(np.full(len(held), len(owners)))
+                    owners.append((ids[row], comps[row], n, band, 0))
+            chunks, whose = np.concatenate(chunks), np.concatenate(whose)
+            table = np.array(owners, _OWNER)
+            part = (mix(chunks, 31) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((whose, part))
+            part, chunks, whose = part[order], chunks[order], whose[order]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+            told = []
+            for x, y in zip(first, np.append(first[1:], len(part))):
+                at, count = np.unique(whose[x:y], return_counts=True)
+                some = table[at]
+                some["chunks"] = count
+                told.append((int(part[x]), some.tobytes(), chunks[x:y].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in told], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))],
+                                             names=["part", "owners", "chunks"])
+
+    return mapped(docs.select("id", "comp", "text"), run, "part int, owners binary, chunks binary", _reader)
 
 
 def _met(chunks: np.ndarray, who: np.ndarray, info: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -236,13 +248,10 @@ def _meetings(sketches: DataFrame, parts: int) -> DataFrame:
     names = ["a", "b", "band", "na", "nb", "c"]
 
     def finish(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        info = {c: table[c].to_numpy().astype(np.int64) for c in ("band", "id", "comp", "n")}
-        lists = table["chunks"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1]) // 8
-        chunks = np.frombuffer(b"".join(lists.to_pylist()), np.uint64)
-        met = np.concatenate(_met(chunks, np.repeat(np.arange(len(lists)), sizes), info), axis=1)
+        owners = np.frombuffer(b"".join(x for r in rows for x in r.column(1).to_pylist()), _OWNER)
+        chunks = np.frombuffer(b"".join(x for r in rows for x in r.column(2).to_pylist()), np.uint64)
+        info = {c: owners[c].astype(np.int64) for c in ("band", "id", "comp", "n")}
+        met = np.concatenate(_met(chunks, np.repeat(np.arange(len(owners)), owners["chunks"]), info), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in met], names=names)
 
     def run(batches):
@@ -265,28 +274,28 @@ def _meetings(sketches: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, band long, na long, nb long, c long")
 
 
-def _hot_pairs(hot: DataFrame, docs: DataFrame, spread: float) -> DataFrame:
-    """Candidates among documents with too many hot chunks: all their chunks, the rarest first."""
-    def run(reader: WordReader, rows: pa.RecordBatch) -> pa.RecordBatch:
+def _hot_pairs(hot: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates among documents with too many hot chunks: their shingles, the rarest first."""
+    def run(reader: WordReader, rows: pa.RecordBatch):
         ids, comps = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-        out: list[list] = [[] for _ in range(5)]
         for block in reader.blocks(rows.column(2)):
+            out: list[list] = [[] for _ in range(4)]
             for row, own in block_sets(block):
-                for band in bands(len(own)):
-                    chunks = sketch(own, band, spread).view(np.int64).tolist()
-                    for column, value in zip(out[:4], (ids[row], comps[row], len(own), band)):
-                        column += [value] * len(chunks)
-                    out[4] += chunks
-        return pa.RecordBatch.from_arrays([pa.array(c, _ID) for c in out], names=["id", "comp", "n", "band", "chunk"])
+                for column, value in zip(out[:3], (ids[row], comps[row], len(own))):
+                    column += [value] * len(own)
+                out[3] += own.view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, _ID) for c in out], names=["id", "comp", "n", "s"])
 
     own = _with_ids(docs, hot.select(F.col("a").alias("id")).distinct(), "left_semi")
-    rows = saved(mapped(own.select("id", "comp", "text"), run, "id long, comp long, n long, band long, chunk long", _reader))
-    held = rows.groupBy("chunk").agg(F.count("*").alias("df")).where("df > 1")
-    rarest = Window.partitionBy("id", "band").orderBy("df", "chunk")    # a document's own chunks
-    every = rows.join(held, "chunk", "left").fillna(1, ["df"]).withColumn("r", F.row_number().over(rarest))
-    first = every.where(F.col("r") <= F.floor((F.col("n") + F.floor(F.col("n") * 4 / 3)) / 7) + 1).where("df > 1")
-    a, b = (first.select("chunk", *[F.col(c).alias(c + s) for c in ("id", "comp", "n")]) for s in ("a", "b"))
-    met = a.join(b, "chunk").where("ida < idb and compa <> compb and 4 * least(na, nb) >= 3 * greatest(na, nb)")
+    rows = saved(mapped(own.select("id", "comp", "text"), run, "id long, comp long, n long, s long", _reader))
+    held = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    rarest = Window.partitionBy("id").orderBy("df", "s")    # a document's own shingles
+    ranked = rows.join(held, "s", "left").fillna(1, ["df"]).withColumn("r", F.row_number().over(rarest))
+    first = saved(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1) & (F.col("df") > 1)))
+    a, b = (first.select("s", *[F.col(c).alias(c + x) for c in ("id", "comp", "n", "r")]) for x in ("a", "b"))
+    shared = "ceil(3 * (na + nb) / 7)"    # shingles that two similar sets share at least
+    met = a.join(b, "s").where(f"""ida < idb and compa <> compb and 4 * least(na, nb) >= 3 * greatest(na, nb)
+                                   and ra <= na - {shared} + 1 and rb <= nb - {shared} + 1""")
     return met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
 
 
@@ -317,14 +326,13 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", spre
     likely = pairs.where(F.col("c") >= need).select("a", "b")
     many = hot.where(F.col("h") > _least_slack_column("n"))
     if not many.isEmpty():
-        likely = likely.unionByName(_hot_pairs(many, docs_in, spread))
+        likely = likely.unionByName(_hot_pairs(many, docs_in))
     return sets.join(members.select("id", "rep").distinct(), "id", "left").select("id", "n", "rep"), first.unionByName(_compared(likely, texts))
 
 
 def _slack_column(n):
     n = F.col(n) if isinstance(n, str) else n
-    need = F.floor((n + F.floor(n * 4 / 3)) / 7)
-    return F.when(n >= EDGE, F.floor(n / 8)).otherwise(n - need - 1)
+    return F.when(n >= EDGE, F.floor(n / 8)).otherwise(F.ceil(n * 3 / 4) - 1)
 
 
 def _least_slack_column(n: str):

@@ -82,9 +82,10 @@ def test_jaccard_join_of_odd_input(spark, odd, no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("task_links", [500_000, 20])
+def test_components_of_chains_and_stars(spark, task_links):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
-    got = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long"), task_links).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}}
 
 
