@@ -49,6 +49,7 @@ EDGE = SMALL * 3 // 4    # the smallest set sketched in a band of larger ones
 SPREAD = 0.75         # chunks of a band per shingle of its largest set
 BROADCAST_IDS = 1_000_000
 COMPARED_ROWS = 256
+LEAST_PARTS = 64      # a task holds the chunks of one part at a time, so parts stay small on few shuffle partitions too
 _ID = pa.int64()
 _OWNER = np.dtype([("id", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("band", "<i2"), ("chunks", "<i4")])
 
@@ -302,7 +303,7 @@ def _hot_pairs(hot: DataFrame, docs: DataFrame) -> DataFrame:
 def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", spread: float = SPREAD) -> tuple[DataFrame, DataFrame]:
     """``id, n, rep`` of every row, and links ``a, b`` between class representatives that connect all similar ones."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = max(shuffle_partitions(spark), LEAST_PARTS)
     sets = saved(shingle_sets(docs, key, text))
     named = sets.where("n > 0 and id is not null")
     rep = named.groupBy("set1", "set2", "n").agg(F.min("id").alias("rep"))
