@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from .words import mapped
 
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 SPACE_MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 

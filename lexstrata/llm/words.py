@@ -143,6 +143,7 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch
                 yield out
             else:
                 yield from out
+        pa.default_memory_pool().release_unused()    # the worker lives on
 
     return df.mapInArrow(run, schema)
 
