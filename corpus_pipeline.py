@@ -25,7 +25,7 @@ ORACLE_SQL = None    # the learned stages are beyond SQL; tests compare with pla
 
 
 def _kept(docs: DataFrame, flags: DataFrame, keep) -> DataFrame:
-    """The rows whose id is to be kept; ids are unique in ``documents``."""
+    """The rows whose id is to be kept; a null id matches nothing."""
     return docs.join(flags.where(keep).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
 
 
@@ -35,8 +35,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group."""
-    return _kept(docs, jaccard.near_duplicates(docs), F.col("doc_id") == F.col("component_id"))
+    """The smallest document of each group, once where its row is repeated.
+
+    Rows with a null doc_id are linked with nothing: each is its own group and stays.
+    Of rows with one doc_id and one text a single one stays; a doc_id that is given to
+    different texts keeps one row of each, so no text goes only because of its id.
+    """
+    kept = _kept(docs, jaccard.near_duplicates(docs), F.col("doc_id") == F.col("component_id"))
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,24 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, docs.limit(0), SF_DIR)
         assert empty.dtypes == docs.dtypes and empty.count() == 0, name
+
+
+@needs_tables
+def test_stages_on_odd_rows(spark, odd):
+    got = {name: stage(spark, odd, SF_DIR) for name, stage in corpus_pipeline.STAGES}
+    ids = {name: sorted((r["doc_id"] for r in df.collect()), key=str) for name, df in got.items()}
+    everything = sorted((r["doc_id"] for r in odd.collect()), key=str)
+    assert ids["n-gram Jaccard join"] == sorted([1, 2, 3, 4, 5, 6, 7, None], key=str)    # the repeated row once, the null id too
+    for name in ("benchmark decontamination", "personal data", "SentencePiece encoding and decoding"):
+        assert ids[name] == everything, name
+    assert not {1, 2, 3} & set(ids["language ID"]) and None in ids["language ID"]
+    assert all(got[name].columns == odd.columns for name, _ in corpus_pipeline.STAGES[:-1])
+
+
+@needs_tables
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long, "en", "a"), (None, long, "en", "b"), (3, long, "en", "a"), (3, long, "en", "b"), (8, long + " more", "en", "a"), (9, None, "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF_DIR).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "9", "None", "None"]
