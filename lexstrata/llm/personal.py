@@ -4,9 +4,11 @@ The network is trained in numpy from labelled spans: lines of a bounded sample o
 the documents, into which generated addresses, numbers and secrets are written, with
 numbers that are none as counter-examples. It reads text in windows of ``WINDOW``
 characters, one every ``STRIDE``; each is decoded by itself and the spans of all
-windows of a text are then reconciled: the surest first, none overlapping another, a
-span that touches the inner edge of its window giving way to the window that holds
-it whole. Every kind holds a digit or an ``@``; decoding admits no other span, so
+windows of a text are then reconciled: the surest first, none overlapping another.
+Pieces of one kind that window edges have cut are joined where they overlap or touch,
+with whole pieces that they overlap; a joined span too long to be sure of lying whole
+in some window goes first, a shorter one gives way to the window that holds it whole.
+Every kind holds a digit or an ``@``; decoding admits no other span, so
 windows without one are known to hold none and are not read.
 
 Base patterns always stay. A learned span is added where it meets no base span, is
@@ -322,19 +324,49 @@ def _windows(text: str) -> list[tuple[int, int]]:
 _RULES = (lambda s: "@" in s, _is_ip, _is_card, _is_phone, lambda s: len(s) >= 12)
 
 
+def _whole(found: list[tuple[int, int, int, float, bool]]) -> list[tuple[int, int, int, float]]:
+    """Joined spans of pieces that window edges have cut, each place as sure as the surest piece there."""
+    out = []
+
+    def close(kind: int, group: list) -> None:
+        if len(group) > 1 and any(cut for *_, cut in group):
+            a, b = group[0][0], max(y for _, y, _, _ in group)
+            sure = np.zeros(b - a)
+            for x, y, s, _ in group:
+                sure[x - a:y - a] = np.maximum(sure[x - a:y - a], s)
+            out.append((kind, a, b, float(sure.mean())))
+
+    for kind in sorted({f[0] for f in found}):
+        group, end, open_cut = [], -1, False
+        for a, b, sure, cut in sorted(f[1:] for f in found if f[0] == kind):
+            if group and not (a < end or a == end and cut and open_cut):
+                close(kind, group)
+                group = []
+            open_cut = cut if not group or b > end else open_cut or (cut and b == end)
+            end = b if not group else max(end, b)
+            group.append((a, b, sure, cut))
+        close(kind, group)
+    return out
+
+
 def reconcile(text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int, float, bool]]) -> list[tuple[int, int, int]]:
-    """Base spans and the learned ones that hold beside them; ``found`` ends with whether the window's edge cut the span."""
+    """Base spans and the learned ones that hold beside them; ``found`` ends with whether the window's edge cut the span.
+
+    Joined spans longer than windows overlap go first, then whole pieces, shorter joined spans, cut pieces by themselves.
+    """
     kept = [(k, a, b) for k, a, b in base]
-    starts = sorted((a, b) for _, a, b in base)
-    for kind, a, b, sure, _ in sorted(found, key=lambda s: (s[4], -s[3], s[1], s[2], s[0])):
+    taken = sorted((a, b) for _, a, b in base)
+    ranked = [(3 if cut else 1, -sure, a, b, kind) for kind, a, b, sure, cut in found]
+    ranked += [(0 if b - a > WINDOW - STRIDE else 2, -sure, a, b, kind) for kind, a, b, sure in _whole(found)]
+    for _, less, a, b, kind in sorted(ranked):
         piece = text[a:b]
         try:
-            fits = b - a >= SHORTEST and sure >= SURE and _CLUE.search(piece) is not None and _RULES[kind](piece)
+            fits = b - a >= SHORTEST and -less >= SURE and _CLUE.search(piece) is not None and _RULES[kind](piece)
         except ValueError:
             fits = False
-        if fits and not any(a < y and x < b for x, y in starts):
+        if fits and not any(a < y and x < b for x, y in taken):
             kept.append((kind, a, b))
-            starts.append((a, b))
+            taken.append((a, b))
     return sorted(kept)
 
 

@@ -159,6 +159,17 @@ def test_windows_are_reconciled(network):
     assert personal.masked(text, spans).count("<EMAIL>") == 1 and "555-9070" not in personal.masked(text, spans)
 
 
+def test_cut_pieces_are_joined():
+    text = "x" * 100 + "S5" * 100 + "x" * 100
+    cut = [(4, 100, 256, 0.95, True), (4, 128, 300, 0.99, True), (4, 256, 300, 0.96, True)]
+    assert personal.reconcile(text, [], cut) == [(4, 100, 300)]
+    assert personal.reconcile(text, [], [cut[0], (4, 131, 300, 0.99, False)]) == [(4, 100, 300)]
+    assert personal.reconcile(text, [], [cut[0], cut[2]]) == [(4, 100, 300)]    # touching at the edge
+    apart = [(4, 100, 120, 0.95, False), (4, 120, 150, 0.95, False)]
+    assert personal.reconcile(text, [], apart) == [x[:3] for x in apart]
+    assert personal.reconcile(text, [], [(4, 240, 256, 0.99, True), (4, 240, 300, 0.95, False)]) == [(4, 240, 300)]
+
+
 def test_personal_data_of_odd_input(spark, network, odd, no_docs):
     got = {r["doc_id"]: r for r in personal.find_personal(odd, network).collect()}
     assert got[1]["spans"] == [] and got[2]["base"] == [] and len(got[4]["spans"]) == 0
