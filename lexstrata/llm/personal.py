@@ -8,8 +8,11 @@ windows of a text are then reconciled: the surest first, none overlapping anothe
 Pieces of one kind that window edges have cut are joined where they overlap or touch,
 with whole pieces that they overlap; a joined span too long to be sure of lying whole
 in some window goes first, a shorter one gives way to the window that holds it whole.
-Every kind holds a digit or an ``@``; decoding admits no other span, so
-windows without one are known to hold none and are not read.
+
+Windows are read where something may stand (``_clues``): digits and ``@``, a run of
+``LONG_RUN`` characters without a space, a value of ``LONG_VALUE`` after ``=`` or
+``:``, an address with its signs spelled out. This only saves reading: decoding
+admits any span in a window that is read.
 
 Base patterns always stay. A learned span is added where it meets no base span, is
 sure enough, and keeps the kind's own rule (card check digit, address parts, number
@@ -44,7 +47,10 @@ TRAIN_LENGTH, TRAIN_BATCH, TRAIN_STEPS, RATE = 72, 48, 180, 0.02
 _TAGS = 1 + 2 * len(KINDS)    # outside, then begin and inside of each kind
 _NEVER = -1e4
 
-_CLUE = re.compile("[0-9@]")
+LONG_RUN, LONG_VALUE = 16, 12
+_CLUE = re.compile("[0-9@]")    # every base pattern has one
+_VALUE = re.compile(rf"""[=:][ \t]{{0,2}}["']?[!-~]{{{LONG_VALUE},}}""")
+_SPELLED = re.compile(r"[ (\[{<]at(?:[)\]}>]|[ ]+[\w-]+(?:\.[a-z]|[ ]+dot[ ]))", re.I)
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -92,6 +98,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _clues(text: str) -> np.ndarray:
+    """Start and end of the places that may belong to a span."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    marks = np.flatnonzero(((points >= 48) & (points <= 57)) | (points == 64))
+    breaks = np.concatenate([[-1], np.flatnonzero((points < 33) | (points > 126)), [len(points)]])
+    long = np.flatnonzero(np.diff(breaks) > LONG_RUN)
+    told = [m.span() for pattern in (_VALUE, _SPELLED) for m in pattern.finditer(text)]
+    return np.concatenate([np.stack([marks, marks + 1], axis=1), np.stack([breaks[long] + 1, breaks[long + 1]], axis=1),
+                           np.array(told, np.int64).reshape(-1, 2)])
+
+
 def _codes(text: str) -> np.ndarray:
     """Characters as small numbers: ASCII from 1, then other letters, other characters; 0 pads."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -198,6 +215,15 @@ def _gradients(net: Network, codes: np.ndarray, tags: np.ndarray) -> list[np.nda
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_ONSETS = [*"bcdfghjklmnprstvwy", "st", "tr", "ch", "sh", "th", "bl", "gr", "fl", "qu", ""]
+_CODAS = ["", "", "", "n", "r", "t", "s", "l", "ck", "ng", "tt", "rs", "nd", "y", "e"]
+
+
+def _word(rng: random.Random, lo: int, hi: int) -> str:
+    """Letters that can be spoken."""
+    part = lambda: rng.choice(_ONSETS) + rng.choice("aeiou") + rng.choice(_CODAS)
+    out = "".join(part() for _ in range(hi))
+    return out[:rng.randint(lo, hi)]
 
 
 def _made(rng: random.Random, kind: int) -> tuple[str, str, str]:
@@ -208,6 +234,8 @@ def _made(rng: random.Random, kind: int) -> tuple[str, str, str]:
     if kind == 0:
         name = some(_LETTERS, 3, 9) + pick(["", ".", "_", "-"]) + pick([digits(2), some(_LETTERS, 2, 6)])
         host = some(_LETTERS, 3, 8) + pick(["", digits(1)]) + pick([".example", ".mail", ""]) + pick([".com", ".org", ".net", ".de"])
+        if rng.random() < 0.15:    # spelled out
+            return "", name + pick([" at ", "(at)", "[at]", " (at) "]) + host.replace(".", pick([" dot ", "."])), ""
         return "", name + pick(["@", "@", "@", " @ ", "[@]"]) + host, ""
     if kind == 1:
         return "", ".".join(str(rng.randrange(256)) for _ in range(4)), pick(["", ":8080", "/24"])
@@ -222,12 +250,23 @@ def _made(rng: random.Random, kind: int) -> tuple[str, str, str]:
         return "", pick([f"+{digits(1)} ({area}) {mid}-{end}", f"+{digits(2)} {area} {mid}{end}", f"({area}) {mid}-{end}",
                          f"{area}-{mid}-{end}", f"+{digits(1)}-{area}-{mid}-{end}"]), ""
     if kind == 4:
-        secret = pick([some("0123456789abcdef", 16, 40), some(_LETTERS + _LETTERS.upper() + "0123456789", 20, 40)])
-        if rng.random() < 0.25:
-            return "", "AKIA" + some(_LETTERS.upper() + "0123456789", 12, 12) + digits(1) + some(_LETTERS.upper(), 3, 3), ""
+        mixed = _LETTERS + _LETTERS.upper()
+        secret = pick([some("0123456789abcdef", 16, 40), some(mixed + "0123456789", 20, 40),
+                       pick([some(_LETTERS, 12, 32), some(mixed, 12, 40)]), _word(rng, 12, 28), _word(rng, 12, 28)])
+        form = rng.random()
+        if form < 0.15:
+            return "", "AKIA" + pick([some(_LETTERS.upper() + "0123456789", 16, 16), some(_LETTERS.upper(), 16, 16)]), ""
+        if form < 0.23:
+            return "", some(mixed, 20, 40), ""
+        if form < 0.33:    # longer than a training window
+            secret = some(mixed + "0123456789" + pick(["", "-_", "-_."]), 80, 200)
         word, sign = pick(["password", "token", "secret", "api_key", "passwd"]), pick(["=", " = ", ": ", ":"])
         quote = pick(["", '"', "'"])
         return word + sign + quote, secret, quote
+    if rng.random() < 0.3:    # long words, paths and plain values
+        word = lambda: _word(rng, 3, 9)
+        return "", pick([_word(rng, 12, 20), f"{word()}-{word()}-{word()}", f"www.{word()}.com/{word()}/{word()}", f"{word()}_{word()}_{word()}",
+                         f"{word()}: {word()}", f"{word()} at {word()}", f"{word()}: {word()} {word()}"]), ""
     return "", pick([digits(1), digits(2), f"{pick('12')}{digits(3)}", f"{digits(1)}.{digits(1)}", f"{digits(2)},{digits(3)}",
                      f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"{digits(2)}:{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}",
                      f"({digits(1)})", f"{digits(5)}", f"{some(_LETTERS, 2, 5)}{digits(1)}", digits(16), f"#{digits(6)}"]), ""
@@ -258,9 +297,9 @@ def _labelled(rng: random.Random, lines: list[str], n: int) -> tuple[np.ndarray,
 
 
 def train(lines: list[str], steps: int = TRAIN_STEPS) -> Network:
-    """The network of a sample of lines; only lines without digits and signs of addresses are used as surroundings."""
+    """The network of a sample of lines; only lines without digits, signs of addresses and long values are used as surroundings."""
     rng = random.Random(5)
-    clean = [x for x in sorted(set(lines)) if len(x) > 3 and not _CLUE.search(x)] or ["the quick brown fox jumps over the dog"]
+    clean = [x for x in sorted(set(lines)) if len(x) > 3 and not any(p.search(x) for p in (_CLUE, _VALUE, _SPELLED))] or ["the quick brown fox jumps over the dog"]
     net = _blank(np.random.default_rng(5))
     parts = net.parts()
     mean, square = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
@@ -315,13 +354,18 @@ def decode(net: Network, windows: list[np.ndarray]) -> list[list[tuple[int, int,
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """The windows of a text that hold a digit or an ``@``."""
-    clues = np.array([m.start() for m in _CLUE.finditer(text)])
-    places = np.unique(np.concatenate([clues // STRIDE, clues // STRIDE - WINDOW // STRIDE + 1]))
+    """The windows of a text that meet a clue."""
+    clues = _clues(text)
+    if not len(clues):
+        return []
+    first, last = clues[:, 0] // STRIDE - WINDOW // STRIDE + 1, (clues[:, 1] - 1) // STRIDE
+    sizes = last - first + 1
+    step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    places = np.unique(np.repeat(first, sizes) + step)
     return [(int(p) * STRIDE, min(int(p) * STRIDE + WINDOW, len(text))) for p in places if p >= 0]
 
 
-_RULES = (lambda s: "@" in s, _is_ip, _is_card, _is_phone, lambda s: len(s) >= 12)
+_RULES = (lambda s: "@" in s or _SPELLED.search(s) is not None, _is_ip, _is_card, _is_phone, lambda s: len(s) >= 12)
 
 
 def _whole(found: list[tuple[int, int, int, float, bool]]) -> list[tuple[int, int, int, float]]:
@@ -361,7 +405,7 @@ def reconcile(text: str, base: list[tuple[int, int, int]], found: list[tuple[int
     for _, less, a, b, kind in sorted(ranked):
         piece = text[a:b]
         try:
-            fits = b - a >= SHORTEST and -less >= SURE and _CLUE.search(piece) is not None and _RULES[kind](piece)
+            fits = b - a >= SHORTEST and -less >= SURE and _RULES[kind](piece)
         except ValueError:
             fits = False
         if fits and not any(a < y and x < b for x, y in taken):
@@ -375,8 +419,7 @@ def find_spans(net: Network, texts: list[str]) -> list[list[tuple[int, int, int]
     out: list[list] = [[] for _ in texts]
     todo = []
     for i, text in enumerate(texts):
-        if _CLUE.search(text):
-            todo += [(i, a, b) for a, b in _windows(text)]
+        todo += [(i, a, b) for a, b in _windows(text)]
     found: dict[int, list] = {}
     for lo in range(0, len(todo), 256):
         part = todo[lo:lo + 256]

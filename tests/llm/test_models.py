@@ -170,6 +170,35 @@ def test_cut_pieces_are_joined():
     assert personal.reconcile(text, [], [(4, 240, 256, 0.99, True), (4, 240, 300, 0.95, False)]) == [(4, 240, 300)]
 
 
+def test_long_secrets_are_masked_whole(network):
+    rng = random.Random(12)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts, spans = [], []
+    for size in (129, 160, 200, 256, 257, 300, 400, 600):
+        for offset in (0, 37, 100, 128, 200, 255):
+            before = ("the words of a house are here " * 20)[:offset] + " token="
+            texts.append(before + "".join(rng.choices(chars, k=size)) + " and the words of a river " * 4)
+            spans.append((len(before), len(before) + size))
+    found = personal.find_spans(network, texts)
+    shares = [max((min(b, y) - max(a, x) for _, x, y in own), default=0) / (b - a) for own, (a, b) in zip(found, spans)]    # one span, not pieces
+    assert np.mean(shares) > 0.97 and np.mean([s == 1 for s in shares]) > 0.8
+
+
+def test_letter_only_secrets_and_spelled_addresses(network):
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = [("password=", "".join(rng.choices(letters, k=rng.randint(14, 30)))) for _ in range(40)]
+    made += [("", "AKIA" + "".join(rng.choices(letters.upper(), k=16))) for _ in range(20)]
+    made += [("", "".join(rng.choices(letters, k=7)) + rng.choice([" at ", "(at)", "[at]"]) + "".join(rng.choices(letters, k=6)) + ".com") for _ in range(20)]
+    texts = ["the words of the house and then " + before + piece + " comes before the last words" for before, piece in made]
+    found = personal.find_spans(network, texts)
+    assert np.mean([any(x < 32 + len(before) + len(piece) and 32 + len(before) < y for _, x, y in own) for own, (before, piece) in zip(found, made)]) > 0.75
+    piece = "S" * 20
+    assert personal.reconcile(piece, [], [(4, 0, 20, 0.99, False)]) == [(4, 0, 20)]    # no digit, no sign
+    assert personal._windows("x " * 300 + "password=correcthorsebattery") and personal._windows("x " * 300 + "jo.b(at)c.org")
+    assert personal._windows("plain words here. " * 40) == []
+
+
 def test_personal_data_of_odd_input(spark, network, odd, no_docs):
     got = {r["doc_id"]: r for r in personal.find_personal(odd, network).collect()}
     assert got[1]["spans"] == [] and got[2]["base"] == [] and len(got[4]["spans"]) == 0
