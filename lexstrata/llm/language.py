@@ -10,7 +10,8 @@ The field is trained from a bounded sample: of each language, ``SAMPLE_LINES`` l
 of ``SAMPLE_DOCS`` labelled documents, both chosen by hash. Chains of two languages
 are made from them, so that switches are learned. Features are hashed into
 ``BUCKETS``. Reading is one pass over whole texts without a shuffle, in chains of
-``CHAIN`` words.
+``CHAIN`` words at once (more with many languages, so that their matrices stay small);
+messages are carried over the cuts, so a text is one linear chain.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and
 so is every text when no row has a label; equal means go to the label that sorts
@@ -94,22 +95,23 @@ def word_scores(model: Model, block: Block) -> np.ndarray:
     return scores[where]
 
 
-def chains(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chains(bounds: np.ndarray, size: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
     """First word and length of the chains of texts, longest first."""
     sizes = np.diff(bounds)
-    n = -(-sizes // CHAIN)
+    n = -(-sizes // size)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    first = np.repeat(bounds[:-1], n) + step * CHAIN
-    length = np.minimum(CHAIN, np.repeat(bounds[1:], n) - first)
+    first = np.repeat(bounds[:-1], n) + step * size
+    length = np.minimum(size, np.repeat(bounds[1:], n) - first)
     order = np.argsort(-length, kind="stable")
     return first[order], length[order]
 
 
 def marginals(scores: np.ndarray, first: np.ndarray, length: np.ndarray, transitions: np.ndarray, start: np.ndarray,
-              pairs: np.ndarray | None = None) -> np.ndarray:
+              pairs: np.ndarray | None = None, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
     """Probability of each label at every word by forward-backward, all chains at once.
 
-    ``pairs``, if given, gains the expected count of each transition.
+    ``pairs``, if given, gains the expected count of each transition. ``enter`` and ``leave``
+    hold the messages that reach each chain from before and after it, else it stands alone.
     """
     k = scores.shape[1]
     emit = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
@@ -119,10 +121,10 @@ def marginals(scores: np.ndarray, first: np.ndarray, length: np.ndarray, transit
     live = np.searchsorted(-length, -np.arange(steps), "left") if steps else []    # chains longer than each step
     for t in range(steps):
         at = first[:live[t]] + t
-        now = emit[at] * (np.exp(start - start.max()) if t == 0 else forward[at - 1] @ move)
+        now = emit[at] * ((np.exp(start - start.max()) if enter is None else enter) if t == 0 else forward[at - 1] @ move)
         forward[at] = now / now.sum(axis=1, keepdims=True)
     out = np.zeros_like(forward)
-    back = np.ones((len(first), k))
+    back = np.ones((len(first), k)) if leave is None else leave.copy()
     for t in range(steps - 1, -1, -1):
         at = first[:live[t]] + t
         here = forward[at] * back[:live[t]]
@@ -137,6 +139,49 @@ def marginals(scores: np.ndarray, first: np.ndarray, length: np.ndarray, transit
     return out
 
 
+def text_marginals(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, start: np.ndarray, chain: int = CHAIN) -> np.ndarray:
+    """``marginals`` of whole texts as one chain each, worked out in parts of a text at once.
+
+    Each part is a matrix of messages from its left edge to its right; their products in
+    turn give what reaches every part from both sides.
+    """
+    k = scores.shape[1]
+    size = chain * max(1, k * k // 64)
+    first, length = chains(bounds, size)
+    sizes = np.diff(bounds)
+    n_parts = -(-sizes // size)
+    if not (n_parts > 1).any():
+        return marginals(scores, first, length, transitions, start)
+    text = np.searchsorted(bounds, first, "right") - 1
+    lead = first == bounds[text]
+    emit = np.exp(scores - scores.max(axis=1, keepdims=True))
+    move, begin = np.exp(transitions - transitions.max()), np.exp(start - start.max())
+    enter, leave = np.tile(begin, (len(first), 1)), np.ones((len(first), k))
+
+    cut = np.flatnonzero(n_parts[text] > 1)    # longest first, as in first
+    across = np.where(lead[cut][:, None, None], np.eye(k), move) * emit[first[cut]][:, None, :]
+    for t in range(1, int(length[cut[0]])):
+        live = int(np.searchsorted(-length[cut], -t, "left"))
+        across[:live] = across[:live] @ move * emit[first[cut[:live]] + t][:, None, :]
+        across[:live] /= across[:live].sum(axis=(1, 2), keepdims=True)
+    order = np.argsort(first[cut])    # parts as they stand in the texts
+    across, place = across[order], cut[order]
+    many = np.sort(n_parts[n_parts > 1])[::-1]
+    at = np.flatnonzero(lead[place])[np.argsort(-n_parts[text[place[lead[place]]]], kind="stable")]
+    one = lambda v: v / v.sum(axis=1, keepdims=True)
+    message = np.tile(begin, (len(at), 1))
+    for s in range(1, int(many[0])):
+        live = int(np.searchsorted(-many, -s, "left"))
+        message = one(np.einsum("ni,nij->nj", message[:live], across[at[:live] + s - 1]))
+        enter[place[at[:live] + s]] = message @ move
+    message = np.ones((len(at), k))
+    for s in range(int(many[0]) - 1, 0, -1):
+        live = int(np.searchsorted(-many, -s, "left"))
+        message[:live] = one(np.einsum("nij,nj->ni", across[at[:live] + s], message[:live]))
+        leave[place[at[:live] + s - 1]] = message[:live]
+    return marginals(scores, first, length, transitions, start, enter=enter, leave=leave)
+
+
 def sample_lines(docs: DataFrame, eligible: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
                  n_docs: int = SAMPLE_DOCS, n_lines: int = SAMPLE_LINES) -> DataFrame:
     """``lang, line``: a bounded number of lines per language, chosen by hash."""
@@ -265,7 +310,7 @@ def _predicted(model: Model, block: Block) -> tuple[list[str], list[float], pa.A
     n = block.last - block.first
     if not model.labels or not len(block.starts):
         return [UNKNOWN] * n, [0.0] * n, pa.array([[]] * n, _SEGMENT_TYPE)
-    found = marginals(word_scores(model, block), *chains(block.bounds), model.transitions, model.start)
+    found = text_marginals(word_scores(model, block), block.bounds, model.transitions, model.start)
     means = _sums(block.docs, found, n) / np.maximum(np.diff(block.bounds), 1)[:, None]
     plain = np.array([_has_letter(block, i) for i in range(n)])
     names = [model.labels[b] if ok else UNKNOWN for b, ok in zip(means.argmax(axis=1), plain)]

@@ -46,6 +46,29 @@ def test_marginals_are_those_of_all_paths():
     assert np.allclose(got, weight / total) and np.allclose(got_pairs, pairs / total)
 
 
+@pytest.mark.parametrize("k", [1, 3, 12])
+def test_messages_cross_the_cuts(k):
+    rng = np.random.default_rng(k)
+    bounds = np.array([0, 0, 300, 307, 500, 500, 564, 629])    # in parts of 4 and of 64 words
+    scores, moves, start = rng.normal(size=(629, k)), rng.normal(0, 2, (k, k)) + 3 * np.eye(k), rng.normal(size=k)
+    order = np.argsort(-np.diff(bounds), kind="stable")
+    uncut = language.marginals(scores, bounds[:-1][order], np.diff(bounds)[order], moves, start)
+    for chain in (4, language.CHAIN):
+        assert np.allclose(language.text_marginals(scores, bounds, moves, start, chain), uncut)
+
+
+def test_labels_at_a_cut_are_those_of_the_uncut_text(field):
+    rng = random.Random(8)
+    words = [_text(rng, lang, 7).strip(" .\n") for lang in itertools.islice(itertools.cycle(["aa", "bb", "cc"]), 80)]
+    block = next(language.WordReader(language.LETTER, language.LOWER).blocks(language.pa.array([" ".join(words)])))
+    scores = language.word_scores(field, block)
+    uncut = language.marginals(scores, block.bounds[:1], np.diff(block.bounds), field.transitions, field.start)
+    segments = language._predicted(field, block)[2].to_pylist()[0]
+    got = [s["lang"] for s in segments for _ in range(s["first_word"], s["last_word"] + 1)]
+    assert len(got) > 8 * language.CHAIN and got == [field.labels[i] for i in uncut.argmax(axis=1)]
+    assert np.allclose(language.text_marginals(scores, block.bounds, field.transitions, field.start), uncut)
+
+
 def test_held_out_texts_and_switches(spark, field):
     rng = random.Random(2)
     rows = [(i, lang, _text(rng, lang, 40)) for i, lang in enumerate(list(SYLLABLES) * 40)]
