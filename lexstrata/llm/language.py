@@ -7,7 +7,9 @@ probability of each language, so text that switches language is labelled word by
 word; a text's language is the one with the largest mean.
 
 The field is trained from a bounded sample: of each language, ``SAMPLE_LINES`` lines
-of ``SAMPLE_DOCS`` labelled documents, both chosen by hash. Chains of two languages
+of ``SAMPLE_DOCS`` labelled documents, both chosen by hash; longer lines count as
+several, cut after ``CHAIN`` words (words after 256 characters), so the sample is
+bounded in bytes too. Chains of two languages
 are made from them, so that switches are learned. Features are hashed into
 ``BUCKETS``. Reading is one pass over whole texts without a shuffle, in chains of
 ``CHAIN`` words at once (more with many languages, so that their matrices stay small);
@@ -37,6 +39,7 @@ BUCKETS = 1 << 16
 LEXICON_WORDS = 300
 EPOCHS, BATCH_CHAINS, RATE, DECAY = 4, 256, 0.3, 1e-4
 _AFFIXES = (1, 2, 3, 4)
+_PIECE = r"(?:\\S{1,256}+\\s{0,16}+){1,%d}+" % CHAIN    # for SQL; every character but blanks falls in one piece
 
 
 @dataclass
@@ -184,13 +187,14 @@ def text_marginals(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarr
 
 def sample_lines(docs: DataFrame, eligible: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
                  n_docs: int = SAMPLE_DOCS, n_lines: int = SAMPLE_LINES) -> DataFrame:
-    """``lang, line``: a bounded number of lines per language, chosen by hash."""
+    """``lang, line``: a bounded number of lines of bounded size per language, chosen by hash."""
     labelled = docs.where(eligible & F.col(lang).isNotNull() & F.col(text).isNotNull())
     picked = _least(labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("id"))
                     .distinct(), n_docs, "id").select("id", "lang")
     own = labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     own = own.join(F.broadcast(picked), ["id", "lang"], "left_semi")    # at most n_docs ids a language
-    lines = own.select("lang", "id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    lines = own.select("lang", "id", F.explode(F.split("text", "\n")).alias("line")) \
+        .select("lang", "id", F.explode(F.expr(f"regexp_extract_all(line, '{_PIECE}', 0)")).alias("line")).where("trim(line) <> ''")
     return _least(lines.withColumn("h", F.xxhash64("id", "line")), n_lines, "id", "line").select("lang", "line")
 
 

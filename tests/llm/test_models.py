@@ -100,6 +100,18 @@ def test_nothing_is_learned_from_held_out_rows(spark):
     assert out and kept and not kept & out and kept | out == {r[2] for r in rows}
 
 
+def test_sampled_lines_are_bounded(spark):
+    words = " ".join(f"w{i}" for i in range(5000))
+    rows = [(1, "x", words), (2, "x", "a" * 100_000), (3, "x", "short line\nand  a second"), (4, "x", "b" + " " * 50_000 + "c")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    lines = [r["line"] for r in language.sample_lines(df, F.lit(True)).collect()]
+    assert max(len(x.split()) for x in lines) == language.CHAIN and max(map(len, lines)) <= 272 * language.CHAIN
+    assert sorted(w for x in lines for w in x.split() if w[0] == "w") == sorted(words.split())
+    assert "".join(x.strip() for x in lines if "aaa" in x) == "a" * 100_000 and {"short line", "and  a second"} <= set(lines)
+    few = language.sample_lines(df, F.lit(True), n_lines=5).collect()
+    assert len(few) == 5 and sum(len(r["line"]) for r in few) <= 5 * 272 * language.CHAIN
+
+
 # personal data
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
