@@ -8,8 +8,9 @@ shuffle of those rows finishes the ranking. The sizes decide how blocks meet:
   place, each task finishing its own queries;
 * else a query set within the budget is broadcast and the lexicon is read in
   place, each task keeping its best rows per query;
-* else both are cut into blocks and each (query block, lexicon block) cell is
-  one bounded task.
+* else lexicon rows are grouped around pivots (``pivots``), each query goes to the
+  groups that can hold an answer of it, and each (query block, lexicon block) of a
+  group is one bounded task. Cells that cannot hold an answer are never built.
 
 Distances are compared at 9 decimals, ties going to the lower row id, so results
 do not depend on how the sums were ordered. One vector length holds for the whole
@@ -24,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.vectors import cosine_distance
 from ..session import collect_if_small, land, shuffle_partitions
+from . import pivots
 from .ranking import keep_first
 
 BROADCAST_BYTES = 64 << 20
@@ -191,19 +193,7 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
         read = lexicon.coalesce(scan_tasks) if scan_tasks else lexicon
         return read.mapInArrow(scan, schema)
 
-    block_rows = max(1, BLOCK_BYTES // row_bytes)
-    q_blocks = max(1, -(-queries.count() // block_rows))
-    l_blocks = max(1, -(-lexicon.count() // block_rows))
-
-    def block(column: str, n: int):
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    def spread(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.select("query_id", "vector", block("query_id", q_blocks).alias("_q"), spread(l_blocks).alias("_l"))
-    # Every copy of a row carries its vector alone; the kept columns join the few winners later.
-    right = lexicon.select("row_id", "time_period", "vector", spread(q_blocks).alias("_q"), block("row_id", l_blocks).alias("_l"))
+    left, right = _cells(queries, lexicon, k, periods, dim, max(1, BLOCK_BYTES // row_bytes))
 
     def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
         found: list[pa.RecordBatch] = []
@@ -215,10 +205,54 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
                   pa.field("distance", pa.float64())]
         return pa.Table.from_batches(found) if found else pa.schema(fields).empty_table()
 
-    return left.groupBy("_q", "_l").cogroup(right.groupBy("_q", "_l")).applyInArrow(
+    cells = ["group", "_q", "_l"]
+    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(
         cell, f"query_id {kind}, row_id bigint, time_period int, distance double")
 
 
+def _needs(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, ...], dim: int) -> tuple[DataFrame, DataFrame, pivots.Bounds]:
+    """Queries with the groups each needs, lexicon rows with their group, and what is known of the groups."""
+    points = pivots.choose(lexicon, dim, _unit_rows)
+    rows = pivots.grouped(lexicon, points, dim, _unit_rows)
+    bounds = pivots.Bounds(rows, points, periods)
+    return pivots.asked(queries, bounds, k, dim, _unit_rows), rows, bounds
+
+
+def _cells(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, ...], dim: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cells in which they meet: a group's blocks of rows with the blocks of queries that need it."""
+    asked, rows, bounds = _needs(queries, lexicon, k, periods, dim)
+    n_asked = {r["group"]: r["n"] for r in asked.groupBy("group").agg(F.count("*").alias("n")).collect()}    # a row per pivot
+
+    def blocks(n) -> Column:
+        """The number of blocks of a group, from the rows it has."""
+        return F.element_at(F.array(*[F.lit(max(1, -(-int(n(g)) // block_rows))) for g in range(max(1, len(bounds.count)))]), F.col("group") + 1)
+
+    q_blocks, l_blocks = blocks(lambda g: n_asked.get(g, 0)), blocks(lambda g: bounds.count[g] if len(bounds.count) else 0)
+
+    def block(column: str, n: Column) -> Column:
+        return F.pmod(F.xxhash64(column), n).cast("int")
+
+    def spread(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    left = asked.select("query_id", "vector", "group", block("query_id", q_blocks).alias("_q"), spread(l_blocks).alias("_l"))
+    # Every copy of a row carries its vector alone; the kept columns join the few winners later.
+    right = rows.select("row_id", "time_period", "vector", "group", spread(q_blocks).alias("_q"), block("row_id", l_blocks).alias("_l"))
+    return left, right
+
+
+def skipped_share(queries: DataFrame, lexicon: DataFrame, top_n: int = 10, periods: tuple[int, ...] = fixed.ANCHOR_PERIODS,
+                  dim: int | None = None) -> DataFrame:
+    """One row: pairs of a query and a lexicon row, and the share that the bounds keep from meeting."""
+    dim = dim or _dimension(lexicon)
+    lexicon = lexicon.select(F.col("row_id").cast("bigint"), F.col("time_period").cast("int"), "vector")
+    asked, rows, _ = _needs(queries.select("query_id", "vector"), lexicon, top_n + len(periods), periods, dim)
+    pairs = asked.groupBy("group").agg(F.count("*").alias("q")).join(rows.groupBy("group").agg(F.count("*").alias("l")), "group") \
+        .agg(F.coalesce(F.sum(F.col("q") * F.col("l")), F.lit(0)).alias("met"))
+    all_pairs = queries.agg(F.count("*").alias("q")).scalar() * rows.agg(F.count("*").alias("l")).scalar()
+    return pairs.select(all_pairs.alias("pairs"), (F.lit(1.0) - F.try_divide(F.col("met"), all_pairs)).alias("skipped"))
+
+
 def nearest_with_coverage(queries: DataFrame, lexicon: DataFrame, top_n: int = 10,
                           periods: tuple[int, ...] = fixed.ANCHOR_PERIODS,
                           min_similarity: float | None = None, keep: tuple[str, ...] = (),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.phonetics import closest_form, latest_form, sound_shift
-from .joins import lookup
+from ..session import shuffle_partitions
+from .joins import hot_keys, lookup
 
 
 def collect_forms(neighbours: DataFrame, key: str = "query_id") -> DataFrame:
@@ -17,31 +18,77 @@ def collect_forms(neighbours: DataFrame, key: str = "query_id") -> DataFrame:
     return neighbours.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("forms"))
 
 
-def attested_forms(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key with one form per period: the first in ``order``.
+def _time_slices(points: DataFrame, key: str, parts: int) -> DataFrame:
+    """The points with a ``_slice`` of time inside their key; keys without many points have one.
 
-    Rows are reduced to one per (key, period) before they meet, so a list is as
-    long as the number of periods, however many rows a key has.
+    Keys with more than 1/parts of the points are cut at quantiles of their times, so
+    points of one time stay together. Cuts add up to about twice ``parts``.
     """
-    first = df.where(F.col("time_period").isNotNull()).groupBy(key, "time_period").agg(
-        F.min(F.struct(F.col(order).alias("rank"), F.col("phonetic_representation"))).alias("f"))
-    entry = F.struct(F.col("f.rank").alias("rank"), "time_period",
-                     F.col("f.phonetic_representation").alias("phonetic_representation"))
-    return first.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("forms"))
+    hot = hot_keys(points, key, parts).where(F.col(key).isNotNull())
+    if hot.isEmpty():
+        return points.withColumn("_slice", F.lit(0))
+    hot = F.broadcast(hot.withColumn("_step", F.ceil(F.lit(parts) / F.col("_slices")).cast("int")).drop("_slices"))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = points.join(hot, key).groupBy(key).agg(F.first("_step").alias("_step"), F.percentile_approx("_time", shares, 10 * parts).alias("_cuts"))
+    cuts = cuts.select(key, F.array_distinct(F.filter("_cuts", lambda c, i: (i + 1) % F.col("_step") == 0)).alias("_cuts"))
+    table = points.sparkSession.createDataFrame(cuts.collect(), cuts.schema)    # as many cuts as slices
+    return points.join(F.broadcast(table), key, "left") \
+        .withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_time"))), F.lit(0))).drop("_cuts")
+
+
+def _with_neighbours(points: DataFrame, key: str, parts: int) -> DataFrame:
+    """Points ``key, _time, _form`` with the last form up to their time and the first one from it on.
+
+    Both are carried along the sorted points of a slice. Slices of one key are stitched
+    by their edges: what no form of the own slice answers, the nearest slice with a form does.
+    """
+    sliced = _time_slices(points, key, parts)
+    forms_first = F.asc("_asked")
+    up = Window.partitionBy(key, "_slice").orderBy(F.asc("_time"), forms_first).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key, "_slice").orderBy(F.desc("_time"), forms_first).rowsBetween(Window.unboundedPreceding, 0)
+    carried = sliced.withColumns({"_before": F.last("_form", ignorenulls=True).over(up), "_after": F.last("_form", ignorenulls=True).over(down)})
+    many = sliced.where(F.col("_slice") > 0).select(key).distinct()    # at most ``parts`` keys
+    if many.isEmpty():
+        return carried.drop("_slice")
+    time = F.when(F.col("_form").isNotNull(), F.col("_time"))
+    edges = sliced.join(F.broadcast(many), key).groupBy(key, "_slice").agg(F.max_by("_form", time).alias("_last"), F.min_by("_form", time).alias("_first"))
+    left = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    right = Window.partitionBy(key).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(key, "_slice", F.last("_last", ignorenulls=True).over(left).alias("_left"),
+                         F.last("_first", ignorenulls=True).over(right).alias("_right"))
+    return carried.join(F.broadcast(edges), [key, "_slice"], "left").withColumns({
+        "_before": F.coalesce("_before", "_left"), "_after": F.coalesce("_after", "_right")}).drop("_slice", "_left", "_right")
 
 
 def nearest_in_time(events: DataFrame, attested: DataFrame, key: str, order: str, spread: str,
-                    window: int | None = fixed.TIME_WINDOW) -> DataFrame:
+                    window: int | None = fixed.TIME_WINDOW, parts: int | None = None) -> DataFrame:
     """Each event with the attested form of its key nearest in time.
 
-    Events carry ``target_time``; without a form in the window the match is null.
+    Events carry ``target_time``; without a form in the window the match is null, as it
+    is for events without a key or time. Of forms of one period the first in ``order``
+    counts, of two equally near ones the earlier.
+
+    A merge: distinct times asked for and forms are sorted together by key and time, and
+    the form before and after each time is carried along. No key is ever one list or one
+    task, however many periods it has. ``spread`` is any column that varies inside a key.
     """
-    joined = lookup(events, attested_forms(attested, key, order), key, spread)
-    out = joined.withColumn("_m", closest_form("forms", F.col("target_time"), window))
-    return out.withColumns({
-        "matched_period": F.col("_m.time_period"),
-        "matched_ipa": F.col("_m.phonetic_representation"),
-    }).drop("forms", "_m")
+    parts = parts or 4 * shuffle_partitions(events.sparkSession)
+    form = F.min(F.struct(F.col(order), F.col("phonetic_representation").alias("ipa")))
+    forms = attested.where(F.col("time_period").isNotNull() & F.col(key).isNotNull()) \
+        .groupBy(key, F.col("time_period").cast("long").alias("_time")).agg(form.alias("f")) \
+        .select(key, "_time", F.lit(0).alias("_asked"), F.struct(F.col("_time").alias("period"), F.col("f.ipa").alias("ipa")).alias("_form"))
+    at = F.struct(F.col(key), F.col("target_time").cast("long").alias("_time"))
+    asked = events.where(F.col("target_time").isNotNull() & F.col(key).isNotNull()).select(at.alias("a")).distinct() \
+        .select("a.*", F.lit(1).alias("_asked"), F.lit(None).cast(forms.schema["_form"].dataType).alias("_form"))
+    carried = _with_neighbours(forms.unionByName(asked), key, parts).where("_asked = 1")
+    since, until = F.col("_time") - F.col("_before.period"), F.col("_after.period") - F.col("_time")
+    near = F.when(F.col("_after").isNull() | (since <= until), F.col("_before")).otherwise(F.col("_after"))
+    if window is not None:
+        near = F.when(F.least(since, until) <= window, near)
+    kind = attested.schema["time_period"].dataType
+    answers = carried.select(F.struct(key, "_time").alias("_at"), near.alias("_m"))
+    out = lookup(events.withColumn("_at", at), answers, "_at", spread, parts=parts)
+    return out.withColumns({"matched_period": F.col("_m.period").cast(kind), "matched_ipa": F.col("_m.ipa")}).drop("_at", "_m")
 
 
 def with_form_at(df: DataFrame, out: str = "ipa", forms: str = "forms", time: str = "target_time") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .ranking import keep_first
+
 
 def column_coverage(df: DataFrame) -> DataFrame:
     """Non-null count and percent of every column, one row per column."""
@@ -31,6 +33,55 @@ def distinct_terms(df: DataFrame, term: str, approximate: bool = False) -> DataF
     return df.agg(count.alias("unique_terms"))
 
 
+def term_sketches(df: DataFrame, term: str, *by: str, precision: int = 14) -> DataFrame:
+    """A sketch of the distinct terms of each group, a few KB however many they are.
+
+    Stored beside each batch, sketches are merged later without reading the terms again.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(term, precision).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """The sketch of all rows behind several sketches: the same one as a sketch of the rows themselves."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_terms(sketches: DataFrame) -> DataFrame:
+    """The estimated number of distinct terms of each sketch."""
+    return sketches.withColumn("unique_terms", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
+_STEPS = ("loaded", "not_empty", "required", "unique")
+
+
+def _steps(counts: dict[str, int]) -> list[tuple[int, str, int, int]]:
+    left = [counts[s] for s in _STEPS]
+    return [(i, s, n, left[max(i - 1, 0)] - n) for i, (s, n) in enumerate(zip(_STEPS, left))]
+
+
+def write_audited(df: DataFrame, path: str, key: str = "original_characters",
+                  some_of: tuple[str, ...] = ("ipa_phoneme", "english_translation"), order: tuple[str, ...] = ()) -> DataFrame:
+    """Clean the rows into a table and report what each step removed, counted by the run that writes.
+
+    The steps are those of ``cleaning_audit``; of rows with one key the first in
+    ``order`` stays. Counts are observed on the plan, so the source is read once. A task
+    that is run again after its result was lost may be counted twice; ``cleaning_audit``
+    of the source is the check.
+    """
+    seen = {s: Observation(s) for s in _STEPS}
+
+    def observed(rows: DataFrame, step: str) -> DataFrame:
+        return rows.observe(seen[step], F.count(F.lit(1)).alias("n"))
+
+    rows = observed(df, "loaded")
+    rows = observed(rows.where(F.coalesce(*[F.col(c).cast("string") for c in df.columns]).isNotNull()), "not_empty")
+    rows = observed(rows.where(F.col(key).isNotNull() & F.coalesce(*[F.col(c) for c in some_of]).isNotNull()), "required")
+    rows = observed(keep_first(rows, [key], list(order or df.columns)), "unique")
+    rows.write.mode("overwrite").parquet(path)
+    counts = {s: o.get["n"] for s, o in seen.items()}
+    return df.sparkSession.createDataFrame(_steps(counts), "step int, stage string, rows_out long, removed long")
+
+
 def cleaning_audit(df: DataFrame, key: str = "original_characters",
                    some_of: tuple[str, ...] = ("ipa_phoneme", "english_translation")) -> DataFrame:
     """Rows left after each cleaning step and rows each step removes."""
@@ -42,11 +93,10 @@ def cleaning_audit(df: DataFrame, key: str = "original_characters",
         F.count_if(required).alias("s2"),
         F.count_distinct(F.when(required, F.col(key))).alias("s3"),
     )
-    names = ["loaded", "not_empty", "required", "unique"]
     steps = F.array(*[
         F.struct(F.lit(i).alias("step"), F.lit(n).alias("stage"), F.col(f"s{i}").alias("rows_out"),
                  (F.col(f"s{max(i - 1, 0)}") - F.col(f"s{i}")).alias("removed"))
-        for i, n in enumerate(names)
+        for i, n in enumerate(_STEPS)
     ])
     return row.select(F.explode(steps).alias("x")).select("x.*")
 

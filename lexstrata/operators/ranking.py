@@ -38,12 +38,45 @@ def first_n(df: DataFrame, n: int | None, *order: str) -> DataFrame:
     return df if n is None else df.orderBy(*order).limit(n)
 
 
+_SORTED = 100_000    # rows of one digest range that are few enough to be cut exactly
+
+
+def _range_with(keyed: DataFrame, n: int, width: int = 3) -> tuple[str, int]:
+    """The digest prefix in whose range the n-th row lies, and how many rows come before that range.
+
+    Ranges are counted, 16^``width`` at a time, and the one with the n-th row is counted
+    on until it is small: no rows are sorted.
+    """
+    prefix, before = "", 0
+    while True:
+        size = len(prefix) + width
+        counts = keyed.where(F.col("_digest").startswith(prefix)).groupBy(F.left("_digest", F.lit(size)).alias("p")).agg(F.count("*").alias("rows"))
+        for r in sorted(counts.collect()):    # at most 16^width rows
+            if before + r["rows"] >= n:
+                break
+            before += r["rows"]
+        prefix = r["p"]
+        if r["rows"] <= _SORTED or size >= 32:
+            return prefix, before
+
+
 def sample_n(df: DataFrame, n: int | None, row_id: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows without replacement, the same ones on every run; 0 and None give all rows."""
+    """Exactly n rows without replacement, the same ones on every run; 0 and None give all rows.
+
+    Rows with the n least digests of their id: a threshold is found by counting digest
+    ranges and cutting one small range, and every task then keeps what is below it.
+    ``row_id`` is unique; fewer rows than n are all given.
+    """
     if not n:
         return df
-    key = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed))))
-    return df.orderBy(key, row_id).limit(n)
+    digest = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed))))
+    keyed = df.select(digest.alias("_digest"), row_id)
+    if keyed.limit(n + 1).count() <= n:
+        return df
+    prefix, before = _range_with(keyed, n)
+    cut = keyed.where(F.col("_digest").startswith(prefix)).orderBy("_digest", row_id).limit(n - before) \
+        .agg(F.max(F.struct("_digest", row_id)).alias("m")).first()["m"]
+    return df.where((digest < cut["_digest"]) | ((digest == cut["_digest"]) & (F.col(row_id).isNull() | (F.col(row_id) <= F.lit(cut[row_id])))))
 
 
 def with_position(df: DataFrame, order: str, out: str = "position", slices: int | None = None) -> DataFrame:

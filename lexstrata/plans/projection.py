@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.neighbours import nearest_with_coverage
+from ..session import land
+
+BROADCAST_BYTES = 32 << 20
+
 
 def reduce_dimensions(df: DataFrame, k: int = 3, vector: str = "vector") -> DataFrame:
     """Add k coordinates (x1..xk) from the principal components.
@@ -24,3 +34,148 @@ def reduce_dimensions(df: DataFrame, k: int = 3, vector: str = "vector") -> Data
         return F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
 
     return df.select("*", *[along(axes[:, i]).alias(n) for i, n in enumerate(names)])
+
+
+def neighbour_graph(vectors: DataFrame, k: int = 15, **search) -> DataFrame:
+    """``a, b, w``: both directions of every link between a row and one of its k nearest, ``w`` scaled by both degrees.
+
+    ``vectors``: (row_id, vector). Links count once however often they are found; rows
+    without a usable vector have none.
+    """
+    near = nearest_with_coverage(vectors.select(F.col("row_id").alias("query_id"), "vector"),
+                                 vectors.select("row_id", F.lit(None).cast("int").alias("time_period"), "vector"), k + 1, (), **search)
+    links = near.where("query_id <> row_id").select(F.col("query_id").cast("long").alias("a"), F.col("row_id").alias("b"))
+    both = land(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    degrees = both.groupBy("a").agg(F.count("*").alias("d"))
+    return land(both.join(degrees, "a").join(degrees.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
+                .select("a", "b", (F.lit(1.0) / F.sqrt(F.col("d") * F.col("e"))).alias("w")), "graph")
+
+
+@dataclass
+class Layout:
+    """Rows with coordinates, the eigenvalues they belong to, how far each is from being an eigenvector, and the steps taken."""
+
+    rows: DataFrame
+    values: list[float]
+    residuals: list[float]
+    steps: int
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """An array column of one length as (row, number)."""
+    column = batch.column(batch.schema.get_field_index(name))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def _products(df: DataFrame, *names: str) -> np.ndarray:
+    """The products of all numbers of these columns with one another, summed over all rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            m = np.concatenate([_matrix(batch, n) for n in names], axis=1)
+            total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([_lists(total.reshape(1, -1))], names=["m"])
+
+    sums = df.select(*names).mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    values = sums.orderBy("i").toArrow().column("v").to_numpy()    # the square of the columns
+    return values.reshape(int(len(values) ** 0.5), -1)
+
+
+def _combined(df: DataFrame, keep: list[str], **weights: dict[str, np.ndarray]) -> DataFrame:
+    """New array columns, each the sum of old ones times a matrix."""
+    names = [f.name for f in df.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = [_lists(sum(_matrix(batch, c) @ m for c, m in parts.items())) for parts in weights.values()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keep], *made], names=[*keep, *weights])
+
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} array<double>" for c in weights]
+    return df.mapInArrow(run, ", ".join(kinds))
+
+
+def _along_links(graph: DataFrame, nodes: DataFrame, column: str, size: int, out: str, broadcast: bool) -> DataFrame:
+    """``a, out``: the numbers of a node's links summed, each times the weight of the link."""
+    sent = nodes.select(F.col("a").alias("b"), F.col(column).alias("sent"))
+    moved = graph.join(F.broadcast(sent) if broadcast else sent, "b").groupBy("a").agg(
+        *[F.sum(F.col("w") * F.get("sent", F.lit(i))).alias(f"s{i}") for i in range(size)])
+    return moved.select("a", F.array(*[f"s{i}" for i in range(size)]).alias(out))
+
+
+def _best_combination(inner: np.ndarray, moved: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of columns with these products among themselves and with their images: the p combinations of greatest eigenvalue."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(inner), 1e-300))
+    sizes, turn = np.linalg.eigh(inner * scale[:, None] * scale)
+    good = sizes > sizes.max() * 1e-12
+    white = scale[:, None] * turn[:, good] / np.sqrt(sizes[good])
+    values, vectors = np.linalg.eigh(white.T @ ((moved + moved.T) / 2) @ white)
+    return values[::-1][:p], (white @ vectors)[:, ::-1][:, :p]
+
+
+def spectral_layout(graph: DataFrame, k: int = 3, extra: int = 5, steps: int = 40, tolerance: float = 1e-4,
+                    broadcast_bytes: int = BROADCAST_BYTES) -> Layout:
+    """Coordinates x1..xk of every node of ``neighbour_graph``: the first k nontrivial eigenvectors of its scaled links.
+
+    Power iteration on k + ``extra`` columns at once, sped up by searching among the
+    columns, their residuals and the last change together. A step joins the residuals to
+    the links and sums over them; the products of the columns, a square of a few dozen,
+    are all that reaches the driver. The trivial eigenvector (the roots of the degrees)
+    is known and kept out. Each step is written and read again. Residuals are broadcast
+    to the links while they fit ``broadcast_bytes``, else joined by node. Ends when the
+    residuals of the first k are below ``tolerance``, or after ``steps``.
+    """
+    nodes = graph.groupBy("a").agg(F.array(F.sqrt(F.count("*"))).alias("root"))
+    p = k + extra
+    # Numbers that depend on the node alone, so that a run can be repeated.
+    start = F.array(*[F.pmod(F.xxhash64("a", F.lit(i)), F.lit(1 << 20)) / float(1 << 20) - 0.5 for i in range(p)])
+    nodes = land(nodes.withColumn("z", start), "layout")
+    n = nodes.count()
+    if n <= 1:
+        return Layout(nodes.select(F.col("a").alias("row_id"), *[F.lit(0.0).alias(f"x{i + 1}") for i in range(k)]), [], [], 0)
+    p = min(p, n - 1)
+    k = min(k, p)
+    broadcast = n * 8 * (p + 1) <= broadcast_bytes
+    m = _products(nodes, "root", "z")
+    volume = m[0, 0]
+    out = np.eye(m.shape[0] - 1)[:, :p]
+    at = _combined(nodes, ["a", "root"], z={"z": out, "root": -(m[:1, 1:] @ out) / volume})
+    both = land(at.join(_along_links(graph, at, "z", p, "sz", broadcast), "a").select("a", "root", "z", "sz"), "layout")
+    own = np.arange(p)    # of the columns those that are the present approximation
+    step = 0
+    while True:
+        m = _products(both, "root", "z", "sz")
+        size = (m.shape[0] - 1) // 2
+        z, sz = slice(1, 1 + size), slice(1 + size, None)
+        values, best = _best_combination(m[z, z], m[z, sz], p)
+        residuals = np.sqrt(np.maximum(np.diag(best.T @ m[sz, sz] @ best) - values ** 2, 0.0))
+        step += 1
+        if step > steps or (residuals[:k] < tolerance).all():
+            break
+        change = best.copy()
+        change[own] = 0.0
+        has_change = step > 1
+        # w: the residuals, without what lies along the trivial eigenvector
+        along = (m[:1, sz] @ best - (m[:1, z] @ best) * values) / volume
+        parts = {"x": {"z": best}, "sx": {"sz": best}, "w": {"sz": best, "z": -best * values, "root": -along}}
+        if has_change:
+            parts |= {"d": {"z": change}, "sd": {"sz": change}}
+        at = _combined(both, ["a", "root"], **parts)
+        moved = _along_links(graph, at, "w", best.shape[1], "sw", broadcast)
+        joined = at.join(moved, "a").select("a", "root", F.concat("x", "w", *["d"] * has_change).alias("z"),
+                                            F.concat("sx", "sw", *["sd"] * has_change).alias("sz"))
+        both, own = land(joined, "layout"), np.arange(best.shape[1])
+    found = _combined(both, ["a"], x={"z": best[:, :k]})
+    rows = found.select(F.col("a").alias("row_id"), *[F.get("x", F.lit(i)).alias(f"x{i + 1}") for i in range(k)])
+    return Layout(rows, [float(v) for v in values[:k]], [float(r) for r in residuals[:k]], step)
+
+
+def neighbour_layout(vectors: DataFrame, k: int = 3, neighbours: int = 15, **settings) -> Layout:
+    """A layout that keeps neighbours together: coordinates from the graph of nearest rows."""
+    return spectral_layout(neighbour_graph(vectors, neighbours), k, **settings)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -13,7 +14,8 @@ from ..operators import quality
 from ..operators.replies import reply_rows
 from ..plans.harvest import harvest
 from ..session import scratch_path
-from ..sources import files, tables
+from ..sources import files, landing, tables
+from ..sources.landing import Store, read_landed
 from ..streaming import incremental as inc
 from .relational import BLANK, REPLY_FIELDS, TRIM
 from .views import query, table, view, with_views
@@ -436,6 +438,45 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/out").drop("batch_id")
 
 
+@query("stm1_broken_run", f"""select doc_id, lang, trim(text, {TRIM}) as text, 3::bigint as kept_points from documents""")
+def _(spark, sf):
+    """A run that breaks off inside its third batch and is started anew: all rows once, the last progress points on disk."""
+    path = scratch_path(spark, "stm1b")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs.repartitionByRange(8, "doc_id").write.parquet(f"{path}/in")
+
+    def start(breaks_in: int | None) -> None:
+        seen = iter(range(100))
+
+        def step(batch):
+            return cl.strip_strings(batch).where(F.raise_error(F.lit("broken off")).isNull() if next(seen) == breaks_in else F.lit(True))
+
+        inc.run_increments(spark, f"{path}/in", docs.schema, step, f"{path}/out", f"{path}/progress", files_per_batch=1)
+
+    try:
+        start(2)
+    except StreamingQueryException:
+        start(None)
+    points = Store(spark, path).names(f"{path}/progress/commits")
+    return read_landed(spark, f"{path}/out", docs.schema).drop("batch_id") \
+        .withColumn("kept_points", F.lit(sum(n.isdigit() for n in points)).cast("long"))
+
+
+@query("stm2_emptied_batch", """select doc_id, lang, cast(case when doc_id % 2 = 0 then 1 else 4 end as bigint) as batch_id from documents
+    where doc_id % 2 = 0 or doc_id % 5 = 0""")
+def _(spark, sf):
+    """Batches landed again replace themselves in both sinks, with fewer rows, other sinks or none."""
+    path = scratch_path(spark, "stm2e")
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    sinks = {"rows": f"{path}/rows", "failed": f"{path}/failed"}
+    even, fifth = F.col("doc_id") % 2 == 0, F.col("doc_id") % 5 == 0
+    for batch_id, rows, failed in ((1, even, fifth), (2, ~even, fifth), (4, ~even, ~even), (2, F.lit(False), fifth),
+                                   (1, even, F.lit(False)), (4, ~even & fifth, F.lit(True))):
+        landing.land_batch_once(docs.where(rows), sinks["rows"], batch_id, sinks, F.when(failed, "failed").otherwise("rows"))
+    parts = [read_landed(spark, p, docs.schema, sinks["rows"]) for p in sinks.values()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("stm2_incremental_landing", with_views("raw", f", {MINED_SQL} select * from found"))
 def _(spark, sf):
     path = scratch_path(spark, "stm2")

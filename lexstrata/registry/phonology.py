@@ -8,7 +8,7 @@ from .. import fixed
 from ..functions import phonetics as ph
 from ..functions.vectors import cosine_similarity
 from ..operators import cleaning as cl
-from ..operators import enrichment, joins, neighbours, pooling, prediction, ranking
+from ..operators import approximate, enrichment, joins, neighbours, pooling, prediction, ranking
 from ..operators.replies import batch_bodies, batch_entries
 from ..plans import consolidation, harvest, projection
 from ..plans import prediction as plan
@@ -152,6 +152,37 @@ def _(spark, sf):
                                          F.round("distance", 6).alias("distance"))
 
 
+@query("win1_pivot_groups", with_views("vectors", f""", {VEC}, {SELF}, {near_sql('q')}
+    select query_id, rank, row_id, time_period, round(distance, 6) as distance from near"""))
+def _(spark, sf):
+    """Neither side within the budget: rows and queries meet by pivot groups, and nothing is lost."""
+    return _nearest(spark, sf, budget=0).select("query_id", "rank", "row_id", "time_period", F.round("distance", 6).alias("distance"))
+
+
+def _approximate(spark, sf):
+    vectors = view(spark, sf, "vectors").select("row_id", "vector")
+    return vectors, approximate.approximate_neighbours(_queries(vectors), vectors)
+
+
+@query("vec10_lsh", with_views("vectors", """select row_id as query_id, least(10, (select count(*) from vectors)) as found,
+    least(10, (select count(*) from vectors)) as with_right_distance from vectors"""))
+def _(spark, sf):
+    """Approximate neighbours of every vector: how many were found, and how many of them at their exact distance."""
+    vectors, near = _approximate(spark, sf)
+    own, other = (vectors.select(F.col("row_id").alias(k), F.col("vector").alias(v)) for k, v in (("query_id", "qv"), ("row_id", "v")))
+    right = F.abs(F.lit(1.0) - cosine_similarity("qv", "v") - F.col("distance")) < 1e-8
+    return near.join(own, "query_id").join(other, "row_id").groupBy("query_id") \
+        .agg(F.count("*").alias("found"), F.count_if(right).alias("with_right_distance"))
+
+
+@query("vec10_recall", with_views("vectors", f""", {VEC}, {SELF}, {near_sql('q', 10, False)}
+    select count(*) as pairs, true as found_nine_of_ten from near"""))
+def _(spark, sf):
+    """Of the pairs of the exact search, at least 0.9 are found."""
+    _, near = _approximate(spark, sf)
+    return approximate.recall(near, _nearest(spark, sf, periods=())).select("pairs", (F.col("recall") >= 0.9).alias("found_nine_of_ten"))
+
+
 @query("flt11_similarity_threshold", with_views("vectors", f""", {VEC}, {SELF}, {near_sql('q')}
     select query_id, row_id, round(1 - distance, 6) as similarity from near where 1 - distance >= 0.3"""))
 def _(spark, sf):
@@ -245,6 +276,38 @@ def _(spark, sf):
                      F.round(total, 3).alias("total_variance"), F.round(F.greatest(*pairs), 6).alias("largest_covariance"))
 
 
+@query("vec9_graph_layout")
+def _(spark, sf):
+    return projection.neighbour_layout(view(spark, sf, "vectors").select("row_id", "vector")).rows
+
+
+@query("vec9_graph_check", """select count(*) as n_rows, i::int as axis, 1.0::double as length, 0.0::double as along_roots, true as settled,
+    0.0::double as along_others from embeddings, (select unnest([1, 2, 3]) as i) group by i""")
+def _(spark, sf):
+    """The layout's axes against its graph: of length one, at right angles to one another and to the trivial axis, and
+    the links move each along itself."""
+    graph = projection.neighbour_graph(view(spark, sf, "vectors").select("row_id", "vector"))
+    rows = projection.spectral_layout(graph).rows.withColumnRenamed("row_id", "a")
+    x, y = ["x1", "x2", "x3"], ["y1", "y2", "y3"]
+    moved = graph.join(rows.withColumnRenamed("a", "b"), "b").groupBy("a").agg(
+        F.sqrt(F.count("*")).alias("root"), *[F.sum(F.col("w") * F.col(c)).alias(d) for c, d in zip(x, y)])
+    both = rows.join(moved, "a")
+
+    def total(f):
+        return F.sum(f)
+
+    axes = []
+    for i, (c, d) in enumerate(zip(x, y)):
+        value = total(F.col(c) * F.col(d))
+        # |Sx - vx|^2 = |Sx|^2 - v^2 for an axis of length one
+        rest = total(F.col(d) * F.col(d)) - value * value
+        others = F.greatest(*[F.abs(total(F.col(c) * F.col(o))) for o in x if o != c])
+        axes.append(F.struct(F.lit(i + 1).alias("axis"), F.round(total(F.col(c) * F.col(c)), 6).alias("length"),
+                             (F.round(F.abs(total(F.col(c) * F.col("root"))), 6) + 0.0).alias("along_roots"), (rest < 1e-6).alias("settled"),
+                             (F.round(others, 6) + 0.0).alias("along_others")))
+    return both.agg(F.count("*").alias("n_rows"), F.array(*axes).alias("axes")).select("n_rows", F.explode("axes").alias("p")).select("n_rows", "p.*")
+
+
 def letter_counts(batches):
     """A stand-in model that SQL can repeat: length and two letter counts."""
     for texts in batches:

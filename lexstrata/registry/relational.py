@@ -12,6 +12,7 @@ from ..operators.extraction import extract_terms
 from ..operators.prediction import nearest_in_time
 from ..operators.replies import batch_bodies, batch_entries, parse_replies
 from ..plans.prediction import validate
+from ..session import land, scratch_path
 from .views import query, table, view, with_views
 
 PERIOD = ("cast(case language when 'US English' then 0 when 'UK English' then -300 when 'Old English' then -1100 "
@@ -279,6 +280,19 @@ def _(spark, sf):
     return quality.distinct_terms(view(spark, sf, "entries"), "original_characters")
 
 
+@query("agg2_sketched_terms", with_views("entries", """select count(distinct original_characters) as exact_terms, true as near,
+    true as merged_is_whole, (select count(distinct floor(row_no / 1000)) from entries) as batches from entries"""))
+def _(spark, sf):
+    """Sketches of batches of rows, stored and merged: within 5 % of the exact count, and the sketch of all rows."""
+    entries = view(spark, sf, "entries").withColumn("batch", F.floor(F.col("row_no") / 1000))
+    stored = land(quality.term_sketches(entries, "original_characters", "batch"), "sketches")
+    merged = quality.sketched_terms(quality.merge_sketches(stored)).select(F.col("unique_terms").alias("merged"))
+    whole = quality.sketched_terms(quality.term_sketches(entries, "original_characters")).scalar()
+    exact = quality.distinct_terms(entries, "original_characters").scalar()
+    return merged.select(exact.alias("exact_terms"), (F.abs(F.col("merged") - exact) <= exact * 0.05).alias("near"),
+                         (F.col("merged") == whole).alias("merged_is_whole"), stored.agg(F.count("*")).scalar().alias("batches"))
+
+
 _RATES = """count(*) as entries, avg(case when ipa_phoneme is not null then 1.0::double else 0 end) * 100
     as ipa_phoneme_rate, avg(case when english_translation is not null then 1.0::double else 0 end) * 100
     as english_translation_rate"""
@@ -296,7 +310,7 @@ def _(spark, sf):
     return quality.success_rates(view(spark, sf, "entries"), ["ipa_phoneme", "english_translation"])
 
 
-@query("agg4_cleaning_audit", with_views("entries", """, s as (select count(*) as a,
+_AUDIT_SQL = with_views("entries", """, s as (select count(*) as a,
     count(case when coalesce(original_characters, ipa_phoneme, english_translation, part_of_speech) is not null
       then 1 end) as b,
     count(case when original_characters is not null and coalesce(ipa_phoneme, english_translation) is not null
@@ -305,7 +319,17 @@ def _(spark, sf):
     from entries)
     select 0::int as step, 'loaded' as stage, a as rows_out, 0::bigint as removed from s
     union all select 1, 'not_empty', b, a - b from s union all select 2, 'required', c, b - c from s
-    union all select 3, 'unique', d, c - d from s"""))
+    union all select 3, 'unique', d, c - d from s""")
+
+
+@query("agg4_observed_audit", _AUDIT_SQL)
+def _(spark, sf):
+    """The same counts, taken by the run that writes the cleaned table."""
+    entries = cl.canonical_columns(view(spark, sf, "entries"))
+    return quality.write_audited(entries, scratch_path(spark, "agg4"))
+
+
+@query("agg4_cleaning_audit", _AUDIT_SQL)
 def _(spark, sf):
     return quality.cleaning_audit(cl.canonical_columns(view(spark, sf, "entries")))
 
@@ -377,6 +401,13 @@ def _(spark, sf):
     return ranking.sample_n(table(spark, sf, "documents").select("doc_id", "lang"), 150, "doc_id")
 
 
+@query("srt4_half_sample", """select doc_id, lang from documents order by md5(cast(doc_id as varchar) || ':7'), doc_id
+    limit (select count(*) // 2 from documents)""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return ranking.sample_n(docs, docs.count() // 2, "doc_id", seed=7)
+
+
 # ---- set operations
 
 @query("set1_stack", """select p_name as word, p_type as english_translation, cast(null as double) as weight,

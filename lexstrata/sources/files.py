@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -20,6 +21,8 @@ PAGE_SCHEMA = (
     "revisions: array<struct<slots: struct<main: struct<`*`: string>>>>>>>"
 )
 
+_OPEN = 16    # files whose headers are read at a time
+
 
 def _texts(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -37,13 +40,24 @@ def _csv(spark: SparkSession, multi_line: bool):
 
 
 def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files of each header line. Only the first line of a file leaves its task."""
-    lines = spark.read.text(path).where("_metadata.file_block_start = 0") \
-        .groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("header"))
-    files: dict[tuple[str, ...], list[str]] = {}
-    for r in lines.orderBy("file").collect():    # a row per file
-        files.setdefault(tuple(next(csv.reader([r["header"].lstrip("\ufeff")]))), []).append(unquote(r["file"]))
-    return files
+    """The files of each header line; of every file only the first line is read, some files at a time."""
+    files = sorted(spark.read.text(path).inputFiles())    # a listing, as every read makes
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def first_line(file: str) -> str | None:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8"))
+        try:
+            return lines.readLine()
+        finally:
+            lines.close()
+
+    with ThreadPoolExecutor(_OPEN) as pool:
+        found: dict[tuple[str, ...], list[str]] = {}
+        for file, line in zip(files, pool.map(first_line, files)):
+            if line is not None:
+                found.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]))), []).append(unquote(file))
+    return found
 
 
 def _by_name(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool,

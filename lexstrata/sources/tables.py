@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import first_n, with_chunks
+from .landing import land_batch_once
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -40,14 +42,10 @@ def save_table(df: DataFrame, path: str, raw_path: str | None = None, fmt: str =
 
 
 def land_batch(df: DataFrame, path: str, batch_id: int, language: str) -> None:
-    """Land a raw batch; landing the same batch again replaces it."""
-    stamped = df.withColumns({
-        "language": F.lit(language),
-        "batch_id": F.lit(batch_id).cast("long"),
-        "ingested_at": F.current_timestamp(),
-    })
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("language", "batch_id").parquet(path)
+    """Land a raw batch in one commit; landing the same batch again replaces it, also with no rows."""
+    name = re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda c: f"%{ord(c[0]):02X}", language)    # as Spark names folders
+    place = f"{path}/language={name}"
+    land_batch_once(df.withColumn("ingested_at", F.current_timestamp()), place, batch_id, {"rows": place})
 
 
 def save_chunks(df: DataFrame, path: str, order: str, chunk_rows: int = 10_000) -> None:

@@ -95,6 +95,35 @@ def test_nearest_in_time_with_a_hot_key(spark):
         {(-1100, "/z/", 1500), (None, None, 1500)}
 
 
+def test_nearest_in_time_of_a_key_with_a_million_periods(spark):
+    """One key of a million periods beside small ones; slices of it are stitched by their edges."""
+    long = spark.range(1_000_000).select(F.lit("long").alias("w"), (F.col("id") * 7 - 3_000_000).cast("int").alias("time_period"),
+                                         F.concat(F.lit("/"), F.col("id").cast("string"), F.lit("/")).alias("phonetic_representation"), F.col("id").alias("n"))
+    few = spark.createDataFrame([("few", -10, "/a/", 1), ("few", 10, "/b/", 2), ("few", None, "/c/", 3), (None, 1, "/d/", 4)],
+                                "w string, time_period int, phonetic_representation string, n long")
+    times = spark.range(2000).select(F.lit("long").alias("w"), (F.col("id") * 5003 - 4_000_000).cast("int").alias("target_time"), "id")
+    odd = spark.createDataFrame([("few", 0, -1), ("few", 9, -2), ("few", None, -3), (None, 0, -4), ("none", 0, -5), ("few", -700, -6)],
+                                "w string, target_time int, id long")
+    out = prediction.nearest_in_time(times.unionByName(odd), long.unionByName(few), "w", "n", "id", None, parts=16)
+    got = {r["id"]: (r["matched_period"], r["matched_ipa"]) for r in out.collect()}
+    for i in range(2000):
+        at = i * 5003 - 4_000_000
+        n = min(max(round((at + 3_000_000) / 7), 0), 999_999)
+        assert got[i] == (n * 7 - 3_000_000, f"/{n}/"), at
+    assert [got[-i] for i in range(1, 7)] == [(-10, "/a/"), (10, "/b/"), (None, None), (None, None), (None, None), (-10, "/a/")]
+    near = prediction.nearest_in_time(odd, few, "w", "n", "id", 5)
+    assert {r["id"]: r["matched_period"] for r in near.collect()} == {-1: None, -2: 10, -3: None, -4: None, -5: None, -6: None}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 12])
+def test_slices_without_forms_are_stitched(spark, parts):
+    """Long stretches of targets without a form between them, forms only far apart."""
+    events = spark.range(600).select(F.lit("k").alias("w"), (F.col("id") * 2).cast("int").alias("target_time"), "id")
+    attested = spark.createDataFrame([("k", 3, "/a/", 1), ("k", 1000, "/b/", 2)], "w string, time_period int, phonetic_representation string, n long")
+    out = prediction.nearest_in_time(events, attested, "w", "n", "id", None, parts=parts)
+    assert all(r["matched_period"] == (3 if r["target_time"] < 502 else 1000) for r in out.collect())
+
+
 def _lexicon(spark):
     return spark.createDataFrame([
         (0, "ped", -5000, "/p/", [1.0, 0.0]), (1, "fot", -1100, "/t/", [0.8, 0.6]), (2, "foot", 0, "/i/", [0.6, 0.8]),
