@@ -17,9 +17,10 @@ none added.
 
 Before each shuffle a task joins what it has itself: of equal anchors or windows it
 sends one and marks it, so one that stands in a third of all texts costs a row per
-batch. Ids are unique integers; texts move only for documents with a shared anchor.
+batch. Texts move only for documents with a shared anchor.
 
-Defined results: a null text has no words; texts of fewer than ``WINDOW`` words keep
+Defined results: ids need not be unique, rows are told apart by id and text (an equal
+row is judged alike); a null text has no words; texts of fewer than ``WINDOW`` words keep
 all; a row given twice stands elsewhere for itself; a row without an id keeps its
 words and covers none; an empty table gives no rows; other columns are ignored.
 """
@@ -46,8 +47,10 @@ BEFORE = RUN + 1 + (ROUNDS - 1) * SYMBOL     # words before a place that decide
 AFTER = BEFORE + SYMBOL                      # words from a place on that decide the symbol that starts there
 BROADCAST_IDS = 1_000_000
 _ID = pa.int64()
-_ENTRY = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("id", "<i8"), ("start", "<i4"), ("marked", "<i4")])
-_START = np.dtype([("id", "<i8"), ("start", "<i4")])
+MARKED = -1    # in place of a start: one of several equal windows of a batch
+PART_BYTES = 64 << 20    # of text, for each part
+_ENTRY = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("id", "<i8"), ("row", "<i8"), ("start", "<i4")])
+_START = np.dtype([("id", "<i8"), ("row", "<i8"), ("start", "<i4")])
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -186,46 +189,46 @@ def _first_of_each(values: list[np.ndarray]) -> np.ndarray:
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """``deal, id, key, kind`` of ``id, text``: 0 an anchor, 1 one of several equal in the batch, 2 an anchor known to repeat."""
-    names = ["deal", "id", "key", "kind"]
+    """``deal, id, row, key, kind`` of ``id, row, text``: 0 an anchor, 1 one of several equal in the batch, 2 an anchor known to repeat."""
+    names = ["deal", "id", "row", "key", "kind"]
 
     def run(state, rows: pa.RecordBatch) -> pa.RecordBatch:
         reader, powers = state
-        ids, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        own = rows.column(0).to_numpy(zero_copy_only=False)
-        for block in reader.blocks(rows.column(1)):
+        texts, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for block in reader.blocks(rows.column(2)):
             at, key = _Windows(block, powers).anchors()
-            ids.append(own[block.first + at])
+            texts.append(block.first + at)
             keys.append(key)
-        ids, keys = np.concatenate(ids).astype(np.int64), np.concatenate(keys)
+        texts, keys = np.concatenate(texts), np.concatenate(keys)
+        ids, own = (rows.column(i).to_numpy()[texts] for i in range(2))
         known = _repeated([keys], np.zeros(len(keys), bool))
         again = np.flatnonzero(known)
         sent = again[_first_of_each([keys[again]])] if len(again) else again
         single = np.flatnonzero(~known)
-        told = again[_first_of_each([ids[again].view(np.uint64), keys[again]])] if len(again) else again
+        told = again[_first_of_each([ids[again].view(np.uint64), own[again].view(np.uint64), keys[again]])] if len(again) else again
         at = np.concatenate([single, sent, told])
         kind = np.repeat(np.array([0, 1, 2], np.int8), [len(single), len(sent), len(told)])
-        deal = np.where(kind == 2, mix(ids[at].view(np.uint64) ^ keys[at]), keys[at])
-        return pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(ids[at]), pa.array(keys[at].view(np.int64)), pa.array(kind)],
-                                          names=names)
+        deal = np.where(kind == 2, mix(own[at].view(np.uint64) ^ keys[at]), keys[at])
+        return pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(ids[at]), pa.array(own[at]),
+                                           pa.array(keys[at].view(np.int64)), pa.array(kind)], names=names)
 
-    return mapped(docs, run, "deal long, id long, key long, kind tinyint", _state)
+    return mapped(docs, run, "deal long, id long, row long, key long, kind tinyint", _state)
 
 
 def _shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
-    """``id, key`` of the anchors whose surroundings stand more than once."""
+    """``id, row, key`` of the anchors whose surroundings stand more than once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [pa.Table.from_batches([b]) for b in batches]
         if not held:
             return
         table = pa.concat_tables(held)
-        ids, keys, kind = (table[c].to_numpy() for c in ("id", "key", "kind"))
+        ids, own, keys, kind = (table[c].to_numpy() for c in ("id", "row", "key", "kind"))
         found = kind == 2
         judged = np.flatnonzero(~found)
         found[judged] = _repeated([keys[judged]], kind[judged] == 1) & (kind[judged] == 0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(keys[found])], names=["id", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(own[found]), pa.array(keys[found])], names=["id", "row", "key"])
 
-    return rows.repartition(parts, "deal").mapInArrow(run, "id long, key long")
+    return rows.repartition(parts, "deal").mapInArrow(run, "id long, row long, key long")
 
 
 def _dealt(part: np.ndarray, values: np.ndarray) -> tuple[list, list]:
@@ -236,26 +239,25 @@ def _dealt(part: np.ndarray, values: np.ndarray) -> tuple[list, list]:
     return part[first].tolist(), [values[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(part)))]
 
 
-def _by_id(ids: np.ndarray, starts: np.ndarray, parts: int) -> tuple[list, list]:
-    """Window starts dealt by the id of their document."""
+def _by_row(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, parts: int) -> tuple[list, list]:
+    """Window starts dealt by their row."""
     values = np.empty(len(ids), _START)
-    values["id"], values["start"] = ids, starts
-    return _dealt((mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64), values)
+    values["id"], values["row"], values["start"] = ids, rows, starts
+    return _dealt((mix(rows.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64), values)
 
 
 def _window_rows(docs: DataFrame, parts: int) -> DataFrame:
-    """``part, known, windows`` of ``id, text, keys``: windows with a shared anchor, dealt by their digests.
+    """``part, known, windows`` of ``id, row, text, keys``: windows with a shared anchor, dealt by their digests.
 
-    Windows that repeat within the batch are known, and dealt by their document.
+    Windows that repeat within the batch are known, and dealt by their row.
     """
     names = ["part", "known", "windows"]
 
     def run(state, rows: pa.RecordBatch) -> pa.RecordBatch:
         reader, powers = state
-        own = rows.column(0).to_numpy()
-        lists = rows.column(2)
-        ids, starts, w1, w2 = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for block in reader.blocks(rows.column(1)):
+        lists = rows.column(3)
+        texts, starts, w1, w2 = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for block in reader.blocks(rows.column(2)):
             windows = _Windows(block, powers)
             keys = windows.keys(np.arange(len(windows.anchor)))
             held = []
@@ -265,19 +267,21 @@ def _window_rows(docs: DataFrame, parts: int) -> DataFrame:
                 held.append(cuts[d] + np.flatnonzero(np.isin(keys[cuts[d]:cuts[d + 1]], shared)))
             at = np.concatenate(held)
             one, two = windows.digests(at)
-            ids.append(own[block.first + windows.docs[at]])
+            texts.append(block.first + windows.docs[at])
             starts.append(windows.starts[at] - block.bounds[windows.docs[at]])
             w1.append(one)
             w2.append(two)
-        ids, starts, w1, w2 = (np.concatenate(x) for x in (ids, starts, w1, w2))
+        texts, starts, w1, w2 = (np.concatenate(x) for x in (texts, starts, w1, w2))
+        ids, own = (rows.column(i).to_numpy()[texts] for i in range(2))
         known = _repeated([w1, w2], np.zeros(len(w1), bool))
         again = np.flatnonzero(known)
         sent = again[_first_of_each([w1[again], w2[again]])] if len(again) else again
         at = np.concatenate([np.flatnonzero(~known), sent])
         values = np.empty(len(at), _ENTRY)
-        values["w1"], values["w2"], values["id"], values["start"], values["marked"] = w1[at], w2[at], ids[at], starts[at], known[at]
+        values["w1"], values["w2"], values["id"], values["row"] = w1[at], w2[at], ids[at], own[at]
+        values["start"] = np.where(known[at], MARKED, starts[at])
         part, data = _dealt((w1[at] % np.uint64(parts)).astype(np.int64), values)
-        known_part, known_data = _by_id(ids[again], starts[again], parts)
+        known_part, known_data = _by_row(ids[again], own[again], starts[again], parts)
         return pa.RecordBatch.from_arrays(
             [pa.array(part + known_part, pa.int32()), pa.array([False] * len(part) + [True] * len(known_part)),
              pa.array(data + known_data, pa.binary())], names=names)
@@ -286,7 +290,7 @@ def _window_rows(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _repeated_windows(rows: DataFrame, parts: int) -> DataFrame:
-    """``id, starts`` of the windows that stand more than once, one row per document."""
+    """``id, row, starts`` of the windows that stand more than once, one row per text."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = []
         for batch in batches:
@@ -295,21 +299,23 @@ def _repeated_windows(rows: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([told.column(0), told.column(2)], names=["part", "starts"])
             values += batch.filter(pc.invert(known)).column(2).to_pylist()
         value = np.frombuffer(b"".join(values), _ENTRY)
-        marked = value["marked"] == 1
+        marked = value["start"] == MARKED
         found = value[_repeated([value["w1"], value["w2"]], marked) & ~marked]
-        part, data = _by_id(found["id"], found["start"], parts)
+        part, data = _by_row(found["id"], found["row"], found["start"], parts)
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["part", "starts"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), _START)
-        value = value[np.argsort(value["id"], kind="stable")]
-        ids, starts = value["id"], np.ascontiguousarray(value["start"])
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, np.int64)
+        value = value[np.lexsort((value["row"], value["id"]))]
+        ids, own, starts = value["id"], value["row"], np.ascontiguousarray(value["start"])
+        new = (ids[1:] != ids[:-1]) | (own[1:] != own[:-1])
+        first = np.flatnonzero(np.concatenate([[True], new])) if len(ids) else np.empty(0, np.int64)
         lists = [starts[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(ids)))]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first], _ID), pa.array(lists, pa.binary())], names=["id", "starts"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first], _ID), pa.array(own[first], _ID), pa.array(lists, pa.binary())],
+                                         names=["id", "row", "starts"])
 
     judged = rows.repartition(parts, "part").mapInArrow(judge, "part int, starts binary")
-    return judged.repartition(parts, "part").mapInArrow(gather, "id long, starts binary")
+    return judged.repartition(parts, "part").mapInArrow(gather, "id long, row long, starts binary")
 
 
 def _kept(rows: pa.RecordBatch, reader: WordReader) -> tuple[list, list, list]:
@@ -332,14 +338,15 @@ def _kept(rows: pa.RecordBatch, reader: WordReader) -> tuple[list, list, list]:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """Per row: ``key, n_words, n_removed`` and the kept words joined by a space, or their digest ``kept_sha256``."""
-    parts = shuffle_partitions(docs.sparkSession)
-    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    own = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), size // PART_BYTES)
     shared = _shared_anchors(_anchor_rows(own.where("id is not null")), parts)
-    keys = saved(shared.groupBy("id").agg(F.collect_list("key").alias("keys")))    # a document's own anchors
+    keys = saved(shared.groupBy("id", "row").agg(F.collect_list("key").alias("keys")))    # a text's own anchors
     few = keys.count() <= BROADCAST_IDS
-    ids = F.broadcast(keys.select("id")) if few else keys.select("id")
-    met = own.join(ids, "id", "left_semi")
-    windows = _window_rows(met.join(keys, "id").select("id", "text", "keys"), parts)
+    rows = F.broadcast(keys.select("id", "row")) if few else keys.select("id", "row")
+    met = own.join(rows, ["id", "row"], "left_semi")
+    windows = _window_rows(met.join(keys, ["id", "row"]).select("id", "row", "text", "keys"), parts)
     starts = _repeated_windows(windows, parts)
     column = "kept_sha256" if digest else "kept"
 
@@ -350,7 +357,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
                                           names=["id", "n_words", "n_removed", column])
 
     schema = f"id long, n_words long, n_removed long, {column} string"
-    cut = mapped(met.join(starts, "id", "left").select("id", "text", F.coalesce("starts", F.lit(b"")).alias("starts")),
+    cut = mapped(met.join(starts, ["id", "row"], "left").select("id", "text", F.coalesce("starts", F.lit(b"")).alias("starts")),
                  run, schema, lambda: WordReader(SPACE))
-    rest = mapped(own.join(ids, "id", "left_anti"), run, schema, lambda: WordReader(SPACE))
+    rest = mapped(own.join(rows, ["id", "row"], "left_anti").select("id", "text"), run, schema, lambda: WordReader(SPACE))
     return cut.unionByName(rest).withColumnRenamed("id", key)

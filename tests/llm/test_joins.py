@@ -118,6 +118,17 @@ def test_repeats(spark, seed, parts):
     assert [(i, n, kept) for i, n, _, kept in got] == brute.repeats(rows)
 
 
+def test_repeats_of_one_id_with_several_texts(spark):
+    """Rows of one id are judged each by its own text, short and long ones."""
+    rng = random.Random(12)
+    shared, own = _words(rng, 60), _words(rng, 400)
+    rows = [(1, shared), (1, shared[:4]), (2, _words(rng, 3) + shared), (3, own), (3, own[100:160] + _words(rng, 5)), (3, _words(rng, 50)),
+            (3, shared[:34]), (4, own[:40])]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    got = sorted(tuple(r)[:2] + (r[3],) for r in repeats.remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted(brute.repeats(rows))
+
+
 def test_equal_windows_have_equal_anchors():
     """Whatever stands around a window, its anchor is the same."""
     rng = random.Random(9)
