@@ -338,7 +338,7 @@ def _kept(rows: pa.RecordBatch, reader: WordReader) -> tuple[list, list, list]:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """Per row: ``key, n_words, n_removed`` and the kept words joined by a space, or their digest ``kept_sha256``."""
-    own = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
+    own = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("row"), F.col(text).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), size // PART_BYTES)
     shared = _shared_anchors(_anchor_rows(own.where("id is not null")), parts)
