@@ -2,8 +2,9 @@
 
 Distinct vectors are dealt into shards of about ``SHARD_ROWS`` by hash. Each shard
 becomes one row: its vectors and, per layer, the nodes and their neighbours as one
-flat array. Queries visit every shard of their length, in blocks; a shard answers
-with its nearest, and the answers are merged by distance. Distances are Euclidean,
+flat array. Queries visit every shard of their length: a task reads its shard's graph
+once and answers the queries that stream by behind it, so an index is never copied.
+A shard answers with its nearest, and the answers are merged by distance. Distances are Euclidean,
 in double precision, on the vectors as given.
 
 Equal vectors are one node that carries its ``k + 1`` smallest ids, enough for any
@@ -21,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import saved
+from .words import bounded_batches
 
 K = 10
 SHARD_ROWS = 4000
-QUERY_BLOCK = 4096
 LINKS = 16             # neighbours of a new node; twice as many are kept in the lowest layer
 BUILD_WIDTH = 64       # nodes held while a new node is placed
 SEARCH_WIDTH = 160     # nodes held while a query is answered
@@ -198,31 +200,35 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     index = saved(build_index(nodes, shards))
     asked = vectors.where(queries).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")) \
         .where(_usable(F.col("v")) & F.col("query_id").isNotNull()).dropDuplicates(["query_id", "v"])
-    asked = saved(asked)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.select("query_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    asked = saved(asked).select("query_id", "v", F.size("v").alias("dim"))
     sent = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    copies = index.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    # A shard's graph goes to one task, before its queries; only queries are copied.
+    both = index.unionByName(sent, allowMissingColumns=True).repartition(shards, "shard") \
+        .sortWithinPartitions("shard", "dim", F.asc_nulls_first("query_id"))
+    bounded_batches(both.sparkSession)
     names = ["query_id", "vec_id", "score"]
 
-    def answer(key, left, right):
-        out: list[list] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            row = right.to_pylist()[0]
-            graph = read_graph(row)
-            ids = row["ids"]
-            points = left["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, row["dim"])
-            for query, point in zip(left["query_id"].to_pylist(), points):
-                found = graph.nearest(point, width)
-                score = np.sqrt(graph.distances(point, found))
-                near = sorted((s, i) for s, n in zip(score.tolist(), found.tolist()) for i in ids[n] if i != query)[:k]
-                out[0] += [query] * len(near)
-                out[1] += [i for _, i in near]
-                out[2] += [s for s, _ in near]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=names)
-
-    by = ["shard", "block", "dim"]
-    found = sent.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(answer, "query_id long, vec_id long, score double")
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, ids, at = None, [], None
+        for batch in batches:
+            of = list(zip(batch["shard"].to_pylist(), batch["dim"].to_pylist()))
+            asking, points = batch["query_id"].to_pylist(), batch["v"]
+            out: list[list] = [[], [], []]
+            for i, query in enumerate(asking):
+                if query is None:
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    graph, ids, at = read_graph(row), row["ids"], of[i]
+                elif of[i] == at:    # else the shard has no vector of this length
+                    point = points[i].values.to_numpy(zero_copy_only=False)
+                    found = graph.nearest(point, width)
+                    score = np.sqrt(graph.distances(point, found))
+                    near = sorted((s, n) for s, m in zip(score.tolist(), found.tolist()) for n in ids[m] if n != query)[:k]
+                    out[0] += [query] * len(near)
+                    out[1] += [n for _, n in near]
+                    out[2] += [s for s, _ in near]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=names)
+
+    found = both.mapInArrow(answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

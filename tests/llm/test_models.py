@@ -305,3 +305,22 @@ def test_odd_vectors_and_equal_ones(spark):
     assert got[0] == [(5, 1.0), *[(i, 1.0) for i in range(101, 110)]]
     assert [i for i, _ in got[110]] == [*range(101, 110), 111] and [s for _, s in got[110]] == [0.0] * 10
     assert _answers(df.limit(0)) == {}
+
+
+def test_recall_over_full_shards(spark):
+    """Five shards of the production size, in clusters and without, the query itself left out."""
+    rng = np.random.default_rng(21)
+    grouped = rng.normal(size=(200, 64))[rng.integers(0, 200, 10_000)] + 0.2 * rng.normal(size=(10_000, 64))
+    vectors = np.concatenate([grouped, rng.normal(size=(10_000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(8)
+    by = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(by) == 200
+    hits = 0
+    for q, found in by.items():
+        far = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(found & set(np.argsort(far)[:10].tolist()))
+    print("recall", hits / 2000)
+    assert hits / 2000 >= 0.95
