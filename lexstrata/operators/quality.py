@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .ranking import keep_first
+from .ranking import keep_smallest
 
 
 def column_coverage(df: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def write_audited(df: DataFrame, path: str, key: str = "original_characters",
                   some_of: tuple[str, ...] = ("ipa_phoneme", "english_translation"), order: tuple[str, ...] = ()) -> DataFrame:
     """Clean the rows into a table and report what each step removed, counted by the run that writes.
 
-    The steps are those of ``cleaning_audit``; of rows with one key the first in
+    The steps are those of ``cleaning_audit``; of rows with one key the smallest by
     ``order`` stays. Counts are observed on the plan, so the source is read once. A task
     that is run again after its result was lost may be counted twice; ``cleaning_audit``
     of the source is the check.
@@ -76,7 +76,7 @@ def write_audited(df: DataFrame, path: str, key: str = "original_characters",
     rows = observed(df, "loaded")
     rows = observed(rows.where(F.coalesce(*[F.col(c).cast("string") for c in df.columns]).isNotNull()), "not_empty")
     rows = observed(rows.where(F.col(key).isNotNull() & F.coalesce(*[F.col(c) for c in some_of]).isNotNull()), "required")
-    rows = observed(keep_first(rows, [key], list(order or df.columns)), "unique")
+    rows = observed(keep_smallest(rows, [key], list(order or df.columns)), "unique")
     rows.write.mode("overwrite").parquet(path)
     counts = {s: o.get["n"] for s, o in seen.items()}
     return df.sparkSession.createDataFrame(_steps(counts), "step int, stage string, rows_out long, removed long")

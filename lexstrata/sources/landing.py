@@ -128,17 +128,23 @@ def land_batch_once(df: DataFrame, place: str, batch_id: int, sinks: dict[str, s
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, place: str | None = None) -> DataFrame:
-    """The rows of one sink with their ``batch_id``, by the commits: whole batches only, moved or not."""
+    """The rows of one sink with their ``batch_id``, by the commits: whole batches only, moved or not.
+
+    All moved batches are one read; only those still waiting to be moved are read by themselves.
+    """
     place = place or path
     store = Store(spark, place)
-    parts = []
+    moved, waiting = [], []
     for batch_id, (_, name) in sorted(_commits(store, place).items()):
         commit = json.loads(store.read(f"{place}/_commits/{name}"))
         for sink, shown in commit["sinks"].items():
-            if shown != path or sink in commit["empty"]:
-                continue
-            waiting = f"{place}/_attempts/{commit['attempt']}/_sink={sink}"
-            parts.append((batch_id, waiting if store.exists(waiting) else f"{shown}/batch_id={batch_id}"))
+            if shown == path and sink not in commit["empty"]:
+                written = f"{place}/_attempts/{commit['attempt']}/_sink={sink}"
+                if store.exists(written):
+                    waiting.append((batch_id, written))
+                else:
+                    moved.append(f"{shown}/batch_id={batch_id}")
     whole = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    frames = [spark.read.schema(schema).parquet(p).withColumn("batch_id", F.lit(b).cast("long")) for b, p in parts]
-    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], whole)
+    parts = [spark.read.schema(whole).option("basePath", path).parquet(*moved)] if moved else []
+    parts += [spark.read.schema(schema).parquet(p).withColumn("batch_id", F.lit(b).cast("long")) for b, p in waiting]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], whole)

@@ -116,3 +116,40 @@ def test_size_check_counts_every_column(spark):
     assert collect_if_small(df, 200, "vector", 32).num_rows == 1
     assert collect_if_small(df, 100, "vector", 32) is None     # the word is over
     assert collect_if_small(df, 30, "vector", 32) is None      # the vector is over
+
+
+def _adversarial():
+    """Vectors for which bounds are tight, equal or useless."""
+    rng = np.random.default_rng(12)
+    axes = np.eye(8)
+    ring = np.stack([np.cos(np.arange(60) / 60 * 2 * np.pi), np.sin(np.arange(60) / 60 * 2 * np.pi)] + [np.zeros(60)] * 6, axis=1)
+    return {
+        "all alike": np.tile(np.ones(8), (90, 1)),
+        "axes and their opposites": np.concatenate([axes, -axes] * 6),
+        "a ring of equal steps": ring,
+        "one far group": np.concatenate([np.ones((80, 8)) + 1e-9 * rng.normal(size=(80, 8)), -np.ones((3, 8))]),
+        "no groups": rng.normal(size=(150, 8)),
+        "tight groups": (rng.normal(size=(6, 8))[rng.integers(0, 6, 200)] + 1e-4 * rng.normal(size=(200, 8))) * rng.choice([1e-6, 1.0, 1e6], (200, 1)),
+    }
+
+
+@pytest.mark.parametrize("name", list(_adversarial()))
+def test_pivot_groups_lose_nothing(spark, monkeypatch, name):
+    monkeypatch.setattr(nn, "BLOCK_BYTES", 40 * 64)
+    vectors = _adversarial()[name]
+    periods = [-5000, -1100, -300, 0, 40]
+    rows = [(i, periods[i % 5] if i % 7 else None, [float(x) for x in v], f"w{i}") for i, v in enumerate(vectors)]
+    queries = [(f"q{i}", r[2]) for i, r in enumerate(rows) if i % 3 == 0] + [("far", [-1.0] * 7 + [3.0])]
+    lex = spark.createDataFrame(rows, LEX).repartition(4)
+    qdf = spark.createDataFrame(queries, "query_id string, vector array<double>").repartition(3)
+    assert found(nn.nearest_with_coverage(qdf, lex, 6, budget=0)) == brute(queries, rows, 6)
+    assert found(nn.nearest_with_coverage(qdf, lex, 3, (), budget=0)) == brute(queries, rows, 3, ())
+
+
+def test_groups_that_hold_no_answer_are_skipped(spark):
+    rng = np.random.default_rng(13)
+    vectors = rng.normal(size=(40, 16))[np.arange(4000) % 40] + 0.05 * rng.normal(size=(4000, 16))
+    lex = spark.createDataFrame([(i, None, v.tolist(), "w") for i, v in enumerate(vectors)], LEX).repartition(4)
+    queries = lex.where("row_id % 20 = 0").select(lex["row_id"].alias("query_id"), "vector")
+    share = nn.skipped_share(queries, lex, 10, ()).first()
+    assert share["pairs"] == 4000 * 200 and share["skipped"] > 0.9
