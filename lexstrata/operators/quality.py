@@ -29,8 +29,8 @@ def success_rates(df: DataFrame, columns: list[str], by: list[str] | None = None
 
 
 def distinct_terms(df: DataFrame, term: str, approximate: bool = False) -> DataFrame:
-    count = F.approx_count_distinct(term) if approximate else F.count_distinct(F.col(term))
-    return df.agg(count.alias("unique_terms"))
+    """The number of distinct terms, exact or from a sketch."""
+    return sketched_terms(term_sketches(df, term)) if approximate else df.agg(F.count_distinct(F.col(term)).alias("unique_terms"))
 
 
 def term_sketches(df: DataFrame, term: str, *by: str, precision: int = 14) -> DataFrame:

@@ -93,12 +93,15 @@ def _publish(store: Store, place: str, batch_id: int, commit: dict) -> None:
 def settle(spark: SparkSession, place: str) -> None:
     """Finish batches that were committed but not wholly moved; drop attempts that never were committed."""
     store = Store(spark, place)
+    attempts = store.names(f"{place}/_attempts")
+    if not attempts:    # all is settled, however many batches there are
+        return
     known = set()
     for batch_id, (_, name) in sorted(_commits(store, place).items()):
         commit = json.loads(store.read(f"{place}/_commits/{name}"))
         known.add(commit["attempt"])
         _publish(store, place, batch_id, commit)
-    for attempt in store.names(f"{place}/_attempts"):
+    for attempt in attempts:
         if attempt not in known:
             store.delete(f"{place}/_attempts/{attempt}")
 
