@@ -1,8 +1,11 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set holds its distinct shingles of five words. In each size band
-(sizes ``L`` to ``4 L``) a set is sketched: every shingle flips one bit of one chunk,
-so two sketches differ in no more chunks than the sets differ in shingles. Sets
+(sizes ``L`` to ``4 L``) a set is sketched in chunks: a chunk is the XOR of the digests
+of its shingles, compared whole, so two sketches differ in no more chunks than the sets
+differ in shingles. In bands below ``SMALL`` shingles a chunk is one shingle, which is a
+prefix join without XOR: a chunk of several would differ for nearly every shingle that
+does, and the few chunks left would tell little. Sets
 that reach the similarity differ in at most ``d`` shingles, with ``d`` known from the
 sizes; so of the chunks that hold a bit, in one fixed order, the first ``d + 1 + s``
 of both share at least ``s + 1``. Those chunks are the join key; pairs that share

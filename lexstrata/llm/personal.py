@@ -11,8 +11,11 @@ in some window goes first, a shorter one gives way to the window that holds it w
 
 Windows are read where something may stand (``_clues``): digits and ``@``, a run of
 ``LONG_RUN`` characters without a space, a value of ``LONG_VALUE`` after ``=`` or
-``:``, an address with its signs spelled out. This only saves reading: decoding
-admits any span in a window that is read.
+``:``, an address with its signs spelled out. Decoding admits any span in a window that
+is read, but what stands in a window without a clue is not found, however sure the
+network would be: a secret of letters of up to ``LONG_RUN`` characters that follows no
+``=`` or ``:``, a name, an address spelled out in other ways. Learned spans below
+``SHORTEST`` characters are dropped. Training lines are cut at 400 characters.
 
 Base patterns always stay. A learned span is added where it meets no base span, is
 sure enough, and keeps the kind's own rule (card check digit, address parts, number
