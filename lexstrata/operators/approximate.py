@@ -20,13 +20,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import _Best, _dimension, _unit_rows
+from .. import fixed
+from .neighbours import _Best, _dimension, _rank, _unit_rows
 
 TABLES = 16
 BUCKET_ROWS = 512
@@ -146,6 +148,21 @@ def approximate_neighbours(queries: DataFrame, lexicon: DataFrame, top_n: int =
     return ranked.select("query_id", "rank", "row_id", "distance", (F.lit(1.0) - F.col("distance")).alias("similarity"))
 
 
+def approximate_with_coverage(queries: DataFrame, lexicon: DataFrame, top_n: int = 10, periods: tuple[int, ...] = fixed.ANCHOR_PERIODS,
+                              keep: tuple[str, ...] = (), dim: int | None = None, **settings) -> DataFrame:
+    """As ``nearest_with_coverage``, from buckets: each anchor period is searched by itself too, so it is covered.
+
+    A period of few rows has no planes and is searched whole, so a rare period is never missed.
+    """
+    rows = lexicon.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("time_period").cast("int").alias("time_period"), "vector", *keep)
+    dim = dim or _dimension(rows)
+    found = [approximate_neighbours(queries, rows, top_n + len(periods), dim=dim, **settings)]
+    found += [approximate_neighbours(queries, rows.where(F.col("time_period") == p), 1, dim=dim, **settings) for p in periods]
+    near = reduce(DataFrame.unionByName, [f.select("query_id", "row_id", "distance") for f in found]).distinct()
+    ranked = _rank(near.join(rows.drop("vector"), "row_id"), top_n, periods)
+    return ranked.select("query_id", "rank", "row_id", "time_period", "distance", (F.lit(1.0) - F.col("distance")).alias("similarity"), *keep)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: pairs of the exact answer, and the share of them that was found."""
     hits = exact.select("query_id", "row_id").join(found.select("query_id", "row_id", F.lit(1).alias("hit")), ["query_id", "row_id"], "left")

@@ -44,9 +44,12 @@ def vocabulary(token_rows: DataFrame) -> DataFrame:
     return token_rows.groupBy("word").agg(F.collect_set("time_period").alias("times"))
 
 
-def word_neighbours(word_vectors: DataFrame, lexicon: DataFrame, top_n: int = 10, **search) -> DataFrame:
+def word_neighbours(word_vectors: DataFrame, lexicon: DataFrame, top_n: int = 10, nearest=nn.nearest_with_coverage, **search) -> DataFrame:
     """The ranked neighbours of each word, with their lexicon columns, as ``forms``.
 
+    ``nearest`` is the search: the exact one, or ``approximate.approximate_with_coverage``
+    where a lexicon is too large to be read for every word.
+
     ``word_vectors``: (word, vector, ...), one row per word; its other columns are
     handed through. ``lexicon``: (row_id, word, time_period,
     phonetic_representation, vector).
@@ -54,7 +57,7 @@ def word_neighbours(word_vectors: DataFrame, lexicon: DataFrame, top_n: int = 10
     ids = [c for c in word_vectors.columns if c != "vector"]
     queries = word_vectors.select(F.struct(*ids).alias("query_id"), "vector")
     named = lexicon.withColumnRenamed("word", "form")
-    near = nn.nearest_with_coverage(queries, named, top_n, keep=("form", "phonetic_representation"), **search)
+    near = nearest(queries, named, top_n, keep=("form", "phonetic_representation"), **search)
     return collect_forms(near.drop("similarity")).select("query_id.*", "forms")
 
 
@@ -172,7 +175,7 @@ def predict_requests(requests: DataFrame, lexicon: DataFrame, word_vectors, top_
     ``word_vectors`` is a function that adds a ``vector`` to a table with a ``word``
     column of distinct words. Every distinct word is searched once, every distinct
     (word, time) predicted once. The checked requests and their words are landed,
-    as several branches read them.
+    as several branches read them. ``search`` goes to ``word_neighbours``.
     """
     for name in ("dialect_text", "dialect_ipa"):
         if name not in requests.columns:

@@ -183,6 +183,18 @@ def _(spark, sf):
     return approximate.recall(near, _nearest(spark, sf, periods=())).select("pairs", (F.col("recall") >= 0.9).alias("found_nine_of_ten"))
 
 
+@query("vec10_coverage", with_views("vectors", f""", {VEC}, {SELF}, {near_sql('q')},
+    first as (select query_id, time_period from near where anchor) select query_id, count(*) as periods_covered, true as nine_of_ten from first
+    group by query_id"""))
+def _(spark, sf):
+    """Approximate neighbours with each anchor period covered, and whether nine of ten rows of the exact answer are among all found."""
+    vectors = view(spark, sf, "vectors")
+    near = approximate.approximate_with_coverage(_queries(vectors), vectors)
+    share = approximate.recall(near, _nearest(spark, sf)).select("recall").scalar()
+    return near.groupBy("query_id").agg(F.count_distinct(F.when(F.col("time_period").isin(*fixed.ANCHOR_PERIODS), F.col("time_period")))
+                                        .alias("periods_covered")).withColumn("nine_of_ten", share >= 0.9)
+
+
 @query("flt11_similarity_threshold", with_views("vectors", f""", {VEC}, {SELF}, {near_sql('q')}
     select query_id, row_id, round(1 - distance, 6) as similarity from near where 1 - distance >= 0.3"""))
 def _(spark, sf):

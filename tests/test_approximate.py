@@ -5,6 +5,7 @@ import pytest
 
 from lexstrata.operators import approximate as ap
 from lexstrata.operators import neighbours as nn
+from lexstrata.plans.prediction import word_neighbours
 
 VECTORS = "row_id long, vector array<double>"
 
@@ -78,3 +79,17 @@ def test_odd_vectors(spark):
     assert found.count() == 42 * 42    # fewer rows than asked for: all are found
     none = spark.createDataFrame([], VECTORS)
     assert ap.approximate_neighbours(_queries(none), none).count() == 0
+
+
+def test_coverage_in_place_of_the_exact_search(spark):
+    """With few rows all are found: the answer is that of the exact search, also as the search of a prediction."""
+    rng = np.random.default_rng(8)
+    periods = [-5000, -1100, -300, 0, 40]
+    lexicon = spark.createDataFrame([(i, f"w{i}", periods[0 if i == 17 else 1 + i % 4], f"/{i}/", rng.normal(size=6).tolist()) for i in range(120)],
+                                    "row_id long, word string, time_period int, phonetic_representation string, vector array<double>")
+    queries = lexicon.where("row_id % 7 = 0").select(lexicon["row_id"].alias("query_id"), "vector")
+    exact = nn.nearest_with_coverage(queries, lexicon, 6, keep=("word",))
+    near = ap.approximate_with_coverage(queries, lexicon, 6, keep=("word",))
+    assert near.columns == exact.columns and sorted(near.collect()) == sorted(exact.collect())
+    words = lexicon.where("row_id < 5").select("word", "vector")
+    assert sorted(word_neighbours(words, lexicon, 6, nearest=ap.approximate_with_coverage).collect()) == sorted(word_neighbours(words, lexicon, 6).collect())

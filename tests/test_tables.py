@@ -359,3 +359,16 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     tables.land_batch(spark.range(5), str(tmp_path / "l"), 2, "latin")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 5
     assert spark.read.parquet(str(tmp_path / "l")).count() == 10
+
+
+def test_headers_are_read_without_a_job(spark, tmp_path):
+    """Only first lines are read: a body that is no text at all does not matter, and no task runs."""
+    for i, head in enumerate(["word,language", "\ufeffword,language\r", '"lang, uage",word', "word,language"]):
+        (tmp_path / f"{i} a+b.csv").write_bytes((head + "\n").encode() + b"\xff\xfe\n" * 1000)
+    (tmp_path / "empty.csv").write_bytes(b"")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    found = files._headers(spark, str(tmp_path))
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("headers") in ([], ())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {k: sorted(n.rsplit("/", 1)[1] for n in v) for k, v in found.items()} == {
+        ("word", "language"): ["0 a+b.csv", "1 a+b.csv", "3 a+b.csv"], ("lang, uage", "word"): ["2 a+b.csv"]}
