@@ -31,7 +31,7 @@ from .. import fixed
 from .neighbours import _Best, _dimension, _rank, _unit_rows
 
 TABLES = 16
-BUCKET_ROWS = 512
+BUCKET_ROWS = 1024
 HOT = 4                  # times ``bucket_rows`` at which a bucket is cut
 FURTHER = 24             # planes kept ready for hot buckets
 SLICE_ROWS = 20_000      # of one side that meet in a task
@@ -112,7 +112,7 @@ def _sliced(asked: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def approximate_neighbours(queries: DataFrame, lexicon: DataFrame, top_n: int = 10, tables: int = TABLES,
-                           bucket_rows: int = BUCKET_ROWS, probes: int = 2, seed: int = 0, dim: int | None = None) -> DataFrame:
+                           bucket_rows: int = BUCKET_ROWS, probes: int = 3, seed: int = 0, dim: int | None = None) -> DataFrame:
     """(query_id, rank, row_id, distance, similarity) of rows near each query, nearest first.
 
     ``queries``: (query_id, vector), ``lexicon``: (row_id, vector), a stored table. More

@@ -36,20 +36,20 @@ def _time_slices(points: DataFrame, key: str, parts: int) -> DataFrame:
         .withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_time"))), F.lit(0))).drop("_cuts")
 
 
-def _with_neighbours(points: DataFrame, key: str, parts: int) -> DataFrame:
+def _with_neighbours(points: DataFrame, key: str, parts: int, hot: bool) -> DataFrame:
     """Points ``key, _time, _form`` with the last form up to their time and the first one from it on.
 
     Both are carried along the sorted points of a slice. Slices of one key are stitched
     by their edges: what no form of the own slice answers, the nearest slice with a form does.
     """
-    sliced = _time_slices(points, key, parts)
+    sliced = _time_slices(points, key, parts) if hot else points.withColumn("_slice", F.lit(0))
     forms_first = F.asc("_asked")
     up = Window.partitionBy(key, "_slice").orderBy(F.asc("_time"), forms_first).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(key, "_slice").orderBy(F.desc("_time"), forms_first).rowsBetween(Window.unboundedPreceding, 0)
     carried = sliced.withColumns({"_before": F.last("_form", ignorenulls=True).over(up), "_after": F.last("_form", ignorenulls=True).over(down)})
-    many = sliced.where(F.col("_slice") > 0).select(key).distinct()    # at most ``parts`` keys
-    if many.isEmpty():
+    if not hot:
         return carried.drop("_slice")
+    many = sliced.where(F.col("_slice") > 0).select(key).distinct()    # at most ``parts`` keys
     time = F.when(F.col("_form").isNotNull(), F.col("_time"))
     edges = sliced.join(F.broadcast(many), key).groupBy(key, "_slice").agg(F.max_by("_form", time).alias("_last"), F.min_by("_form", time).alias("_first"))
     left = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,6 +73,8 @@ def nearest_in_time(events: DataFrame, attested: DataFrame, key: str, order: str
     task, however many periods it has. ``spread`` is any column that varies inside a key.
     """
     parts = parts or 4 * shuffle_partitions(events.sparkSession)
+    # Without a key of more than its share of rows there is nothing to slice, neither times nor events.
+    hot = not hot_keys(events.select(key).unionByName(attested.select(key)), key, parts).isEmpty()
     form = F.min(F.struct(F.col(order), F.col("phonetic_representation").alias("ipa")))
     forms = attested.where(F.col("time_period").isNotNull() & F.col(key).isNotNull()) \
         .groupBy(key, F.col("time_period").cast("long").alias("_time")).agg(form.alias("f")) \
@@ -80,14 +82,15 @@ def nearest_in_time(events: DataFrame, attested: DataFrame, key: str, order: str
     at = F.struct(F.col(key), F.col("target_time").cast("long").alias("_time"))
     asked = events.where(F.col("target_time").isNotNull() & F.col(key).isNotNull()).select(at.alias("a")).distinct() \
         .select("a.*", F.lit(1).alias("_asked"), F.lit(None).cast(forms.schema["_form"].dataType).alias("_form"))
-    carried = _with_neighbours(forms.unionByName(asked), key, parts).where("_asked = 1")
+    carried = _with_neighbours(forms.unionByName(asked), key, parts, hot).where("_asked = 1")
     since, until = F.col("_time") - F.col("_before.period"), F.col("_after.period") - F.col("_time")
     near = F.when(F.col("_after").isNull() | (since <= until), F.col("_before")).otherwise(F.col("_after"))
     if window is not None:
         near = F.when(F.least(since, until) <= window, near)
     kind = attested.schema["time_period"].dataType
     answers = carried.select(F.struct(key, "_time").alias("_at"), near.alias("_m"))
-    out = lookup(events.withColumn("_at", at), answers, "_at", spread, parts=parts)
+    placed = events.withColumn("_at", at)
+    out = lookup(placed, answers, "_at", spread, parts=parts) if hot else placed.join(answers, "_at", "left")
     return out.withColumns({"matched_period": F.col("_m.period").cast(kind), "matched_ipa": F.col("_m.ipa")}).drop("_at", "_m")
 
 
