@@ -8,8 +8,9 @@ answers are kept. The ids are then read from the end of the table backwards.
 
 Texts are cut first where no token can reach across: before a space mark that
 follows another character, and around characters that stand in no longer token.
-Each stretch is encoded once and remembered by the task, up to a bound. Stretches
-with two space marks in a row are merged pair by pair instead, since the tokens made
+A stretch of up to ``LONGEST`` characters is remembered by the task once it is encoded, in two
+generations of bounded size: what is met again moves to the younger one, the older one
+goes when that is full. Stretches with two space marks in a row are merged pair by pair instead, since the tokens made
 of space marks alone share one score and the table needs an order.
 
 Only models of merge type with byte fallback, the identity normalizer and a leading
@@ -34,7 +35,9 @@ from pyspark.sql import DataFrame
 
 from .words import mapped
 
-REMEMBERED = 150_000
+REMEMBERED = 150_000       # stretches of a generation
+LONGEST = 64               # characters of a stretch that is remembered
+REMEMBERED_PAIRS = 400_000    # answers of the pair test
 SPACE_MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -71,8 +74,11 @@ class Encoder:
             raise ValueError("a token has a space mark behind another character")
         self.cut = re.compile(self._cuts(longer)).findall
         self.beside: dict[str, dict[str, bool]] = {}    # left token ("" at the start): right token: may they stand so
+        self.pairs = 0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remembered = remembered
+        self.packed = {piece: self._packed([i]) for piece, i in self.ids.items()}
 
     @staticmethod
     def _cuts(longer: list[str]) -> str:
@@ -92,45 +98,59 @@ class Encoder:
     def _body(self, text: str) -> bytes:
         if not text:
             return b""
-        known, out = self.known, []
-        for stretch in self.cut(SPACE_MARK + text.replace(" ", SPACE_MARK)):
-            ids = known.get(stretch)
-            if ids is None:
-                if len(known) >= self.remembered:
-                    known.clear()
-                ids = known[stretch] = self._packed([i for t in self.tokens(stretch) for i in self._of(t)])
-            out.append(ids)
-        return b"".join(out)
+        stretches = self.cut(SPACE_MARK + text.replace(" ", SPACE_MARK))
+        found = list(map(self.known.get, stretches))
+        if None in found:
+            found = [self._ids_of(s) if ids is None else ids for s, ids in zip(stretches, found)]
+        return b"".join(found)
+
+    def _ids_of(self, stretch: str) -> bytes:
+        if (ids := self.known.get(stretch)) is not None:
+            return ids
+        if (ids := self.older.get(stretch)) is None:
+            packed = self.packed
+            ids = b"".join([packed[t] if t in packed else self._bytes_of(t) for t in self.tokens(stretch)])
+        if len(stretch) <= LONGEST:
+            if len(self.known) >= self.remembered:
+                self.known, self.older = {}, self.known
+            self.known[stretch] = ids
+        return ids
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _of(self, token: str) -> list[int]:
-        i = self.ids.get(token)
-        return [i] if i is not None else [self.bytes[b] for b in token.encode("utf-8", "surrogatepass")]
+    def _bytes_of(self, token: str) -> bytes:
+        return self._packed([self.bytes[b] for b in token.encode("utf-8", "surrogatepass")])
+
+    def _after(self, token: str) -> dict[str, bool]:
+        """What is known of the tokens behind this one."""
+        fits = self.beside.get(token)
+        return self.beside.setdefault(token, {}) if fits is None else fits
+
+    def _fits(self, before: str, token: str) -> bool:
+        """Whether merging the joined text by itself gives the two tokens back."""
+        self.pairs += 1
+        if self.pairs > REMEMBERED_PAIRS:
+            self.beside, self.pairs = {}, 0
+        return self.merged(before + token) == ([before, token] if before else [token])
 
     def tokens(self, stretch: str) -> list[str]:
         if SPACE_MARK * 2 in stretch:
             return self.merged(stretch)
-        last: list[str | None] = ["", *[None] * len(stretch)]
-        beside = self.beside
+        last: list[str | None] = [None] * len(stretch) + [""]    # of the prefix up to each character; the empty prefix stands at -1
+        after: list[dict[str, bool] | None] = [None] * len(stretch) + [self._after("")]
         for at, (token, size) in self.automaton.iter(stretch):
-            if last[at + 1] is None and (before := last[at + 1 - size]) is not None:
-                fits = beside.get(before)
-                if fits is None:
-                    if len(beside) >= self.remembered:
-                        beside.clear()
-                    fits = beside[before] = {}
+            if after[at] is None and (fits := after[at - size]) is not None:
                 fit = fits.get(token)
                 if fit is None:
-                    fit = fits[token] = self.merged(before + token) == ([before, token] if before else [token])
+                    fit = fits[token] = self._fits(last[at - size], token)
                 if fit:
-                    last[at + 1] = token
+                    last[at], after[at] = token, self._after(token)
         if None in last:    # a character that no token has: merge as defined
             return self.merged(stretch)
-        out, i = [], len(stretch)
-        while i:
+        out, i = [], len(stretch) - 1
+        while i >= 0:
             out.append(last[i])
             i -= len(last[i])
         return out[::-1]
