@@ -24,12 +24,18 @@ What keeps groups from costing their square, without losing a link:
   still shares another chunk with each partner. Documents with more are joined
   among themselves over their shingles, the rarest first, as many as can decide.
 
-Texts are compared only for pairs that got so far. Ids are integers.
+Every set also has a parity sketch: each shingle flips one bit of a string as long as
+the band's largest set, up to ``MOST_BITS``. Bits that two sketches differ in are at most
+the shingles that their sets differ in (a longer sketch is first folded onto the
+shorter by XOR), so a pair whose sketches differ in more than its sizes allow goes
+without its texts being read. Texts are compared only for pairs that got so far. Ids are
+integers.
 
 Defined results: a null or empty text, or one without words, has no shingle and is
 linked with nothing; fewer than five words are one shingle; repeated rows are one
-document in the links and answered each; a null id is linked with nothing; an empty
-table gives no rows; other columns are ignored.
+document in the links and answered each; an id given to different texts is one
+document, linked by one of them; a null id is linked with nothing; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from ..session import shuffle_partitions
 from .components import components, saved
 from .words import LOWER, SPACE, Block, WordReader, mapped, mix, runs
@@ -53,6 +60,8 @@ SPREAD = 0.75         # chunks of a band per shingle of its largest set
 BROADCAST_IDS = 1_000_000
 COMPARED_ROWS = 256
 LEAST_PARTS = 64      # a task holds the chunks of one part at a time, so parts stay small on few shuffle partitions too
+PART_SHINGLES = 1 << 20    # shingles a part, on average; chunks are no more
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 _ID = pa.int64()
 _OWNER = np.dtype([("id", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("band", "<i2"), ("chunks", "<i4")])
 
@@ -91,6 +100,20 @@ def bands(n: int) -> list[int]:
     return [own, own + 1] if 4 * n >= 3 * 4 ** (own + 1) else [own]
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bytes of the parity sketch of a set."""
+    size = min(max(4 ** (band_of(len(shingles)) + 1), LEAST_BITS), MOST_BITS)
+    flips = np.bincount((mix(shingles, 11) % np.uint64(size)).astype(np.int64), minlength=size)
+    return np.packbits(flips & 1)
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two parity sketches differ; never more than their sets differ in."""
+    size = min(len(x), len(y))    # sizes are powers of two times the smallest
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def block_sets(block: Block):
     """Row and sorted distinct shingle digests of every text of a block that has words."""
     five = runs(block.digests, SHINGLE)
@@ -106,23 +129,25 @@ def _reader() -> WordReader:
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, n, set1, set2, least``: size, digest and least shingles of each set."""
-    names = ["id", "n", "set1", "set2", "least"]
+    """``id, n, set1, set2, least, bits``: size, digest, least shingles and parity sketch of each set."""
+    names = ["id", "n", "set1", "set2", "least", "bits"]
 
     def run(reader: WordReader, rows: pa.RecordBatch) -> pa.RecordBatch:
         n = np.zeros(len(rows), np.int64)
         digest = np.zeros((2, len(rows)), np.uint64)
         least: list = [[] for _ in range(len(rows))]
+        bits = [b""] * len(rows)
         for block in reader.blocks(rows.column(1)):
             for row, own in block_sets(block):
                 n[row] = len(own)
                 digest[0, row], digest[1, row] = mix(own, 21).sum(), mix(own, 22).sum()
                 least[row] = own[:LEAST].view(np.int64)
+                bits[row] = parity(own).tobytes()
         return pa.RecordBatch.from_arrays(
             [rows.column(0).cast(_ID), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
-             pa.array(least, pa.list_(_ID))], names=names)
+             pa.array(least, pa.list_(_ID)), pa.array(bits, pa.binary())], names=names)
 
-    return mapped(docs.select(key, text), run, "id long, n long, set1 long, set2 long, least array<long>", _reader)
+    return mapped(docs.select(key, text), run, "id long, n long, set1 long, set2 long, least array<long>, bits binary", _reader)
 
 
 def _with_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -130,9 +155,26 @@ def _with_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _near_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` whose parity sketches differ in no more bits than sets of their sizes may."""
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.zeros(len(rows), bool)
+        sizes = rows.column(2).to_numpy() + rows.column(3).to_numpy()
+        most = sizes - 2 * -(-3 * sizes // 7)    # similar sets share at least 3 / 7 of both sizes together
+        for i, (x, y) in enumerate(zip(rows.column(4), rows.column(5))):
+            keep[i] = bits_apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= most[i]
+        at = pa.array(np.flatnonzero(keep))
+        return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at)], names=["a", "b"])
+
+    both = pairs.select("a", "b").distinct()
+    for side in ("a", "b"):
+        both = both.join(classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
+    return mapped(both.select("a", "b", "na", "nb", "bitsa", "bitsb"), run, "a long, b long")
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose sets reach the similarity, by counting shared shingles of the whole texts."""
-    pairs = saved(pairs.select("a", "b").distinct())
+    pairs = saved(_near_sketches(pairs, classes))
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = _with_ids(texts, involved, "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a") \
@@ -163,14 +205,14 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _first_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of each document to the one that shares some of its least shingles, and shares them with most."""
     rows = classes.select("id", "n", F.explode("least").alias("s"))
-    rows = rows.join(rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "s")
+    rows = lookup(rows, rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "s", "id", "inner")    # a passage's shingle may be hot
     rows = saved(rows.join(rows.groupBy("id").agg(F.sum("c").alias("w")), "id"))
     lead = rows.groupBy("s").agg(F.max_by(F.struct("id", "n"), F.struct("w", -F.col("id"))).alias("lead")) \
         .select("s", F.col("lead.id").alias("b"), F.col("lead.n").alias("nb"))
-    pairs = rows.join(lead, "s").where("id <> b and 4 * least(n, nb) >= 3 * greatest(n, nb)") \
+    pairs = lookup(rows, lead, "s", "id", "inner").where("id <> b and 4 * least(n, nb) >= 3 * greatest(n, nb)") \
         .groupBy("id", "b").agg(F.count("*").alias("c"), F.first("n").alias("n")) \
         .where(F.col("c") >= F.least(F.lit(FEW), F.col("n")))
-    return _compared(pairs.select(F.col("id").alias("a"), "b"), texts)
+    return _compared(pairs.select(F.col("id").alias("a"), "b"), classes, texts)
 
 
 def _sketch_rows(docs: DataFrame, parts: int, spread: float) -> DataFrame:
@@ -274,7 +316,7 @@ def _meetings(sketches: DataFrame, parts: int) -> DataFrame:
         if held:
             yield finish(held)
 
-    dealt = sketches.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = sketches.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     return dealt.mapInArrow(run, "a long, b long, band long, na long, nb long, c long")
 
 
@@ -306,12 +348,13 @@ def _hot_pairs(hot: DataFrame, docs: DataFrame) -> DataFrame:
 def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", spread: float = SPREAD) -> tuple[DataFrame, DataFrame]:
     """``id, n, rep`` of every row, and links ``a, b`` between class representatives that connect all similar ones."""
     spark = docs.sparkSession
-    parts = max(shuffle_partitions(spark), LEAST_PARTS)
     sets = saved(shingle_sets(docs, key, text))
     named = sets.where("n > 0 and id is not null")
     rep = named.groupBy("set1", "set2", "n").agg(F.min("id").alias("rep"))
-    members = saved(named.join(rep, ["set1", "set2", "n"]).select("id", "n", "rep", "least"))
+    members = saved(named.join(rep, ["set1", "set2", "n"]).select("id", "n", "rep", "least", "bits"))
     classes = members.where("id = rep").dropDuplicates(["id"])
+    shingles = members.where("id = rep").agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = max(shuffle_partitions(spark), LEAST_PARTS, -(-shingles // PART_SHINGLES))
     copies = members.where("id <> rep").select("id").distinct()
     texts = _with_ids(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null"), copies, "left_anti")
 
@@ -331,7 +374,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", text: str = "text", spre
     many = hot.where(F.col("h") > _least_slack_column("n"))
     if not many.isEmpty():
         likely = likely.unionByName(_hot_pairs(many, docs_in))
-    return sets.join(members.select("id", "rep").distinct(), "id", "left").select("id", "n", "rep"), first.unionByName(_compared(likely, texts))
+    return sets.join(members.select("id", "rep").distinct(), "id", "left").select("id", "n", "rep"), first.unionByName(_compared(likely, classes, texts))
 
 
 def _slack_column(n):

@@ -74,6 +74,26 @@ def test_sketches_differ_in_no_more_chunks_than_sets():
             assert len(jaccard.sketch(a, band)) >= min(n, jaccard.kept_chunks(n, band))
 
 
+def test_parity_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 15, 16, 63, 64, 250, 300, 5000, 90_000):
+        a = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+        for gone, new in ((0, 0), (n // 4, 0), (0, n // 3), (n // 10, n // 9), (n - 1, 3 * n)):
+            b = np.concatenate([a[gone:], rng.integers(1, 2**63, new, dtype=np.uint64)])
+            apart = jaccard.bits_apart(jaccard.parity(a), jaccard.parity(b))
+            assert apart <= len(np.setxor1d(a, b)) and (len(a) + len(b) - apart) % 2 == 0
+    x, y = (rng.integers(1, 2**63, 200, dtype=np.uint64) for _ in range(2))
+    assert jaccard.bits_apart(jaccard.parity(x), jaccard.parity(y)) > 400 - 2 * 172
+
+
+def test_jaccard_join_in_more_parts(spark, monkeypatch):
+    """Parts that follow the data, hot shingles cut into slices."""
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", 40)
+    rows = _family(5)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
 def test_jaccard_join_of_odd_input(spark, odd, no_docs):
     got = sorted(tuple(r) for r in jaccard.near_duplicates(odd.where("doc_id is not null")).collect())
     assert [r[0] for r in got] == [1, 2, 3, 4, 5, 5, 6, 7] and all(r[0] == r[2] for r in got)
