@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.llm import contamination, jaccard, language, personal, pieces
+from lexstrata.llm.components import saved
 from lexstrata.session import shared_dir
 
 LEAST_SCORE = 0.35    # mean probability of the language below which a text is rejected: short texts full of numbers stay
 ORACLE_SQL = None    # the learned stages are beyond SQL; tests compare with plain versions
 
 
-def _kept(docs: DataFrame, flags: DataFrame, keep) -> DataFrame:
-    """The rows whose id is to be kept; a null id matches nothing."""
-    return docs.join(flags.where(keep).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on ``doc_id``; the ids are broadcast only if they are few. A null id matches nothing."""
+    few = ids.count() <= jaccard.BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows with one doc_id and one text a single one stays; a doc_id that is given to
     different texts keeps one row of each, so no text goes only because of its id.
     """
-    kept = _kept(docs, jaccard.near_duplicates(docs), F.col("doc_id") == F.col("component_id"))
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    first = F.max(F.col("doc_id") == F.col("component_id"))
+    gone = saved(jaccard.near_duplicates(docs).groupBy("doc_id").agg(first.alias("kept")).where("not kept").select("doc_id"))
+    twice = saved(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    kept = _by_id(docs, gone, "left_anti")
+    return _by_id(kept, twice, "left_anti").unionByName(_by_id(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
