@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN_DIR = "lexstrata.scratch.dir"
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     return (
@@ -25,13 +28,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; on a single machine it is made where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
     if not named:
         master = spark.conf.get("spark.master", "local")
         if not master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lexstrata-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.conf.set(_OWN_DIR, named)    # the setting of the cluster cannot be changed in a running session
     return named
 
 
