@@ -8,9 +8,10 @@ shuffle of those rows finishes the ranking. The sizes decide how blocks meet:
   place, each task finishing its own queries;
 * else a query set within the budget is broadcast and the lexicon is read in
   place, each task keeping its best rows per query;
-* else lexicon rows are grouped around pivots (``pivots``), each query goes to the
-  groups that can hold an answer of it, and each (query block, lexicon block) of a
-  group is one bounded task. Cells that cannot hold an answer are never built.
+* else both sides are grouped around pivots (``pivots``), groups are packed into blocks
+  of queries and slices of lexicon rows, and each (block, slice) is one bounded task.
+  Cells that cannot hold an answer are never built; inside a cell a query looks only
+  at batches of rows with a group that can hold an answer of it.
 
 Distances are compared at 9 decimals, ties going to the lower row id, so results
 do not depend on how the sums were ordered. One vector length holds for the whole
@@ -35,9 +36,11 @@ from . import pivots
 from .ranking import keep_first
 
 BROADCAST_BYTES = 64 << 20
-# Two equal blocks move the fewest rows for a given cell size.
-BLOCK_BYTES = 128 << 20
-_CELLS = 4_000_000
+# Query vectors of a cell. What a task holds follows from this and not from the size of either side.
+BLOCK_BYTES = 32 << 20
+SLICE_BLOCKS = 2     # blocks of lexicon rows in a cell: they are read in batches, so they cost less than queries
+_CELLS = 1_000_000   # distances looked at together
+_BATCH = 4096        # lexicon rows looked at together
 
 
 def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +65,11 @@ class _Best:
     def __init__(self, query_ids: pa.Array, queries: np.ndarray, k: int, periods: tuple[int, ...], keep: list[str]):
         self.query_ids, self.queries, self.k, self.periods, self.keep = query_ids, queries, k, periods, keep
         self.pool = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, np.int64)]
-        self.rows: pa.Table | None = None    # kept columns of the rows in the pool
+        self.found: list[list[np.ndarray]] = []    # not in the pool yet
+        self.rows: list[pa.Table] = []    # kept columns of the rows in the pool and of those found since
+        self.base = 0
+        self.bound = np.full(len(queries), np.inf)    # of the pool: the k-th distance of each query
+        self.least = np.full((len(periods), len(queries)), np.inf)    # and the least of each period
 
     def _prune(self, q, ids, per, dist, slot):
         order = np.lexsort((ids, dist, q))
@@ -73,33 +80,65 @@ class _Best:
             stay[at[np.diff(q[at], prepend=-1) != 0]] = True
         return [c[stay] for c in (q, ids, per, dist, slot)]
 
-    def add(self, table: pa.Table) -> None:
-        """Take in lexicon rows: row_id, time_period, vector and the kept columns."""
+    def add(self, table: pa.Table, only: np.ndarray | None = None) -> None:
+        """Take in lexicon rows: row_id, time_period, vector and the kept columns. ``only``: the queries that look at them."""
+        for start in range(0, table.num_rows, _BATCH):
+            self._add(table.slice(start, _BATCH), only)
+
+    def _add(self, table: pa.Table, only: np.ndarray | None) -> None:
         at, units = _unit_rows(table.column("vector"), self.queries.shape[1])
         if not len(at):
             return
-        table = table.take(pa.array(at))
+        table = table.select(["row_id", "time_period", *self.keep]).take(pa.array(at))
         ids = table.column("row_id").to_numpy()
         per = table.column("time_period").to_numpy().astype(float)
-        order = np.argsort(ids, kind="stable")
-        groups = [order[per[order] == p] for p in self.periods]
-        base = self.rows.num_rows if self.rows is not None else 0
-        parts = [self.pool]
+        place = np.full(len(per), len(self.periods))
+        for n, p in enumerate(self.periods):
+            place[per == p] = n
+        order = np.argsort(place, kind="stable")    # rows of one period side by side
+        units, ids, per = units[order], ids[order], per[order]
+        ends = np.searchsorted(place[order], np.arange(len(self.periods) + 1))
+        asked = len(self.queries) if only is None else len(only)
         step = max(1, _CELLS // len(ids))
-        for start in range(0, len(self.queries), step):
-            dist = np.round(1.0 - self.queries[start:start + step] @ units.T, 9) + 0.0   # no negative zero
-            k = min(self.k, len(ids))
-            hit = dist <= np.partition(dist, k - 1, axis=1)[:, k - 1:k]
-            for g in groups:
-                if len(g):
-                    hit[np.arange(len(dist)), g[np.argmin(dist[:, g], axis=1)]] = True
+        for start in range(0, asked, step):
+            mine = slice(start, min(start + step, asked)) if only is None else only[start:start + step]
+            dist = self.queries[mine] @ units.T
+            np.subtract(1.0, dist, out=dist)
+            np.round(dist, 9, out=dist)
+            dist += 0.0   # no negative zero
+            bound = self.bound[mine]
+            if len(ids) > self.k and np.isinf(bound).any():
+                bound = np.minimum(bound, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
+            hit = dist <= bound[:, None]
+            for n, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                if a < b:
+                    part = dist[:, a:b]
+                    hit[:, a:b] |= part <= np.minimum(self.least[n, mine], part.min(axis=1))[:, None]
             q, j = np.nonzero(hit)
-            parts.append(self._prune(q + start, ids[j], per[j], dist[q, j], base + j))
-        pool = self._prune(*[np.concatenate(c) for c in zip(*parts)])
-        used, pool[4] = np.unique(pool[4], return_inverse=True)
-        fresh = table.select(self.keep)
-        rows = fresh if self.rows is None else pa.concat_tables([self.rows, fresh])
-        self.rows, self.pool = rows.take(pa.array(used)), pool
+            whose = q + start if only is None else mine[q]
+            self.found.append(self._prune(whose, ids[j], per[j], dist[q, j], self.base + order[j]))
+        if self.keep:
+            self.rows.append(table.select(self.keep))
+            self.base += len(ids)
+        if 4 * sum(len(f[0]) for f in self.found) > len(self.pool[0]):
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.found:
+            return
+        self.pool = self._prune(*[np.concatenate(c) for c in zip(self.pool, *self.found)])
+        self.found = []
+        q, _, per, dist, slot = self.pool
+        if self.keep:
+            used, self.pool[4] = np.unique(slot, return_inverse=True)
+            self.rows, self.base = [pa.concat_tables(self.rows).take(pa.array(used))], len(used)
+        first = np.searchsorted(q, np.arange(len(self.queries) + 1))
+        full = np.flatnonzero(np.diff(first) >= self.k)
+        self.bound[full] = dist[first[full] + self.k - 1]
+        for n, p in enumerate(self.periods):
+            at = np.flatnonzero(per == p)
+            at = at[np.diff(q[at], prepend=-1) != 0]
+            self.least[n, q[at]] = dist[at]
 
     def _order(self, top_n: int) -> tuple[np.ndarray, np.ndarray]:
         """Final order of the pool (anchors by period, then by distance) and the ranks kept."""
@@ -116,7 +155,8 @@ class _Best:
 
     def result(self, top_n: int | None = None) -> pa.Table | None:
         """The pool; with ``top_n`` the finished answer with its ``rank``."""
-        if self.rows is None:
+        self._merge()
+        if not len(self.pool[0]):
             return None
         columns = {}
         if top_n is not None:
@@ -131,7 +171,7 @@ class _Best:
             "time_period": pa.array(np.where(none, 0, per).astype(np.int32), mask=none),
             "distance": pa.array(dist),
         }
-        rows = self.rows.take(pa.array(slot))
+        rows = self.rows[0].take(pa.array(slot)) if self.keep else None
         return pa.table({**columns, **{n: rows.column(n) for n in self.keep}})
 
 
@@ -149,10 +189,10 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
     types = {f.name: f.dataType.simpleString() for f in lexicon.schema.fields}
     kind = queries.schema["query_id"].dataType.simpleString()
     rest = ", ".join(["row_id bigint, time_period int, distance double"] + [f"{n} {types[n]}" for n in keep])
-    schema = f"query_id {kind}, {rest}"
     dim = dim or _dimension(lexicon)
     row_bytes = 8 * dim
     k = top_n + len(periods)
+    schema = f"query_id {kind}, {rest}"
 
     def answer(query_ids: pa.Array, units: np.ndarray, tables: Iterator[pa.Table],
                last: int | None = None, keep: list[str] = keep) -> list[pa.RecordBatch]:
@@ -193,52 +233,66 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
         read = lexicon.coalesce(scan_tasks) if scan_tasks else lexicon
         return read.mapInArrow(scan, schema)
 
-    left, right = _cells(queries, lexicon, k, periods, dim, max(1, BLOCK_BYTES // row_bytes))
+    left, right, slices = _cells(queries, lexicon, k, periods, dim, max(1, BLOCK_BYTES // row_bytes), keep)
+    # With one slice a cell holds all of a query's rows, so its answer is whole and carries what is kept.
+    last, carried = (top_n, keep) if slices == 1 else (None, [])
 
     def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        found: list[pa.RecordBatch] = []
         if lt.num_rows and rt.num_rows:
             at, units = _unit_rows(lt.column("vector"), dim)
-            if len(at):
-                found = answer(lt.column("query_id").combine_chunks().take(pa.array(at)), units, iter([rt]), keep=[])
-        fields = [lt.schema.field("query_id"), pa.field("row_id", pa.int64()), pa.field("time_period", pa.int32()),
-                  pa.field("distance", pa.float64())]
-        return pa.Table.from_batches(found) if found else pa.schema(fields).empty_table()
-
-    cells = ["group", "_q", "_l"]
-    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(
-        cell, f"query_id {kind}, row_id bigint, time_period int, distance double")
-
-
-def _needs(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, ...], dim: int) -> tuple[DataFrame, DataFrame, pivots.Bounds]:
-    """Queries with the groups each needs, lexicon rows with their group, and what is known of the groups."""
+            lt = lt.select(["query_id", "needs"]).take(pa.array(at))
+            best = _Best(lt.column("query_id").combine_chunks(), units, k, periods, carried)
+            needs = pivots.unpacked(lt.column("needs"))
+            group = rt.column("group").to_numpy()
+            order = np.argsort(group, kind="stable")
+            for start in range(0, len(order), _BATCH):
+                rows = order[start:start + _BATCH]
+                only = np.flatnonzero(needs[:, np.unique(group[rows])].any(axis=1))
+                if len(only):
+                    best.add(rt.take(pa.array(rows)), None if len(only) == len(units) else only)
+            found = best.result(last)
+            if found is not None:
+                return found
+        fields = [pa.field("rank", pa.int32())] if last is not None else []
+        fields = [lt.schema.field("query_id"), *fields, pa.field("row_id", pa.int64()), pa.field("time_period", pa.int32()),
+                  pa.field("distance", pa.float64()), *[rt.schema.field(n) for n in carried]]
+        return pa.schema(fields).empty_table()
+
+    rank = "" if last is None else "rank int, "
+    columns = ", ".join(["row_id bigint, time_period int, distance double"] + [f"{n} {types[n]}" for n in carried])
+    cells = ["_q", "_l"]
+    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(cell, f"query_id {kind}, {rank}{columns}")
+
+
+def _needs(lexicon: DataFrame, periods: tuple[int, ...], dim: int, keep: list[str] | tuple = ()) -> tuple[DataFrame, pivots.Bounds]:
+    """Lexicon rows with their group, and what is known of the groups."""
     points = pivots.choose(lexicon, dim, _unit_rows)
-    rows = pivots.grouped(lexicon, points, dim, _unit_rows)
-    bounds = pivots.Bounds(rows, points, periods)
-    return pivots.asked(queries, bounds, k, dim, _unit_rows), rows, bounds
-
-
-def _cells(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, ...], dim: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the cells in which they meet: a group's blocks of rows with the blocks of queries that need it."""
-    asked, rows, bounds = _needs(queries, lexicon, k, periods, dim)
-    n_asked = {r["group"]: r["n"] for r in asked.groupBy("group").agg(F.count("*").alias("n")).collect()}    # a row per pivot
+    rows = pivots.grouped(lexicon, points, dim, _unit_rows, keep)
+    return rows, pivots.Bounds(rows, points, periods)
 
-    def blocks(n) -> Column:
-        """The number of blocks of a group, from the rows it has."""
-        return F.element_at(F.array(*[F.lit(max(1, -(-int(n(g)) // block_rows))) for g in range(max(1, len(bounds.count)))]), F.col("group") + 1)
 
-    q_blocks, l_blocks = blocks(lambda g: n_asked.get(g, 0)), blocks(lambda g: bounds.count[g] if len(bounds.count) else 0)
+def _cells(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, ...], dim: int, block_rows: int,
+           keep: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with the cells in which they meet, and the number of slices of the lexicon.
 
-    def block(column: str, n: Column) -> Column:
-        return F.pmod(F.xxhash64(column), n).cast("int")
-
-    def spread(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    left = asked.select("query_id", "vector", "group", block("query_id", q_blocks).alias("_q"), spread(l_blocks).alias("_l"))
-    # Every copy of a row carries its vector alone; the kept columns join the few winners later.
-    right = rows.select("row_id", "time_period", "vector", "group", spread(q_blocks).alias("_q"), block("row_id", l_blocks).alias("_l"))
-    return left, right
+    Queries are packed into blocks and lexicon rows into slices, both by their group, groups
+    near one another together. A query goes once to each slice that has a group it needs, a
+    lexicon row to each block with a query that needs its slice: copies follow the blocks of
+    the other side, not the groups.
+    """
+    spark = queries.sparkSession
+    rows, bounds = _needs(lexicon, periods, dim, keep)
+    counts, met = pivots.meetings(queries, bounds, k, dim, _unit_rows)
+    slices = pivots.packed(bounds.count, SLICE_BLOCKS * block_rows, bounds.chain)
+    # Blocks are made smaller where the cores would not all be busy.
+    cells = 4 * spark.sparkContext.defaultParallelism
+    busy = max(-(-block_rows // 32), -(-int(counts.sum()) * slices.total // cells))
+    blocks = pivots.packed(counts, min(block_rows, busy), bounds.chain)
+    left = pivots.dealt(queries, bounds, blocks, slices, k, dim, _unit_rows)
+    pairs = spark.createDataFrame(slices.meeting(blocks, met), "_l int, _q array<int>")
+    right = rows.select("row_id", "time_period", "vector", "group", *keep if slices.total == 1 else [], slices.column("group", "row_id").alias("_l")) \
+        .join(F.broadcast(pairs), "_l").withColumn("_q", F.explode("_q"))
+    return left, right, slices.total
 
 
 def skipped_share(queries: DataFrame, lexicon: DataFrame, top_n: int = 10, periods: tuple[int, ...] = fixed.ANCHOR_PERIODS,
@@ -246,11 +300,11 @@ def skipped_share(queries: DataFrame, lexicon: DataFrame, top_n: int = 10, perio
     """One row: pairs of a query and a lexicon row, and the share that the bounds keep from meeting."""
     dim = dim or _dimension(lexicon)
     lexicon = lexicon.select(F.col("row_id").cast("bigint"), F.col("time_period").cast("int"), "vector")
-    asked, rows, _ = _needs(queries.select("query_id", "vector"), lexicon, top_n + len(periods), periods, dim)
-    pairs = asked.groupBy("group").agg(F.count("*").alias("q")).join(rows.groupBy("group").agg(F.count("*").alias("l")), "group") \
-        .agg(F.coalesce(F.sum(F.col("q") * F.col("l")), F.lit(0)).alias("met"))
+    rows, bounds = _needs(lexicon, periods, dim)
+    _, met = pivots.meetings(queries.select("query_id", "vector"), bounds, top_n + len(periods), dim, _unit_rows)
+    pairs = int(met.sum(axis=0) @ bounds.count)
     all_pairs = queries.agg(F.count("*").alias("q")).scalar() * rows.agg(F.count("*").alias("l")).scalar()
-    return pairs.select(all_pairs.alias("pairs"), (F.lit(1.0) - F.try_divide(F.col("met"), all_pairs)).alias("skipped"))
+    return queries.sparkSession.range(1).select(all_pairs.alias("pairs"), (F.lit(1.0) - F.try_divide(F.lit(pairs), all_pairs)).alias("skipped"))
 
 
 def nearest_with_coverage(queries: DataFrame, lexicon: DataFrame, top_n: int = 10,

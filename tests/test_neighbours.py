@@ -153,3 +153,32 @@ def test_groups_that_hold_no_answer_are_skipped(spark):
     queries = lex.where("row_id % 20 = 0").select(lex["row_id"].alias("query_id"), "vector")
     share = nn.skipped_share(queries, lex, 10, ()).first()
     assert share["pairs"] == 4000 * 200 and share["skipped"] > 0.9
+
+
+def test_copies_follow_blocks_and_not_groups(spark):
+    """Where no group can be skipped, a query goes once to each slice and a row once to each block; a block is full or all cores are busy."""
+    rng = np.random.default_rng(14)
+    lex = spark.createDataFrame([(i, i % 3, rng.normal(size=16).tolist()) for i in range(3000)], "row_id long, time_period int, vector array<double>")
+    queries = lex.select(lex["row_id"].alias("query_id"), "vector")
+    for block_rows, slices in ((3000, 1), (500, 3)):
+        left, right, found = nn._cells(queries, lex, 5, (), 16, block_rows, [])
+        blocks = left.select("_q").distinct().count()
+        assert slices <= found <= 2 * slices and left.count() <= 3000 * found and right.count() <= 3000 * blocks
+        assert left.groupBy("_q", "_l").count().agg({"count": "max"}).first()[0] <= block_rows
+        assert right.groupBy("_q", "_l").count().agg({"count": "max"}).first()[0] <= 2 * block_rows
+
+
+@pytest.mark.parametrize("budget", [1 << 20, 100])
+def test_rows_looked_at_in_small_batches(spark, monkeypatch, budget):
+    """What was found in one batch bounds the next one: ties, anchors and kept columns come out as from one look."""
+    monkeypatch.setattr(nn, "_BATCH", 7)
+    monkeypatch.setattr(nn, "_CELLS", 50)
+    rng = np.random.default_rng(15)
+    periods = [-5000, -1100, -300, 0, 40]
+    rows = [(i * 7 % 301, periods[i % 5], rng.integers(-1, 2, size=4).astype(float).tolist(), f"w{i * 7 % 301}") for i in range(300)]
+    queries = [(f"q{i}", rng.integers(-1, 2, size=4).astype(float).tolist()) for i in range(30)]
+    queries = [q for q in queries if any(q[1])]
+    near = nn.nearest_with_coverage(spark.createDataFrame(queries, "query_id string, vector array<double>"),
+                                    spark.createDataFrame(rows, LEX), 6, keep=("word",), budget=budget)
+    assert found(near) == brute(queries, rows, 6)
+    assert all(r["word"] == f"w{r['row_id']}" for r in near.collect())
