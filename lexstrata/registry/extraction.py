@@ -427,14 +427,29 @@ def _(spark, sf):
     return quality.first_failures(marked.drop("l_discount"), "row_no")
 
 
+FILE_BYTES = 32 << 20
+
+
+def arriving(df, path: str, order: str, batches: int) -> int:
+    """Writes the rows as files that arrive in ``batches`` batches by ``order``; gives the files of a batch.
+
+    A batch is as many files as keep one near ``FILE_BYTES``, so what a task writes or reads
+    does not follow the size of the table.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    per_batch = max(1, -(-size // (batches * FILE_BYTES)))
+    df.repartitionByRange(batches * per_batch, order).write.parquet(path)
+    return per_batch
+
+
 @query("stm1_incremental_run", f"""select doc_id, lang, trim(text, {TRIM}) as text from documents""")
 def _(spark, sf):
     path = scratch_path(spark, "stm1")
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    docs.repartitionByRange(4, "doc_id").write.parquet(f"{path}/in")
+    files = arriving(docs, f"{path}/in", "doc_id", 4)
     for _ in range(2):    # the second run finds nothing new
         inc.run_increments(spark, f"{path}/in", docs.schema, cl.strip_strings, f"{path}/out", f"{path}/progress",
-                           files_per_batch=1)
+                           files_per_batch=files)
     return spark.read.parquet(f"{path}/out").drop("batch_id")
 
 
@@ -443,7 +458,7 @@ def _(spark, sf):
     """A run that breaks off inside its third batch and is started anew: all rows once, the last progress points on disk."""
     path = scratch_path(spark, "stm1b")
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    docs.repartitionByRange(8, "doc_id").write.parquet(f"{path}/in")
+    files = arriving(docs, f"{path}/in", "doc_id", 8)
 
     def start(breaks_in: int | None) -> None:
         seen = iter(range(100))
@@ -451,7 +466,7 @@ def _(spark, sf):
         def step(batch):
             return cl.strip_strings(batch).where(F.raise_error(F.lit("broken off")).isNull() if next(seen) == breaks_in else F.lit(True))
 
-        inc.run_increments(spark, f"{path}/in", docs.schema, step, f"{path}/out", f"{path}/progress", files_per_batch=1)
+        inc.run_increments(spark, f"{path}/in", docs.schema, step, f"{path}/out", f"{path}/progress", files_per_batch=files)
 
     try:
         start(2)
@@ -481,9 +496,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "stm2")
     raw = view(spark, sf, "raw")
-    raw.repartitionByRange(3, "row_no").write.parquet(f"{path}/in")
+    files = arriving(raw, f"{path}/in", "row_no", 3)
     inc.run_increments(spark, f"{path}/in", raw.schema, lambda b: ex.mine_raw_content(b, keep=("row_no",)),
-                       f"{path}/out", f"{path}/progress", files_per_batch=1)
+                       f"{path}/out", f"{path}/progress", files_per_batch=files)
     return spark.read.parquet(f"{path}/out").drop("batch_id")
 
 
@@ -498,10 +513,10 @@ def echo_reply(body: str) -> str:
 def _(spark, sf):
     path = scratch_path(spark, "stm2h")
     terms = view(spark, sf, "terms")
-    terms.repartitionByRange(3, "page_id").write.parquet(f"{path}/in")
+    files = arriving(terms, f"{path}/in", "page_id", 3)
     for _ in range(2):    # the second run finds nothing new
         inc.run_increments(spark, f"{path}/in", terms.schema, lambda b: harvest(b, "Latin", echo_reply),
-                           f"{path}/out", f"{path}/progress", files_per_batch=1)
+                           f"{path}/out", f"{path}/progress", files_per_batch=files)
     return spark.read.parquet(f"{path}/out").drop("batch_id", "batch", "place")
 
 

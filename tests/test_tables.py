@@ -372,3 +372,18 @@ def test_headers_are_read_without_a_job(spark, tmp_path):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert {k: sorted(n.rsplit("/", 1)[1] for n in v) for k, v in found.items()} == {
         ("word", "language"): ["0 a+b.csv", "1 a+b.csv", "3 a+b.csv"], ("lang, uage", "word"): ["2 a+b.csv"]}
+
+
+def test_arriving_files_follow_the_size(spark, tmp_path, monkeypatch):
+    """A batch is more files where the rows are many, so no file grows with the table; the batches stay as many."""
+    from lexstrata.registry import extraction
+
+    monkeypatch.setattr(extraction, "FILE_BYTES", 10_000)
+    df = spark.range(2000).select(F.col("id").alias("n"), F.repeat(F.lit("x"), 100).alias("text"))
+    per_batch = extraction.arriving(df, str(tmp_path / "many"), "n", 4)
+    assert per_batch >= 5 and extraction.arriving(df.limit(3), str(tmp_path / "few"), "n", 4) == 1
+    written = [f for f in os.listdir(tmp_path / "many") if f.endswith(".parquet")]
+    assert len(written) == 4 * per_batch
+    counts = spark.read.parquet(str(tmp_path / "many")).groupBy(F.input_file_name()).count().select("count").collect()
+    assert sum(c[0] for c in counts) == 2000 and max(c[0] for c in counts) < 2 * 2000 / len(written)
+    assert extraction.arriving(df.limit(0), str(tmp_path / "none"), "n", 4) == 1
