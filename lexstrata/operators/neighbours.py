@@ -233,15 +233,13 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
         read = lexicon.coalesce(scan_tasks) if scan_tasks else lexicon
         return read.mapInArrow(scan, schema)
 
-    left, right, slices = _cells(queries, lexicon, k, periods, dim, max(1, BLOCK_BYTES // row_bytes), keep)
-    # With one slice a cell holds all of a query's rows, so its answer is whole and carries what is kept.
-    last, carried = (top_n, keep) if slices == 1 else (None, [])
+    left, right, _ = _cells(queries, lexicon, k, periods, dim, max(1, BLOCK_BYTES // row_bytes))
 
     def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
         if lt.num_rows and rt.num_rows:
             at, units = _unit_rows(lt.column("vector"), dim)
             lt = lt.select(["query_id", "needs"]).take(pa.array(at))
-            best = _Best(lt.column("query_id").combine_chunks(), units, k, periods, carried)
+            best = _Best(lt.column("query_id").combine_chunks(), units, k, periods, [])
             needs = pivots.unpacked(lt.column("needs"))
             group = rt.column("group").to_numpy()
             order = np.argsort(group, kind="stable")
@@ -250,29 +248,27 @@ def _search(queries: DataFrame, lexicon: DataFrame, top_n: int, periods: tuple[i
                 only = np.flatnonzero(needs[:, np.unique(group[rows])].any(axis=1))
                 if len(only):
                     best.add(rt.take(pa.array(rows)), None if len(only) == len(units) else only)
-            found = best.result(last)
+            found = best.result()
             if found is not None:
                 return found
-        fields = [pa.field("rank", pa.int32())] if last is not None else []
-        fields = [lt.schema.field("query_id"), *fields, pa.field("row_id", pa.int64()), pa.field("time_period", pa.int32()),
-                  pa.field("distance", pa.float64()), *[rt.schema.field(n) for n in carried]]
+        fields = [lt.schema.field("query_id"), pa.field("row_id", pa.int64()), pa.field("time_period", pa.int32()),
+                  pa.field("distance", pa.float64())]
         return pa.schema(fields).empty_table()
 
-    rank = "" if last is None else "rank int, "
-    columns = ", ".join(["row_id bigint, time_period int, distance double"] + [f"{n} {types[n]}" for n in carried])
     cells = ["_q", "_l"]
-    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(cell, f"query_id {kind}, {rank}{columns}")
+    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(
+        cell, f"query_id {kind}, row_id bigint, time_period int, distance double")
 
 
-def _needs(lexicon: DataFrame, periods: tuple[int, ...], dim: int, keep: list[str] | tuple = ()) -> tuple[DataFrame, pivots.Bounds]:
+def _needs(lexicon: DataFrame, periods: tuple[int, ...], dim: int) -> tuple[DataFrame, pivots.Bounds]:
     """Lexicon rows with their group, and what is known of the groups."""
     points = pivots.choose(lexicon, dim, _unit_rows)
-    rows = pivots.grouped(lexicon, points, dim, _unit_rows, keep)
+    rows = pivots.grouped(lexicon, points, dim, _unit_rows)
     return rows, pivots.Bounds(rows, points, periods)
 
 
-def _cells(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, ...], dim: int, block_rows: int,
-           keep: list[str]) -> tuple[DataFrame, DataFrame, int]:
+def _cells(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, ...], dim: int,
+           block_rows: int) -> tuple[DataFrame, DataFrame, int]:
     """Both sides with the cells in which they meet, and the number of slices of the lexicon.
 
     Queries are packed into blocks and lexicon rows into slices, both by their group, groups
@@ -281,7 +277,7 @@ def _cells(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, .
     the other side, not the groups.
     """
     spark = queries.sparkSession
-    rows, bounds = _needs(lexicon, periods, dim, keep)
+    rows, bounds = _needs(lexicon, periods, dim)
     counts, met = pivots.meetings(queries, bounds, k, dim, _unit_rows)
     slices = pivots.packed(bounds.count, SLICE_BLOCKS * block_rows, bounds.chain)
     # Blocks are made smaller where the cores would not all be busy.
@@ -290,7 +286,8 @@ def _cells(queries: DataFrame, lexicon: DataFrame, k: int, periods: tuple[int, .
     blocks = pivots.packed(counts, min(block_rows, busy), bounds.chain)
     left = pivots.dealt(queries, bounds, blocks, slices, k, dim, _unit_rows)
     pairs = spark.createDataFrame(slices.meeting(blocks, met), "_l int, _q array<int>")
-    right = rows.select("row_id", "time_period", "vector", "group", *keep if slices.total == 1 else [], slices.column("group", "row_id").alias("_l")) \
+    # Every copy of a row carries its vector alone; the kept columns join the few winners later.
+    right = rows.select("row_id", "time_period", "vector", "group", slices.column("group", "row_id").alias("_l")) \
         .join(F.broadcast(pairs), "_l").withColumn("_q", F.explode("_q"))
     return left, right, slices.total
 

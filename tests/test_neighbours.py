@@ -161,7 +161,7 @@ def test_copies_follow_blocks_and_not_groups(spark):
     lex = spark.createDataFrame([(i, i % 3, rng.normal(size=16).tolist()) for i in range(3000)], "row_id long, time_period int, vector array<double>")
     queries = lex.select(lex["row_id"].alias("query_id"), "vector")
     for block_rows, slices in ((3000, 1), (500, 3)):
-        left, right, found = nn._cells(queries, lex, 5, (), 16, block_rows, [])
+        left, right, found = nn._cells(queries, lex, 5, (), 16, block_rows)
         blocks = left.select("_q").distinct().count()
         assert slices <= found <= 2 * slices and left.count() <= 3000 * found and right.count() <= 3000 * blocks
         assert left.groupBy("_q", "_l").count().agg({"count": "max"}).first()[0] <= block_rows
@@ -175,10 +175,19 @@ def test_rows_looked_at_in_small_batches(spark, monkeypatch, budget):
     monkeypatch.setattr(nn, "_CELLS", 50)
     rng = np.random.default_rng(15)
     periods = [-5000, -1100, -300, 0, 40]
-    rows = [(i * 7 % 301, periods[i % 5], rng.integers(-1, 2, size=4).astype(float).tolist(), f"w{i * 7 % 301}") for i in range(300)]
+    rows = [(i * 7 % 311, periods[i % 5], rng.integers(-1, 2, size=4).astype(float).tolist(), f"w{i * 7 % 311}") for i in range(300)]
     queries = [(f"q{i}", rng.integers(-1, 2, size=4).astype(float).tolist()) for i in range(30)]
     queries = [q for q in queries if any(q[1])]
     near = nn.nearest_with_coverage(spark.createDataFrame(queries, "query_id string, vector array<double>"),
                                     spark.createDataFrame(rows, LEX), 6, keep=("word",), budget=budget)
     assert found(near) == brute(queries, rows, 6)
     assert all(r["word"] == f"w{r['row_id']}" for r in near.collect())
+
+
+def test_a_query_given_twice_is_one_query_to_the_cells(spark):
+    """Its rows are ranked together, however many slices there are."""
+    rng = np.random.default_rng(16)
+    lex = spark.createDataFrame([(i, None, rng.normal(size=4).tolist(), "w") for i in range(50)], LEX)
+    q = spark.createDataFrame([("a", [1.0, 0.0, 0.0, 0.0])] * 2, "query_id string, vector array<double>")
+    got = nn.nearest_with_coverage(q, lex, 4, (), budget=0)
+    assert sorted(r["rank"] for r in got.collect()) == [1, 2, 3, 4]
