@@ -43,7 +43,7 @@ def _dealt(df: DataFrame, key: str, planes: np.ndarray, further: np.ndarray, pro
 
     ``rest`` holds the sides of the further planes, the first in the highest bit.
     """
-    kind = df.schema[key].dataType.simpleString()
+    kind, vector = (df.schema[c].dataType.simpleString() for c in (key, "vector"))    # numbers move as they are stored
     tables, bits, _ = planes.shape
 
     def sides(scores: np.ndarray) -> np.ndarray:
@@ -73,8 +73,7 @@ def _dealt(df: DataFrame, key: str, planes: np.ndarray, further: np.ndarray, pro
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(numbers.ravel()),
                      pa.array(np.tile(rest.ravel(), len(buckets)))], names=[key, "vector", "bucket", "rest"])
 
-    return df.select(key, F.col("vector").cast("array<double>").alias("vector")) \
-        .mapInArrow(run, f"{key} {kind}, vector array<double>, bucket long, rest long")
+    return df.select(key, "vector").mapInArrow(run, f"{key} {kind}, vector {vector}, bucket long, rest long")
 
 
 def _hot(counts: DataFrame, hot: DataFrame) -> DataFrame:
@@ -144,7 +143,8 @@ def approximate_neighbours(queries: DataFrame, lexicon: DataFrame, top_n: int =
     cells = ["bucket", "qs", "ls"]
     near = asked.groupBy(*cells).cogroup(dealt.groupBy(*cells)).applyInArrow(cell, f"query_id {kind}, row_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "row_id")
-    ranked = near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    # One exchange on the query serves both the doubles of several tables and the ranks.
+    ranked = near.repartition("query_id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
     return ranked.select("query_id", "rank", "row_id", "distance", (F.lit(1.0) - F.col("distance")).alias("similarity"))
 
 

@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexstrata.operators import approximate as ap
 from lexstrata.operators import neighbours as nn
 from lexstrata.plans.prediction import word_neighbours
@@ -93,3 +95,10 @@ def test_coverage_in_place_of_the_exact_search(spark):
     assert near.columns == exact.columns and sorted(near.collect()) == sorted(exact.collect())
     words = lexicon.where("row_id < 5").select("word", "vector")
     assert sorted(word_neighbours(words, lexicon, 6, nearest=ap.approximate_with_coverage).collect()) == sorted(word_neighbours(words, lexicon, 6).collect())
+
+
+def test_vectors_move_as_they_are_stored(spark):
+    """Every copy of a row carries single-precision numbers where the table does."""
+    df = _frame(spark, _clusters(9, 40, dim=4, groups=3)).withColumn("vector", F.col("vector").cast("array<float>"))
+    dealt = ap._dealt(df, "row_id", np.ones((2, 1, 4)), np.ones((2, 24, 4)), 1, 4)
+    assert dealt.schema["vector"].dataType == df.schema["vector"].dataType and dealt.count() == 40 * 4
