@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +12,12 @@ from .. import fixed
 from ..functions.text import strip, words
 from ..operators import neighbours as nn
 from ..operators.cleaning import literal_map
-from ..operators.joins import lookup
 from ..operators.prediction import collect_forms, with_form_at, with_requested_form
 from ..session import land
 
 MATCHES_PER_WORD = 3
 MATCHES_PER_REQUEST = 5
+PART_WORDS = 1 << 18    # of requests whose words are answered together
 WORD_TYPE = "array<struct<original: string, ipa: string, confidence: double>>"
 MATCH_TYPE = ("array<struct<word: string, time_period: int, ipa: string, distance: double, original_word: string>>")
 
@@ -34,14 +37,23 @@ def validate(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"time_period": period, "original_text": cleaned, "error": error})
 
 
-def tokens(requests: DataFrame) -> DataFrame:
-    """(request_id, time_period, word_pos, word) rows; the text itself stays behind."""
-    return requests.select("request_id", "time_period", F.posexplode(words("original_text")).alias("word_pos", "word"))
+def in_parts(requests: DataFrame) -> DataFrame:
+    """Requests with the ``words`` of their text and a ``_part`` by id; a part has some ``PART_WORDS`` words. Without words or id: none."""
+    spoken = requests.withColumn("words", words("original_text")).where(F.col("request_id").isNotNull() & (F.size("words") > 0))
+    total = spoken.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
+    parts = max(-(-total // PART_WORDS), requests.sparkSession.sparkContext.defaultParallelism)
+    return spoken.withColumn("_part", F.pmod(F.xxhash64("request_id"), F.lit(parts)).cast("int"))
 
 
-def vocabulary(token_rows: DataFrame) -> DataFrame:
+def part_words(spoken: DataFrame) -> DataFrame:
+    """(_part, time_period, word): each word once a part and time, counted off where the part's texts lie."""
+    return spoken.select("_part", "time_period", "original_text").repartition("_part") \
+        .select("_part", "time_period", F.explode(words("original_text")).alias("word")).distinct()
+
+
+def vocabulary(found: DataFrame) -> DataFrame:
     """(word, times): each word once, with the few times it is asked for."""
-    return token_rows.groupBy("word").agg(F.collect_set("time_period").alias("times"))
+    return found.groupBy("word").agg(F.collect_set("time_period").alias("times"))
 
 
 def word_neighbours(word_vectors: DataFrame, lexicon: DataFrame, top_n: int = 10, nearest=nn.nearest_with_coverage, **search) -> DataFrame:
@@ -131,27 +143,59 @@ def _spoken_dialect(dialect: Column, said: Column) -> Column:
     return F.when(dialect, kept).otherwise(_spoken(said))
 
 
-def assemble(requests: DataFrame, token_rows: DataFrame, predictions: DataFrame) -> DataFrame:
+def _nullable(kind: pa.ListType) -> pa.ListType:
+    return pa.list_(pa.field("element", kind.value_type))
+
+
+def _spoken_words(requests: pa.Table, answers: pa.Table) -> pa.Table:
+    """The requests of a part with the answers of their words as ``ws``, in the order of the words; rows of one id share theirs."""
+    texts = requests.column("words").combine_chunks()
+    sizes = pc.list_value_length(texts).to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+
+    def key(word, time):
+        return pc.binary_join_element_wise(word, pc.cast(time, pa.string()), "\x01")
+
+    said = pc.list_flatten(texts)
+    at = pc.index_in(key(said, requests.column("time_period").combine_chunks().take(pa.array(row))),
+                     value_set=key(answers.column("word").combine_chunks(), answers.column("target_time").combine_chunks()))
+    ids = requests.column("request_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # A word without a vector or without neighbours has no answer.
+    matches = answers.column("matches").combine_chunks()
+    found = pa.table({
+        "id": ids[row], "word_pos": place.astype(np.int32), "word": said,
+        "ipa": pc.fill_null(answers.column("ipa").combine_chunks().take(at), fixed.UNKNOWN_PREDICTION),
+        "confidence": pc.fill_null(answers.column("confidence").combine_chunks().take(at), 0.0),
+        "matches": matches.cast(_nullable(matches.type)).take(at)})
+    if len(ids) and ids.max() + 1 < len(ids):
+        order = [(c, "ascending") for c in ("id", "word_pos", "word", "ipa", "confidence")]
+        found = found.take(pc.sort_indices(found.drop_columns(["matches"]), sort_keys=order))
+    entries = found.drop_columns(["id"]).to_struct_array().combine_chunks()
+    ends = np.cumsum(np.bincount(ids[row], minlength=ids.max() + 1 if len(ids) else 0))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), entries)
+    lists = lists.cast(_nullable(lists.type)).take(pa.array(ids))
+    return requests.drop_columns(["_part", "words"]).append_column("ws", lists)
+
+
+def assemble(spoken: DataFrame, found: DataFrame, predictions: DataFrame) -> DataFrame:
     """Word predictions back into requests, words in order.
 
+    ``spoken``: requests ``in_parts``; ``found``: their ``part_words``. An answer goes once to
+    each part that has its word, and meets the texts there: words said often move once a part.
     A list is as long as its request's own text. The average is summed in word
-    order, so it is the same on every run. Texts meet the result by request id
-    instead of travelling with every word.
+    order, so it is the same on every run.
     """
-    def key(time: str) -> Column:
-        return F.concat_ws("\x01", "word", F.col(time).cast("string"))
-
-    answers = predictions.withColumn("_key", key("target_time")).drop("word", "target_time")
-    joined = lookup(token_rows.withColumn("_key", key("time_period")), answers, "_key", "request_id")
-    # A word without a vector or without neighbours has no answer.
-    word = F.struct(
-        "word_pos", "word", F.coalesce("ipa", F.lit(fixed.UNKNOWN_PREDICTION)).alias("ipa"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        F.coalesce("matches", F.array().cast(answers.schema["matches"].dataType)).alias("matches"))
-    packed = joined.groupBy("request_id").agg(F.sort_array(F.collect_list(word)).alias("ws"))
-    packed = requests.select("request_id", "language", "time_period", "original_text").join(packed, "request_id")
+    asked = found.withColumnRenamed("time_period", "target_time")
+    answers = asked.join(predictions, ["word", "target_time"]).select("_part", "word", "target_time", "ipa", "confidence", "matches")
+    kept = ("request_id", "language", "time_period", "original_text")
+    texts = spoken.select("_part", *kept).repartition("_part").withColumn("words", words("original_text"))
+    matches = predictions.schema["matches"].dataType.simpleString()
+    schema = ", ".join([f"{c} {spoken.schema[c].dataType.simpleString()}" for c in kept]
+                       + [f"ws array<struct<word_pos: int, word: string, ipa: string, confidence: double, matches: {matches}>>"])
+    packed = texts.groupBy("_part").cogroup(answers.groupBy("_part")).applyInArrow(_spoken_words, schema)
     total = F.aggregate("ws", F.lit(0.0), lambda acc, w: acc + w["confidence"])
-    pool = F.flatten(F.transform("ws", lambda w: F.transform(w["matches"], lambda m: F.struct(
+    pool = F.flatten(F.transform("ws", lambda w: F.transform(F.coalesce(w["matches"], F.array().cast(matches)), lambda m: F.struct(
         m["distance"].alias("distance"), w["word_pos"].alias("pos"), m["rank"].alias("rank"),
         m["word"].alias("word"), m["time_period"].alias("time_period"), m["ipa"].alias("ipa"),
         w["word"].alias("original_word")))))
@@ -174,19 +218,23 @@ def predict_requests(requests: DataFrame, lexicon: DataFrame, word_vectors, top_
 
     ``word_vectors`` is a function that adds a ``vector`` to a table with a ``word``
     column of distinct words. Every distinct word is searched once, every distinct
-    (word, time) predicted once. The checked requests and their words are landed,
-    as several branches read them. ``search`` goes to ``word_neighbours``.
+    (word, time) predicted once. The checked requests and the distinct words of their
+    parts are landed, as several branches read them. ``search`` goes to ``word_neighbours``.
     """
     for name in ("dialect_text", "dialect_ipa"):
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast("string"))
-    checked = land(validate(requests), "requests")
+    # Of the texts only the one to answer is landed, and a dialect's wording where it is asked for.
+    dialect = F.col("language") == fixed.DIALECT_LABEL
+    said = {c: F.when(dialect, F.col(c)) for c in ("dialect_text", "dialect_ipa")}
+    checked = land(validate(requests).withColumns(said).select(
+        "request_id", "language", "time_period", "original_text", *said, "error"), "requests")
     good, bad = checked.where(F.col("error").isNull()), checked.where(F.col("error").isNotNull())
     direct = F.col("language").isin(*fixed.MODERN_LABELS, fixed.DIALECT_LABEL)
-    spoken_requests = good.where(~direct)
-    token_rows = land(tokens(spoken_requests), "tokens")
-    forms = word_neighbours(word_vectors(vocabulary(token_rows)), lexicon, top_n, **search)
-    spoken = assemble(spoken_requests, token_rows, predict_words(forms))
+    spoken_requests = in_parts(good.where(~direct))
+    found = land(part_words(spoken_requests), "words")
+    forms = word_neighbours(word_vectors(vocabulary(found)), lexicon, top_n, **search)
+    spoken = assemble(spoken_requests, found, predict_words(forms))
     errors = _row(bad, error=F.col("error"), nearest_matches=F.lit(None).cast(MATCH_TYPE))
     return passthrough(good.where(direct)).unionByName(spoken).unionByName(errors)
 

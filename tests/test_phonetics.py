@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexstrata import fixed
 from lexstrata.functions import phonetics as ph
 from lexstrata.operators import prediction
+from lexstrata.plans import prediction
 from lexstrata.plans.prediction import predict_requests, timeline, validate
 
 FORMS = [(1, -5000, "/a/"), (2, -1100, "/b/"), (3, -300, "/d/"), (4, 0, "/p/"), (5, 0, "/i/")]
@@ -158,6 +159,22 @@ def test_predict_requests(spark):
     assert (out[10]["predicted_text"], out[10]["confidence_score"]) == ("/p/ /???/", pytest.approx(0.5))
 
 
+def test_words_move_once_a_part(spark, monkeypatch):
+    """What is landed and handed on for the texts grows with distinct words, not with words; rows of one id share their words."""
+    landed, first = [], prediction.land
+    monkeypatch.setattr(prediction, "land", lambda df, name: landed.append((name, first(df, name))) or landed[-1][1])
+    monkeypatch.setattr(prediction, "PART_WORDS", 1000)
+    rows = [(i, "PIE", "a b " * 200) for i in range(20)] + [(50, "PIE", "a b"), (50, "PIE", "b a a"), (None, "PIE", "a")]
+    requests = spark.createDataFrame(rows, "request_id long, language string, user_input string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, vector array<double>")
+    out = predict_requests(requests, _lexicon(spark), lambda words: words.join(vectors, "word")).collect()
+    assert max(f.count() for name, f in landed if name != "requests") <= 2 * max(9, spark.sparkContext.defaultParallelism)
+    assert sorted(r["request_id"] for r in out) == [*range(20), 50, 50]
+    said = {r["request_id"]: [w["original"] for w in r["word_predictions"]] for r in out}
+    assert said[3] == ["a", "b"] * 200 and said[50] == ["a", "b", "a", "b", "a"]
+    assert {r["original_text"] for r in out if r["request_id"] == 50} == {"a b", "b a a"}
+
+
 def test_validate_is_row_wise(spark):
     df = spark.createDataFrame([(1, "PIE", " Ab ")], "request_id long, language string, user_input string")
     row = validate(df).first()
