@@ -42,7 +42,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup
@@ -62,6 +62,7 @@ COMPARED_ROWS = 256
 LEAST_PARTS = 64      # a task holds the chunks of one part at a time, so parts stay small on few shuffle partitions too
 PART_SHINGLES = 1 << 20    # shingles a part, on average; chunks are no more
 LEAST_BITS, MOST_BITS = 64, 1 << 16
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 10, 1 << 22    # of shingle counts that every task holds: 16 MB at most
 _ID = pa.int64()
 _OWNER = np.dtype([("id", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("band", "<i2"), ("chunks", "<i4")])
 
@@ -320,24 +321,57 @@ def _meetings(sketches: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, band long, na long, nb long, c long")
 
 
+def _bucket(shingles: np.ndarray, size: int) -> np.ndarray:
+    return (mix(shingles, 41) % np.uint64(size)).astype(np.int64)
+
+
+def _bucket_counts(own: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of all documents fall into each of ``size`` buckets; never less than the documents of any of them."""
+    def run(reader: WordReader, rows: pa.RecordBatch):
+        for block in reader.blocks(rows.column(0)):
+            sets = [_bucket(s, size) for _, s in block_sets(block)]
+            at, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+    told = mapped(own.select("text"), run, "bucket long, n long", _reader).groupBy("bucket").agg(F.sum("n").alias("n"))
+    told = told.select(F.col("bucket").cast("int"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()    # ``size`` rows at most
+    counts = np.zeros(size, np.int32)
+    counts[told.column("bucket").to_numpy()] = told.column("n").to_numpy()
+    return counts
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set that decide on its links, and their places in the order of bucket counts; those alone in their bucket are left out."""
+    n = len(shingles)
+    count = counts[_bucket(shingles, len(counts))]
+    order = np.lexsort((shingles.view(np.int64), count))[:n + 3 * n // -4 + 1]
+    shared = np.flatnonzero(count[order] > 1)
+    return shingles[order[shared]], shared + 1
+
+
 def _hot_pairs(hot: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates among documents with too many hot chunks: their shingles, the rarest first."""
+    """Candidates among documents with too many hot chunks: their shingles, the rarest first.
+
+    Rare is what a fixed number of bucket counts tells, the same for all documents: any
+    common order finds every link, and this one needs no count per shingle to travel.
+    """
+    ids = saved(hot.select(F.col("a").alias("id"), "n").dropDuplicates(["id"]))
+    own = _with_ids(docs, ids.select("id"), "left_semi")
+    total = ids.agg(F.sum("n").alias("n")).first()["n"] or 0
+    counts = _bucket_counts(own, min(max(1 << (4 * total).bit_length(), LEAST_BUCKETS), MOST_BUCKETS))
+    shared_counts = docs.sparkSession.sparkContext.broadcast(counts)
+
     def run(reader: WordReader, rows: pa.RecordBatch):
-        ids, comps = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+        ids, comps = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         for block in reader.blocks(rows.column(2)):
-            out: list[list] = [[] for _ in range(4)]
-            for row, own in block_sets(block):
-                for column, value in zip(out[:3], (ids[row], comps[row], len(own))):
-                    column += [value] * len(own)
-                out[3] += own.view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, _ID) for c in out], names=["id", "comp", "n", "s"])
-
-    own = _with_ids(docs, hot.select(F.col("a").alias("id")).distinct(), "left_semi")
-    rows = saved(mapped(own.select("id", "comp", "text"), run, "id long, comp long, n long, s long", _reader))
-    held = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    rarest = Window.partitionBy("id").orderBy("df", "s")    # a document's own shingles
-    ranked = rows.join(held, "s", "left").fillna(1, ["df"]).withColumn("r", F.row_number().over(rarest))
-    first = saved(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1) & (F.col("df") > 1)))
+            told = [(row, len(own), *rarest(own, shared_counts.value)) for row, own in block_sets(block)]
+            whose = np.repeat(np.array([t[0] for t in told], np.int64), [len(t[2]) for t in told])
+            sizes = np.repeat(np.array([t[1] for t in told], np.int64), [len(t[2]) for t in told])
+            s, r = (np.concatenate([t[i] for t in told]) if told else np.empty(0, np.int64) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (ids[whose], comps[whose], sizes, s, r)],
+                                             names=["id", "comp", "n", "s", "r"])
+
+    first = saved(mapped(own.select("id", "comp", "text"), run, "id long, comp long, n long, s long, r long", _reader))
     a, b = (first.select("s", *[F.col(c).alias(c + x) for c in ("id", "comp", "n", "r")]) for x in ("a", "b"))
     shared = "ceil(3 * (na + nb) / 7)"    # shingles that two similar sets share at least
     met = a.join(b, "s").where(f"""ida < idb and compa <> compb and 4 * least(na, nb) >= 3 * greatest(na, nb)

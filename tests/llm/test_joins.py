@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexstrata.llm import jaccard, repeats
 from lexstrata.llm.components import components
@@ -54,6 +55,31 @@ def test_jaccard_join(spark, monkeypatch, seed, hot):
     assert got == brute.jaccard_components(rows)
 
 
+def test_hot_documents_hand_on_what_decides(spark, monkeypatch):
+    """Of documents with many hot chunks a quarter of the shingles travels, and none that stands alone; no link is lost."""
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    kept, first = [], jaccard.saved
+    monkeypatch.setattr(jaccard, "saved", lambda df: kept.append(first(df)) or kept[-1])
+    rows = _family(2)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.jaccard_components(rows)
+    travelled = [df for df in kept if "s" in df.columns and "comp" in df.columns]
+    assert travelled
+    for df in travelled:
+        told = df.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        assert told.where("c > n - ceil(3 * n / 4) + 1").isEmpty()
+
+
+def test_rarest_follows_one_order_and_drops_what_stands_alone():
+    shingles = np.arange(1, 101, dtype=np.uint64)
+    counts = np.ones(1 << 10, np.int32)
+    assert len(jaccard.rarest(shingles, counts)[0]) == 0
+    counts[jaccard._bucket(shingles[:90], len(counts))] = 5
+    found, place = jaccard.rarest(shingles, counts)
+    alone = int((counts[jaccard._bucket(shingles, len(counts))] == 1).sum())
+    assert len(found) == 26 - alone and place.tolist() == list(range(alone + 1, 27))
+
+
 def test_jaccard_join_without_a_first_round(spark, monkeypatch):
     """The sketches alone find every link."""
     monkeypatch.setattr(jaccard, "FEW", 10**6)
