@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType
 
 from ..session import shuffle_partitions
 
@@ -19,6 +20,20 @@ def hot_keys(df: DataFrame, key: str, parts: int) -> DataFrame:
     return counts.where(share > 1).select(key, F.ceil(share).cast("int").alias("_slices"))
 
 
+def _with_slices(df: DataFrame, hot: list[Row], found: DataFrame, key: str) -> DataFrame:
+    """The rows with the ``_slices`` of their key, null where it is not hot; numbers and strings need no join for that."""
+    kinds = (df.schema[key].dataType, found.schema[key].dataType)
+    if kinds[0] != kinds[1] or not isinstance(kinds[0], (LongType, IntegerType, StringType)):
+        return df.join(F.broadcast(df.sparkSession.createDataFrame(hot, found.schema)), key, "left")
+    keys: dict[int, list] = {}
+    for r in hot:
+        keys.setdefault(r["_slices"], []).append(r[key])
+    told = F.lit(None).cast("int")
+    for n, own in sorted(keys.items()):
+        told = F.when(F.col(key).isin(own), F.lit(n)).otherwise(told)
+    return df.withColumn("_slices", told)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column | str, how: str = "left",
            parts: int | None = None) -> DataFrame:
     """Join a large table to a table with one row per ``key``, slicing hot keys.
@@ -35,13 +50,13 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column | str, ho
     rows = found.collect()    # at most ``parts`` rows
     if not rows:
         return left.join(right, key, how)
-    hot = F.broadcast(spark.createDataFrame([r for r in rows if r[key] is not None], found.schema))
+    hot = [r for r in rows if r[key] is not None]
     spread = F.col(spread) if isinstance(spread, str) else spread
     slices = F.when(F.col(key).isNull(), F.lit(parts)).otherwise(F.col("_slices"))
     slice_no = F.coalesce(F.pmod(F.xxhash64(spread), slices), F.lit(0)).cast("int")
-    sliced = left.join(hot, key, "left").withColumn("_slice", slice_no).drop("_slices")
+    sliced = _with_slices(left, hot, found, key).withColumn("_slice", slice_no).drop("_slices")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
-    copied = right.join(hot, key, "left").withColumn("_slice", copies).drop("_slices")
+    copied = _with_slices(right, hot, found, key).withColumn("_slice", copies).drop("_slices")
     return sliced.join(copied, [key, "_slice"], how).drop("_slice")
 
 

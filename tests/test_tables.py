@@ -148,6 +148,16 @@ def test_embed_goes_on_when_the_model_raises(spark):
     assert got == {1: ([1.0], None), 2: ([2.0], None), 3: (None, "ValueError: no"), 4: (None, None), 5: ([1.0], None)}
 
 
+def test_lookup_joins_rows_once(spark):
+    """Slices of hot keys come from the key itself: no join with the hot keys before the one asked for."""
+    left = spark.createDataFrame([(i, 7 if i % 2 else i) for i in range(400)] + [(400, None)], "id long, k long")
+    right = spark.createDataFrame([(i, f"v{i}") for i in range(100)], "k long, v string")
+    found = joins.lookup(left, right, "k", "id", "inner", parts=8)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "_slice" in text and "LeftOuter" not in text
+    assert sorted(r["v"] for r in found.collect()) == sorted(["v7"] * 200 + [f"v{i}" for i in range(0, 100, 2)])
+
+
 def test_lookup_spreads_rows_without_a_key(spark):
     left = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
     right = spark.range(0, 3000, 4).select(F.col("id").alias("k"), F.lit(1).alias("v"))
