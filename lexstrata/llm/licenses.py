@@ -189,7 +189,7 @@ def template_word_counts(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
         some = np.flatnonzero(held)
         return batch(schema, word=by_digest[some], n=held[some])
 
-    counts = mapped(docs.select(text), count, "word int, n long", lambda: WordReader(ALNUM, LOWER))
+    counts = mapped(docs.select(text), count, "word int, n long", lambda: WordReader(ALNUM, LOWER), gathered=True)
     out = np.zeros(len(vocabulary), np.int64)
     for word, n in counts.groupBy("word").agg(F.sum("n")).collect():    # a row per template word at most
         out[word] = n

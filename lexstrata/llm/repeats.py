@@ -212,7 +212,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(ids[at]), pa.array(own[at]),
                                            pa.array(keys[at].view(np.int64)), pa.array(kind)], names=names)
 
-    return mapped(docs, run, "deal long, id long, row long, key long, kind tinyint", _state)
+    return mapped(docs, run, "deal long, id long, row long, key long, kind tinyint", _state, gathered=True)
 
 
 def _shared_anchors(rows: DataFrame, parts: int) -> DataFrame:
@@ -286,7 +286,7 @@ def _window_rows(docs: DataFrame, parts: int) -> DataFrame:
             [pa.array(part + known_part, pa.int32()), pa.array([False] * len(part) + [True] * len(known_part)),
              pa.array(data + known_data, pa.binary())], names=names)
 
-    return mapped(docs, run, "part int, known boolean, windows binary", _state)
+    return mapped(docs, run, "part int, known boolean, windows binary", _state, gathered=True)
 
 
 def _repeated_windows(rows: DataFrame, parts: int) -> DataFrame:

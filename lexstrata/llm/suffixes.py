@@ -220,7 +220,7 @@ def _prefixes(docs: DataFrame, parts: int) -> DataFrame:
         # What is told already still has to be counted, and to answer for others.
         return _batch(_dealt((asked["d1"] % np.uint64(parts)).astype(np.int64), asked, ASK) + _by_row(told.astype(_PLACE), parts))
 
-    return mapped(docs, run, _ROWS, Names)
+    return mapped(docs, run, _ROWS, Names, gathered=True)
 
 
 def _read(held: dict[int, list[bytes]], kind: int, dtype: np.dtype) -> np.ndarray:
@@ -382,7 +382,7 @@ def _stretches(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             out += _dealt((strings["d2"][one] % np.uint64(parts)).astype(np.int64), strings[one], STRINGS)
         return _batch(out + _by_row(np.concatenate(told), parts))
 
-    return mapped(docs, run, _ROWS, Names)
+    return mapped(docs, run, _ROWS, Names, gathered=True)
 
 
 def ranked(names: Names, starts: np.ndarray, marked: np.ndarray) -> np.ndarray:

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20        # of an Arrow batch on its way to Python: the JVM's heap grows with it
+GATHERED_BYTES = 32 << 20    # of batches put together in Python
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 SPACE = np.array([b not in (32, 9, 10, 11, 12, 13) for b in range(256)])
@@ -131,13 +132,16 @@ def word_digest(word: bytes) -> int:
 
 
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
-           schema: str, state: Callable[[], object] | None = None) -> DataFrame:
-    """``mapInArrow`` of a function of one batch to one or several; ``state`` is made once per task and given first."""
+           schema: str, state: Callable[[], object] | None = None, gathered: bool = False) -> DataFrame:
+    """``mapInArrow`` of a function of one batch to one or several; ``state`` is made once per task and given first.
+
+    ``gathered`` batches are put together to ``GATHERED_BYTES``, for functions that sum up what a batch holds.
+    """
     bounded_batches(df.sparkSession)
 
     def run(batches):
         held = (state(),) if state else ()
-        for batch in batches:
+        for batch in _gathered(batches) if gathered else batches:
             out = fn(*held, batch)
             if isinstance(out, pa.RecordBatch):
                 yield out
@@ -148,12 +152,24 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to some MB, so that very long texts do not pile up in a task.
+    """Hold Arrow batches to about 1 MB, so that texts do not pile up in a task.
 
-    Only Spark's own unlimited default is replaced.
+    Only Spark's own default, 64 MB or none by its version, is replaced.
     """
-    if spark.conf.get(_BATCH_SETTING).rstrip("bB") in (str(2**31 - 1), str(2**63 - 1)):
+    if _BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
