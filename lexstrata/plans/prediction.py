@@ -12,7 +12,7 @@ from .. import fixed
 from ..functions.text import strip, words
 from ..operators import neighbours as nn
 from ..operators.cleaning import literal_map
-from ..operators.prediction import collect_forms, with_form_at, with_requested_form
+from ..operators.prediction import collect_forms, nearest_in_time, with_form_at, with_future_form, with_requested_form  # noqa: F401
 from ..session import land
 
 MATCHES_PER_WORD = 3
@@ -143,8 +143,13 @@ def _spoken_dialect(dialect: Column, said: Column) -> Column:
     return F.when(dialect, kept).otherwise(_spoken(said))
 
 
-def _nullable(kind: pa.ListType) -> pa.ListType:
-    return pa.list_(pa.field("element", kind.value_type))
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed at every depth, as a declared schema has it; which columns hold none depends on the search."""
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field("element", _nullable(kind.value_type)))
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    return kind
 
 
 def _spoken_words(requests: pa.Table, answers: pa.Table) -> pa.Table:

@@ -175,6 +175,19 @@ def test_words_move_once_a_part(spark, monkeypatch):
     assert {r["original_text"] for r in out if r["request_id"] == 50} == {"a b", "b a a"}
 
 
+@pytest.mark.parametrize("budget", [0, 400, 1 << 20])
+def test_answers_do_not_depend_on_how_words_are_searched(spark, budget):
+    """Pivot groups, broadcast words and a broadcast lexicon: ranks that are never null are handed on like others."""
+    rows = [(1, "PIE", "a b a"), (2, "future_english_1000", "b"), (3, "PIE", "a unheard")]
+    requests = spark.createDataFrame(rows, "request_id long, language string, user_input string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, vector array<double>")
+    out = {r["request_id"]: r for r in predict_requests(
+        requests, _lexicon(spark), lambda words: words.join(vectors, "word"), budget=budget).collect()}
+    assert {i: r["predicted_text"] for i, r in out.items()} == {1: "/p/ /p/ /p/", 2: "/l/", 3: "/p/ /???/"}
+    assert [(m["original_word"], m["word"]) for m in out[1]["nearest_matches"]] == \
+        [("a", "ped"), ("a", "ped"), ("a", "fot"), ("b", "foot"), ("a", "fot")]
+
+
 def test_validate_is_row_wise(spark):
     df = spark.createDataFrame([(1, "PIE", " Ab ")], "request_id long, language string, user_input string")
     row = validate(df).first()
