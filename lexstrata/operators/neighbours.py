@@ -62,8 +62,9 @@ def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 class _Best:
     """Rows still in the running: the k nearest per query and the nearest per anchor period."""
 
-    def __init__(self, query_ids: pa.Array, queries: np.ndarray, k: int, periods: tuple[int, ...], keep: list[str]):
-        self.query_ids, self.queries, self.k, self.periods, self.keep = query_ids, queries, k, periods, keep
+    def __init__(self, query_ids: pa.Array, queries: np.ndarray, k: int, periods: tuple[int, ...], keep: list[str], again: bool = False):
+        """``again``: a row may be looked at more than once and counts once."""
+        self.query_ids, self.queries, self.k, self.periods, self.keep, self.again = query_ids, queries, k, periods, keep, again
         self.pool = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0, np.int64)]
         self.found: list[list[np.ndarray]] = []    # not in the pool yet
         self.rows: list[pa.Table] = []    # kept columns of the rows in the pool and of those found since
@@ -74,6 +75,9 @@ class _Best:
     def _prune(self, q, ids, per, dist, slot):
         order = np.lexsort((ids, dist, q))
         q, ids, per, dist, slot = q[order], ids[order], per[order], dist[order], slot[order]
+        if self.again and len(q):
+            new = np.append(True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (dist[1:] != dist[:-1]))
+            q, ids, per, dist, slot = q[new], ids[new], per[new], dist[new], slot[new]
         stay = np.arange(len(q)) - np.searchsorted(q, q) < self.k
         for p in self.periods:
             at = np.flatnonzero(per == p)
@@ -98,6 +102,14 @@ class _Best:
         order = np.argsort(place, kind="stable")    # rows of one period side by side
         units, ids, per = units[order], ids[order], per[order]
         ends = np.searchsorted(place[order], np.arange(len(self.periods) + 1))
+        self.look(units, ids, per, self.base + order, ends, only)
+        if self.keep:
+            self.rows.append(table.select(self.keep))
+            self.base += len(ids)
+        self.settle()
+
+    def look(self, units: np.ndarray, ids: np.ndarray, per: np.ndarray, slot: np.ndarray, ends: np.ndarray, only: np.ndarray | None) -> None:
+        """Find rows, those of one period side by side up to its end in ``ends``."""
         asked = len(self.queries) if only is None else len(only)
         step = max(1, _CELLS // len(ids))
         for start in range(0, asked, step):
@@ -116,10 +128,10 @@ class _Best:
                     hit[:, a:b] |= part <= np.minimum(self.least[n, mine], part.min(axis=1))[:, None]
             q, j = np.nonzero(hit)
             whose = q + start if only is None else mine[q]
-            self.found.append(self._prune(whose, ids[j], per[j], dist[q, j], self.base + order[j]))
-        if self.keep:
-            self.rows.append(table.select(self.keep))
-            self.base += len(ids)
+            self.found.append(self._prune(whose, ids[j], per[j], dist[q, j], slot[j]))
+
+    def settle(self) -> None:
+        """What was found goes into the pool when it has become much."""
         if 4 * sum(len(f[0]) for f in self.found) > len(self.pool[0]):
             self._merge()
 

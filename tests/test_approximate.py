@@ -102,3 +102,41 @@ def test_vectors_move_as_they_are_stored(spark):
     df = _frame(spark, _clusters(9, 40, dim=4, groups=3)).withColumn("vector", F.col("vector").cast("array<float>"))
     dealt = ap._dealt(df, "row_id", np.ones((2, 1, 4)), np.ones((2, 24, 4)), 1, 4)
     assert dealt.schema["vector"].dataType == df.schema["vector"].dataType and dealt.count() == 40 * 4
+
+
+def _hot_rows(spark):
+    rng = np.random.default_rng(11)
+    cone = np.ones(8) + 0.05 * rng.normal(size=(500, 8))
+    copies = np.tile(-np.ones(8), (200, 1)) * rng.choice([1.0, 2.0], (200, 1))
+    return _frame(spark, np.concatenate([cone, copies, rng.normal(size=(800, 8))]))
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 8 * 8 * 100])
+def test_blocks_answer_as_buckets_do(spark, monkeypatch, block_bytes):
+    """Whole blocks of queries and slices of rows find what a copy for every bucket finds, hot buckets and ties among them."""
+    df = _hot_rows(spark)
+    queries = _queries(df, 3)
+    settings = {"top_n": 7, "bucket_rows": 32, "tables": 5}
+    met = []
+    for name in ("_met_in_blocks", "_met_in_buckets"):
+        monkeypatch.setattr(ap, name, lambda *a, f=getattr(ap, name): met.append(f) or f(*a))
+    monkeypatch.setattr(ap, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(ap, "SLICE_ROWS", 50)
+    by_bucket = ap.approximate_neighbours(queries, df, **settings).collect()
+    monkeypatch.setattr(ap, "BLOCK_BYTES", block_bytes)
+    by_block = ap.approximate_neighbours(queries, df, **settings).collect()
+    assert [f.__name__ for f in met] == ["_met_in_buckets", "_met_in_blocks"]
+    assert len(by_block) == 7 * queries.count() and sorted(by_block) == sorted(by_bucket)
+
+
+def test_vectors_do_not_move_for_every_bucket(spark, monkeypatch):
+    """A query goes to each slice of rows once, a row to each block of queries, whatever the buckets."""
+    moved = []
+    first = ap._met_in_blocks
+    monkeypatch.setattr(ap, "_met_in_blocks", lambda *a: moved.append(a[-1]) or first(*a))
+    df = _frame(spark, _clusters(10, 3000))
+    assert ap.approximate_neighbours(_queries(df), df, bucket_rows=64).count() == 30_000
+    ((blocks, slices),) = moved
+    assert blocks + slices < 16 * (1 + 3) + 16
+    assert ap._grid(720_000, 720_000, 16, 3, 64, 4) == (11, 6)
+    assert ap._grid(72_000_000, 72_000_000, 16, 3, 64, 4) is None
